@@ -70,3 +70,34 @@ def _position_in_buckets(keyed: DataFrame, b: str, order: list[str], name: str,
     return (ranked.join(offsets, on=[*group_cols, b], how="inner")
             .withColumn(name, (F.col("_cf_off") + F.col("_cf_rn") - 1).cast("long"))
             .drop(b, "_cf_off", "_cf_rn"))
+
+
+def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str], order_col: str,
+                tiebreak: list[str] = (), how: str = "max", exclusive: bool = True,
+                buckets: int = 1024) -> DataFrame:
+    """Running ``max``/``sum`` of ``value_col`` per group in ``(order_col, *tiebreak)`` order.
+
+    ``exclusive`` -> over the rows strictly before the current one. Same bucket scheme as
+    the positions: windows per ``(group, bucket)`` plus a prefix over bucket totals, so a
+    group holding a third of the rows is still split over ``buckets`` tasks."""
+    group_cols = list(group_cols)
+    b = "_cf_bucket"
+    qs = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000).alias("_cf_bounds"))
+    key = F.col(order_col).cast("double")
+    keyed = (df.crossJoin(F.broadcast(bounds))  # one row of fixed size
+             .withColumn(b, F.size(F.filter("_cf_bounds", lambda x: x < key))).drop("_cf_bounds"))
+    agg = F.max if how == "max" else F.sum
+    per_bucket = keyed.groupBy(*group_cols, b).agg(agg(value_col).alias("_cf_bv"))
+    w_prev = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    prev = per_bucket.select(*group_cols, b, agg("_cf_bv").over(w_prev).alias("_cf_prev"))
+    order = [F.col(order_col)] + [F.col(c) for c in tiebreak]
+    hi = -1 if exclusive else 0
+    w_in = Window.partitionBy(*group_cols, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    inner = keyed.withColumn("_cf_in", agg(value_col).over(w_in))
+    j = inner.join(prev, on=[*group_cols, b], how="inner")
+    if how == "max":
+        val = F.greatest(F.col("_cf_prev"), F.col("_cf_in"))  # greatest skips nulls
+    else:
+        val = F.coalesce(F.col("_cf_prev"), F.lit(0)) + F.coalesce(F.col("_cf_in"), F.lit(0))
+    return j.withColumn(out, val).drop(b, "_cf_prev", "_cf_in")
