@@ -148,3 +148,9 @@ def decode_label(col, names=("FAKE", "TRUE")) -> Column:
     for i, name in enumerate(names):
         out = F.when(_c(col) == i, F.lit(name)) if out is None else out.when(_c(col) == i, F.lit(name))
     return out
+
+
+def py_fixed(col, digits: int = 1) -> Column:
+    """Python ``f"{x:.{digits}f}"``: ``format_number`` rounds the exact binary value
+    half-even like Python; only its thousands separators need removing."""
+    return F.regexp_replace(F.format_number(_c(col), digits), ",", "")

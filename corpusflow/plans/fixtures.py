@@ -122,3 +122,56 @@ telemetry AS (
          CAST(floor(extract(day FROM ts) / CAST(10 AS DOUBLE)) AS BIGINT) + CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS boot_time
   FROM events
 )"""
+
+
+def telemetry_series(spark: SparkSession, sf_dir: str, with_flags: bool = True) -> DataFrame:
+    """Q_TELEMETRY widened to the flat telemetry form: companion GB values, an absent
+    process on some samples, an error key on some missing ones; then R11 restarts and
+    R8 alerts."""
+    from corpusflow.operators.telemetry import alerts, detect_restarts
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    t = telemetry_flat(spark, sf_dir).join(ev, F.col("seq") == F.col("event_id")).drop("event_id")
+    has_proc = ~((F.col("event_type") == "view") & (F.col("value") < 5))
+    t = t.select(
+        "seq", "host", "ts", "mem_percent", (F.col("mem_percent") * 0.64).alias("mem_used_gb"),
+        (F.lit(64.0) - F.col("mem_percent") * 0.64).alias("mem_available_gb"), "cpu_percent", "disk_percent",
+        ((F.lit(100.0) - F.col("disk_percent")) * 5.0).alias("disk_free_gb"), "swap_percent",
+        (F.col("swap_percent") * 0.16).alias("swap_used_gb"), has_proc.alias("has_process"),
+        F.when(has_proc, F.col("process_status")).alias("process_status"),
+        F.when(has_proc & (F.col("process_status") == "not_found") & (F.pmod("seq", F.lit(2)) == 0),
+               F.lit("process no longer exists")).alias("process_error"),
+        "boot_time")
+    if not with_flags:
+        return t
+    return alerts(detect_restarts(t))
+
+
+TSERIES_SQL = """
+tseries0 AS (
+  SELECT t.seq, t.host, t.ts, t.mem_percent, t.mem_percent * 0.64 AS mem_used_gb, 64.0 - t.mem_percent * 0.64 AS mem_available_gb,
+         t.cpu_percent, t.disk_percent, (100.0 - t.disk_percent) * 5.0 AS disk_free_gb, t.swap_percent,
+         t.swap_percent * 0.16 AS swap_used_gb, NOT (e.event_type = 'view' AND e.value < 5) AS has_process,
+         CASE WHEN NOT (e.event_type = 'view' AND e.value < 5) THEN t.process_status END AS process_status,
+         CASE WHEN NOT (e.event_type = 'view' AND e.value < 5) AND t.process_status = 'not_found' AND t.seq % 2 = 0
+              THEN 'process no longer exists' END AS process_error,
+         t.boot_time
+  FROM telemetry t JOIN events e ON t.seq = e.event_id
+),
+tseries1 AS (
+  SELECT *, max(boot_time) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_boot,
+            first(boot_time ORDER BY seq) OVER (PARTITION BY host) AS first_boot
+  FROM tseries0
+),
+tseries AS (
+  SELECT * EXCLUDE (prev_boot, first_boot),
+         coalesce(first_boot IS NOT NULL AND boot_time IS NOT NULL AND prev_boot IS NOT NULL AND boot_time > prev_boot, false) AS vm_restarted,
+         list_filter([
+           CASE WHEN mem_percent > 90 THEN 'HIGH MEMORY: ' || printf('%.1f', mem_percent) || '% (threshold: 90%)' END,
+           CASE WHEN cpu_percent > 95 THEN 'HIGH CPU: ' || printf('%.1f', cpu_percent) || '% (threshold: 95%)' END,
+           CASE WHEN disk_percent > 90 THEN 'HIGH DISK: ' || printf('%.1f', disk_percent) || '% (threshold: 90%)' END,
+           CASE WHEN swap_percent > 80 THEN 'HIGH SWAP: ' || printf('%.1f', swap_percent) || '% - System is using swap memory heavily!' END,
+           CASE WHEN has_process AND process_status = 'zombie' THEN 'PROCESS ZOMBIE: Process is in zombie state!' END,
+           CASE WHEN NOT has_process OR process_status = 'not_found' THEN 'PROCESS NOT FOUND: run.py process is not running!' END
+         ], lambda x: x IS NOT NULL) AS alerts
+  FROM tseries1
+)"""
