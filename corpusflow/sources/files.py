@@ -222,7 +222,7 @@ _PROC = T.StructType([
     T.StructField("gpu_memory", _GPU), T.StructField("create_time", T.StringType()),
     T.StructField("error", T.StringType())])
 TELEMETRY_SCHEMA = T.StructType([
-    T.StructField("host", T.StringType()),
+    T.StructField("host", T.StringType()), T.StructField("seq", T.LongType()),
     T.StructField("timestamp", T.StringType()), T.StructField("uptime_seconds", T.DoubleType()),
     T.StructField("boot_time", T.DoubleType()),
     T.StructField("metrics", T.StructType([
@@ -248,8 +248,10 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     ``ts`` (TIMESTAMP_NTZ from the ISO string). A missing path raises (R14)."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("seq"))
+        F.monotonically_increasing_id().alias("_cf_line"))
     df = parse_telemetry_lines(lines)
+    # entries written by one sampler carry no counter: file order is the order
+    df = df.withColumn("seq", F.coalesce(F.col("seq"), F.col("_cf_line"))).drop("_cf_line")
     return (df.withColumn("host", F.coalesce("host", F.lit("default")))
             .withColumn("ts", F.to_timestamp_ntz("timestamp")))
 
