@@ -7,6 +7,8 @@ map-side, so a domain holding a third of the rows costs nothing special), then p
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,6 @@ def mixup_pairs(df: DataFrame, id_col: str, batch: str = "batch_id", seed: int =
 
 def beta_draw(batch_col, seed: int, alpha: float):
     """Seeded Beta(alpha, alpha) per batch id (vectorised; alpha <= 0 gives 1.0)."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def _draw(b: pd.Series) -> pd.Series:
