@@ -33,14 +33,33 @@ def build_vocab(df: DataFrame, size: int, tokens_col: str = "tokens") -> DataFra
 
 def encode(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", out: str = "input_ids",
            max_length: int | None = 512, drop_tokens: bool = True) -> DataFrame:
-    """Token ids by a broadcast map lookup (unknown -> 1), truncated to
-    ``max_length``."""
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_cf_vocab"))
-    ids = F.transform(tokens_col, lambda t: F.coalesce(F.try_element_at(F.col("_cf_vocab"), t), F.lit(UNK)))
-    if max_length:
-        ids = F.slice(ids, 1, max_length)
-    out_df = df.crossJoin(F.broadcast(vmap)).withColumn(out, ids).drop("_cf_vocab")
-    return out_df.drop(tokens_col) if drop_tokens else out_df
+    """Token ids (unknown -> 1), truncated to ``max_length``.
+
+    Rows are encoded where they are (no shuffle): the vocabulary - at most ``size`` tokens,
+    a bound fixed by :func:`build_vocab` - is broadcast, and each Arrow batch is looked up
+    with one vectorised hash probe (``pyarrow.compute.index_in``)."""
+    from pyspark.sql import types as T
+    vocab_tokens = [r[0] for r in vocab.orderBy("id").select("token").collect()]  # <= size rows
+    bc = df.sparkSession.sparkContext.broadcast(vocab_tokens)
+    keep = [f for f in df.schema.fields if not (drop_tokens and f.name == tokens_col)]
+    schema = T.StructType(keep + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = [f.name for f in keep]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        value_set = pa.array(bc.value, pa.string())
+        for batch in batches:
+            toks = batch.column(tokens_col)
+            flat = toks.flatten()
+            ids = pc.fill_null(pc.add(pc.index_in(flat, value_set=value_set), 2), UNK).cast(pa.int32())
+            offsets = pc.subtract(toks.offsets, toks.offsets[0])
+            lists = pa.ListArray.from_arrays(offsets, ids, mask=toks.is_null() if toks.null_count else None)
+            if max_length:
+                lists = pc.list_slice(lists, 0, max_length)
+            cols = [batch.column(n) for n in names] + [lists.cast(pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=names + [out])
+    return df.mapInArrow(run, schema)
 
 
 def truncate(col, n: int) -> Column:

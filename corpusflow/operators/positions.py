@@ -4,7 +4,8 @@ A plain ``row_number() OVER (ORDER BY k)`` moves every row into one task. Instea
 order key gets a coarse *bucket* that is monotone in the key and roughly uniform:
 
 * hash order: the first hex digits of the md5 key (uniform by construction);
-* numeric order: the number of approximate quantile bounds below the key.
+* numeric order (ids, sample counters, timestamps): equal-width ranges of the key
+  between its min and max (one tiny aggregate; pure arithmetic per row).
 
 Rows are numbered inside ``(group, bucket)`` windows (many parallel tasks), and a small
 prefix sum over the per-bucket counts (at most ``groups x buckets`` rows, aggregated
@@ -36,23 +37,26 @@ def position_by_hash(df: DataFrame, hash_col: str, tiebreak: list[str], name: st
     return _position_in_buckets(keyed, b, [hash_col] + list(tiebreak), name, group_cols)
 
 
+def value_bucket(df: DataFrame, order_col: str, buckets: int, name: str = "_cf_bucket") -> DataFrame:
+    """Add an equal-width bucket of ``order_col`` in ``[0, buckets)`` (monotone in the key).
+
+    min/max come from one partial aggregate (a single row of two values, broadcast)."""
+    key = F.col(order_col).cast("double")
+    mm = df.agg(F.min(key).alias("_cf_lo"), F.max(key).alias("_cf_hi"))
+    width = (F.col("_cf_hi") - F.col("_cf_lo")) / F.lit(float(buckets))
+    b = F.when(width > 0, F.least(F.floor((key - F.col("_cf_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+    return df.crossJoin(F.broadcast(mm)).withColumn(name, b.cast("int")).drop("_cf_lo", "_cf_hi")
+
+
 def position_by_value(df: DataFrame, order_col: str, tiebreak: list[str], name: str = "pos",
-                      group_cols: list[str] | None = None, buckets: int = 1024,
+                      group_cols: list[str] | None = None, buckets: int = 4096,
                       descending: bool = False) -> DataFrame:
-    """0-based position in numeric order ``(order_col, *tiebreak)``.
-
-    Buckets are cut at approximate quantiles of ``order_col`` (one partial aggregate,
-    a single row of ``buckets - 1`` bounds joined as a broadcast of fixed size)."""
+    """0-based position in numeric order ``(order_col, *tiebreak)`` (equal-width buckets)."""
     group_cols = list(group_cols or [])
     b = "_cf_bucket"
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000).alias("_cf_bounds"))
-    key = F.col(order_col).cast("double")
-    keyed = (df.crossJoin(F.broadcast(bounds))  # one row, size fixed by `buckets`
-             .withColumn(b, F.size(F.filter("_cf_bounds", lambda x: x < key)))
-             .drop("_cf_bounds"))
+    keyed = value_bucket(df, order_col, buckets, b)
     if descending:
-        keyed = keyed.withColumn(b, F.lit(buckets) - F.col(b))
+        keyed = keyed.withColumn(b, F.lit(buckets - 1) - F.col(b))
     return _position_in_buckets(keyed, b, [order_col] + list(tiebreak), name, group_cols,
                                 descending=descending)
 
@@ -74,7 +78,7 @@ def _position_in_buckets(keyed: DataFrame, b: str, order: list[str], name: str,
 
 def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str], order_col: str,
                 tiebreak: list[str] = (), how: str = "max", exclusive: bool = True,
-                buckets: int = 1024) -> DataFrame:
+                buckets: int = 4096) -> DataFrame:
     """Running ``max``/``sum`` of ``value_col`` per group in ``(order_col, *tiebreak)`` order.
 
     ``exclusive`` -> over the rows strictly before the current one. Same bucket scheme as
@@ -82,11 +86,7 @@ def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str],
     group holding a third of the rows is still split over ``buckets`` tasks."""
     group_cols = list(group_cols)
     b = "_cf_bucket"
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 10000).alias("_cf_bounds"))
-    key = F.col(order_col).cast("double")
-    keyed = (df.crossJoin(F.broadcast(bounds))  # one row of fixed size
-             .withColumn(b, F.size(F.filter("_cf_bounds", lambda x: x < key))).drop("_cf_bounds"))
+    keyed = value_bucket(df, order_col, buckets, b)
     agg = F.max if how == "max" else F.sum
     per_bucket = keyed.groupBy(*group_cols, b).agg(agg(value_col).alias("_cf_bv"))
     w_prev = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

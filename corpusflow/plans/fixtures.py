@@ -124,26 +124,32 @@ telemetry AS (
 )"""
 
 
-def telemetry_series(spark: SparkSession, sf_dir: str, with_flags: bool = True) -> DataFrame:
-    """Q_TELEMETRY widened to the flat telemetry form: companion GB values, an absent
-    process on some samples, an error key on some missing ones; then R11 restarts and
-    R8 alerts."""
-    from corpusflow.operators.telemetry import alerts, detect_restarts
-    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    t = telemetry_flat(spark, sf_dir).join(ev, F.col("seq") == F.col("event_id")).drop("event_id")
-    has_proc = ~((F.col("event_type") == "view") & (F.col("value") < 5))
-    t = t.select(
-        "seq", "host", "ts", "mem_percent", (F.col("mem_percent") * 0.64).alias("mem_used_gb"),
-        (F.lit(64.0) - F.col("mem_percent") * 0.64).alias("mem_available_gb"), "cpu_percent", "disk_percent",
-        ((F.lit(100.0) - F.col("disk_percent")) * 5.0).alias("disk_free_gb"), "swap_percent",
-        (F.col("swap_percent") * 0.16).alias("swap_used_gb"), has_proc.alias("has_process"),
-        F.when(has_proc, F.col("process_status")).alias("process_status"),
-        F.when(has_proc & (F.col("process_status") == "not_found") & (F.pmod("seq", F.lit(2)) == 0),
+def telemetry_series(spark: SparkSession, sf_dir: str, restarts: bool = True, alerts: bool = True) -> DataFrame:
+    """Q_TELEMETRY widened to the flat telemetry form (one projection of ``events``):
+    companion GB values, an absent process on some samples, an error key on some missing
+    ones; then, on demand, R11 restarts and R8 alerts."""
+    from corpusflow.operators.telemetry import alerts as add_alerts
+    from corpusflow.operators.telemetry import detect_restarts
+    ev = table(spark, sf_dir, "events")
+    v, et = F.col("value"), F.col("event_type")
+    mem, cpu = F.least(F.lit(100.0), v), F.least(F.lit(100.0), v / 2)
+    disk, swap = F.least(F.lit(100.0), v / 4), F.least(F.lit(100.0), v / 2)
+    status = F.when(et == "error", "not_found").when(et == "click", "zombie").otherwise("running")
+    has_proc = ~((et == "view") & (v < 5))
+    t = ev.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("host"), "ts",
+        mem.alias("mem_percent"), (mem * 0.64).alias("mem_used_gb"), (F.lit(64.0) - mem * 0.64).alias("mem_available_gb"),
+        cpu.alias("cpu_percent"), disk.alias("disk_percent"), ((F.lit(100.0) - disk) * 5.0).alias("disk_free_gb"),
+        swap.alias("swap_percent"), (swap * 0.16).alias("swap_used_gb"), has_proc.alias("has_process"),
+        F.when(has_proc, status).alias("process_status"),
+        F.when(has_proc & (et == "error") & (F.pmod("event_id", F.lit(2)) == 0),
                F.lit("process no longer exists")).alias("process_error"),
-        "boot_time")
-    if not with_flags:
-        return t
-    return alerts(detect_restarts(t))
+        (F.floor(F.dayofmonth("ts") / 10.0).cast("long") + F.when(et == "signup", 1).otherwise(0)).alias("boot_time"))
+    if restarts:
+        t = detect_restarts(t)
+    if alerts:
+        t = add_alerts(t)
+    return t
 
 
 TSERIES_SQL = """

@@ -16,7 +16,7 @@ _T = with_ctes(TELEMETRY_SQL, TSERIES_SQL)
 
 def _source(spark, sf, files: int = 8):
     src = scratch_path(spark, "telemetry-src")
-    entries = RS.entries_from_series(telemetry_series(spark, sf, with_flags=False))
+    entries = RS.entries_from_series(telemetry_series(spark, sf, restarts=False, alerts=False))
     entries.repartition(files).write.text(src)
     return src
 

@@ -48,8 +48,8 @@ summary AS (
 )"""
 
 
-def series(spark, sf):
-    return telemetry_series(spark, sf)
+def series(spark, sf, restarts=False, alerts=False):
+    return telemetry_series(spark, sf, restarts=restarts, alerts=alerts)
 
 
 @query("telemetry_peaks", with_ctes(TELEMETRY_SQL, TSERIES_SQL, _PEAKS_SQL) + "SELECT * FROM peaks")
@@ -74,18 +74,18 @@ def q_missing_span(spark, sf):
 
 @query("restart_list", _T + "SELECT host, seq, ts FROM tseries WHERE vm_restarted")
 def q_restart_list(spark, sf):
-    return R.restart_list(series(spark, sf))
+    return R.restart_list(series(spark, sf, restarts=True))
 
 
 @query("detect_restarts", _T + "SELECT seq, host, boot_time, vm_restarted FROM tseries")
 def q_detect_restarts(spark, sf):
-    return series(spark, sf).select("seq", "host", "boot_time", "vm_restarted")
+    return series(spark, sf, restarts=True).select("seq", "host", "boot_time", "vm_restarted")
 
 
 @query("alert_rules", _T + """
 SELECT seq, host, len(alerts) AS n_alerts, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
 def q_alert_rules(spark, sf):
-    s = series(spark, sf)
+    s = series(spark, sf, alerts=True)
     return s.select("seq", "host", F.size("alerts").alias("n_alerts"), F.array_join("alerts", " | ").alias("alerts"))
 
 
@@ -95,7 +95,7 @@ SELECT host, seq, ts, CAST(i - 1 AS INTEGER) AS alert_idx, alerts[i] AS alert FR
     SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS rk FROM tseries WHERE len(alerts) > 0)
   WHERE rk <= 10)""")
 def q_alert_timeline(spark, sf):
-    return R.alert_timeline(series(spark, sf), 10)
+    return R.alert_timeline(series(spark, sf, alerts=True), 10)
 
 
 _DIAG = with_ctes(TELEMETRY_SQL, TSERIES_SQL, _PEAKS_SQL, _TAIL_SQL, _MISS_SQL, _SUMMARY_SQL)
@@ -104,7 +104,7 @@ _DIAG = with_ctes(TELEMETRY_SQL, TSERIES_SQL, _PEAKS_SQL, _TAIL_SQL, _MISS_SQL,
 @query("severity_flags", _DIAG + """
 SELECT host, peak_swap > 10 AS high_swap, tail_mem > 85 AS memory_pressure, peak_disk > 90 AS disk_critical FROM summary""")
 def q_severity_flags(spark, sf):
-    return R.severity_flags(R.host_summary(series(spark, sf)))
+    return R.severity_flags(R.host_summary(series(spark, sf, restarts=True)))
 
 
 def _diag_sql():
@@ -128,7 +128,7 @@ FROM (SELECT host, f, unnest(range(1, len(f) + 1)) AS i FROM c2)"""
 
 @query("diagnosis", _diag_sql())
 def q_diagnosis(spark, sf):
-    return R.diagnose(R.host_summary(series(spark, sf)))
+    return R.diagnose(R.host_summary(series(spark, sf, restarts=True)))
 
 
 @query("unit_projection", """
