@@ -128,7 +128,9 @@ def clean_text_b(col) -> Column:
     strip; case kept."""
     x = F.coalesce(_c(col).cast("string"), F.lit(""))
     x = F.regexp_replace(x, _U + "http" + NON_WS + "+|www\\." + NON_WS + "+", "")
-    x = F.regexp_replace(x, _U + NON_WS + "+@" + NON_WS + "+", "")
+    # a match always spans a whole word (greedy on both sides), so anchoring it at a
+    # word start is equivalent and keeps the backtracking linear in the word length
+    x = F.regexp_replace(x, _U + "(?<!" + NON_WS + ")" + NON_WS + "+@" + NON_WS + "+", "")
     return F.trim(collapse_ws(x))
 
 

@@ -12,8 +12,23 @@ from pyspark.sql import functions as F
 from corpusflow.operators.curate import drop_incomplete, union_sources
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan a driver table. Text tables go through :func:`spread` because per-row regex
+    work dominates them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores (one row group
+    per file, as in the test tables) round-robin over the cores before heavy per-row
+    work. A scan of many large files already has enough splits and is left alone, so
+    at scale this adds no shuffle. Reads only the scan's split count (planning, no job)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ _X4 = _split_sql("deduped", ["label", "domain"], ["train", "val", "test"], [(3,
 
 
 def split3(spark, sf):
-    return X.stratified_split(deduped(spark, sf), ["label", "domain"],
+    return X.stratified_split(deduped(spark, sf, materialize=True), ["label", "domain"],
                               [("train", 0.7), ("val", 0.1), ("test", 0.2)], seed=42, on_rare="pool")
 
 
@@ -127,7 +127,7 @@ dedupedb AS (
                                    _split_sql("dedupedb", ["label"], ["train", "val"], [(1, 5)]))
        + "SELECT dataset_rank, row_idx, label, split FROM splitted")
 def q_split_by_label(spark, sf):
-    d = deduped(spark, sf, cleaner="b", min_len=10)
+    d = deduped(spark, sf, cleaner="b", min_len=10, materialize=True)
     return X.stratified_split(d, ["label"], [("train", 0.8), ("val", 0.2)]).select(*KEYS, "label", "split")
 
 
@@ -147,7 +147,7 @@ dedupeda10 AS (
                                                       [(3, 10), (2, 3)]))
        + "SELECT dataset_rank, row_idx, label, dataset, split FROM splitted")
 def q_split_by_label_dataset(spark, sf):
-    d = deduped(spark, sf, cleaner="a", min_len=10)
+    d = deduped(spark, sf, cleaner="a", min_len=10, materialize=True)
     out = X.stratified_split(d, ["label", "dataset"], [("train", 0.7), ("val", 0.1), ("test", 0.2)])
     return out.select(*KEYS, "label", "dataset", "split")
 

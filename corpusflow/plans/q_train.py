@@ -24,7 +24,7 @@ CFG = TrainConfig(num_features=1 << 16, max_iter=30, reg_param=0.01)
 
 def labelled_split(spark, sf):
     """Labelled documents (rank 0), cleaner B, > 10 chars, keep-first dedupe, 80/20 by label."""
-    d = deduped(spark, sf, cleaner="b", min_len=10).where(F.col("dataset_rank") == 0)
+    d = deduped(spark, sf, cleaner="b", min_len=10, materialize=True).where(F.col("dataset_rank") == 0)
     return stratified_split(d, ["label"], [("train", 0.8), ("val", 0.2)], seed=42)
 
 
