@@ -66,3 +66,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder path under the shared checkpoint folder (not created)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def local_path(path: str) -> str:
+    """``file:`` URI -> plain local path (for Python-side file I/O in tests and tools)."""
+    return path[len("file:"):] if path.startswith("file:") else path
