@@ -109,10 +109,20 @@ def stratified_split(df: DataFrame, strata: list[str], splits: list[tuple[str, f
              .withColumn("_cf_p", F.col(strata[0]).cast("string")))
     counts = keyed.groupBy("stratum", "_cf_p").agg(F.count(F.lit(1)).alias("n"))
     if on_rare == "pool":
-        # strata with < 2 rows fold into '<first key>_other' (one row per stratum: tiny)
-        mapping = (counts
-                   .withColumn("_cf_eff", F.when(F.col("n") < 2, F.concat(F.col("_cf_p"), F.lit("_other")))
-                               .otherwise(F.col("stratum"))))
+        # strata with < 2 rows fold into '<first key>_other'; a pooled group still below 2
+        # folds into the largest stratum with the same first key (ties: smaller name).
+        # All of this runs on the strata table (one row per stratum).
+        lvl1 = counts.withColumn("_cf_e1", F.when(F.col("n") < 2, F.concat(F.col("_cf_p"), F.lit("_other")))
+                                 .otherwise(F.col("stratum")))
+        g1 = lvl1.groupBy("_cf_e1", "_cf_p").agg(F.sum("n").alias("n1"))
+        big = (g1.where(F.col("n1") >= 2)
+               .withColumn("_cf_rk", F.row_number().over(
+                   Window.partitionBy("_cf_p").orderBy(F.col("n1").desc(), F.col("_cf_e1"))))
+               .where(F.col("_cf_rk") == 1).select("_cf_p", F.col("_cf_e1").alias("_cf_big")))
+        g2 = (g1.join(big, "_cf_p", "left")
+              .withColumn("_cf_eff", F.when((F.col("n1") < 2) & F.col("_cf_big").isNotNull(), F.col("_cf_big"))
+                          .otherwise(F.col("_cf_e1"))))
+        mapping = lvl1.join(g2.select("_cf_e1", "_cf_eff"), "_cf_e1")
         keyed = (keyed.join(mapping.select("stratum", "_cf_eff"), "stratum")
                  .drop("stratum").withColumnRenamed("_cf_eff", "stratum"))
         counts = mapping.groupBy(F.col("_cf_eff").alias("stratum")).agg(F.sum("n").alias("n"))

@@ -56,7 +56,13 @@ def _split_sql(base: str, strata: list[str], names: list[str], held: list[tuple[
         pre = f"""
 skeyed0 AS (SELECT *, {skey} AS stratum0, {_h(seed, *KEYS)} AS h FROM {base}),
 scounts0 AS (SELECT stratum0, CAST({strata[0]} AS VARCHAR) AS p, count(*) AS n FROM skeyed0 GROUP BY ALL),
-smap AS (SELECT stratum0, n, CASE WHEN n < 2 THEN p || '_other' ELSE stratum0 END AS stratum FROM scounts0),
+smap1 AS (SELECT stratum0, p, n, CASE WHEN n < 2 THEN p || '_other' ELSE stratum0 END AS e1 FROM scounts0),
+sg1 AS (SELECT e1, p, sum(n) AS n1 FROM smap1 GROUP BY e1, p),
+sbig AS (SELECT p, e1 AS big FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n1 DESC, e1) AS rk
+                                   FROM sg1 WHERE n1 >= 2) WHERE rk = 1),
+sg2 AS (SELECT g.e1, CASE WHEN g.n1 < 2 AND b.big IS NOT NULL THEN b.big ELSE g.e1 END AS eff
+        FROM sg1 g LEFT JOIN sbig b ON g.p = b.p),
+smap AS (SELECT m.stratum0, m.n, g.eff AS stratum FROM smap1 m JOIN sg2 g ON m.e1 = g.e1),
 skeyed AS (SELECT k.* EXCLUDE (stratum0), m.stratum FROM skeyed0 k JOIN smap m ON k.stratum0 = m.stratum0),
 scounts AS (SELECT stratum, sum(n) AS n FROM smap GROUP BY stratum),"""
     else:
