@@ -90,20 +90,27 @@ def _peak(value: str, companions: list[str], name: str) -> list[Column]:
     return [best.alias(name)]
 
 
+_PEAK_AGGS = [("mem_percent", ["mem_used_gb", "mem_available_gb"], "m"), ("cpu_percent", [], "c"),
+              ("disk_percent", ["disk_free_gb"], "d"), ("swap_percent", ["swap_used_gb"], "s")]
+_PEAK_COLS = [
+    F.col("m.v").alias("peak_mem"), F.col("m.ts").alias("peak_mem_ts"),
+    F.col("m.mem_used_gb").alias("peak_mem_used_gb"), F.col("m.mem_available_gb").alias("peak_mem_available_gb"),
+    F.col("c.v").alias("peak_cpu"), F.col("c.ts").alias("peak_cpu_ts"),
+    F.col("d.v").alias("peak_disk"), F.col("d.ts").alias("peak_disk_ts"), F.col("d.disk_free_gb").alias("peak_disk_free_gb"),
+    F.col("s.v").alias("peak_swap"), F.col("s.ts").alias("peak_swap_ts"), F.col("s.swap_used_gb").alias("peak_swap_used_gb")]
+
+
+def _peak_aggs():
+    out = []
+    for v, comps, name in _PEAK_AGGS:
+        out += _peak(v, comps, name)
+    return out
+
+
 def peaks(df: DataFrame) -> DataFrame:
     """R2: peak memory / CPU / disk / swap per host with time and companion values;
     the first sample wins ties. One aggregate pass."""
-    g = df.groupBy("host").agg(
-        *_peak("mem_percent", ["mem_used_gb", "mem_available_gb"], "m"),
-        *_peak("cpu_percent", [], "c"),
-        *_peak("disk_percent", ["disk_free_gb"], "d"),
-        *_peak("swap_percent", ["swap_used_gb"], "s"))
-    return g.select(
-        "host", F.col("m.v").alias("peak_mem"), F.col("m.ts").alias("peak_mem_ts"),
-        F.col("m.mem_used_gb").alias("peak_mem_used_gb"), F.col("m.mem_available_gb").alias("peak_mem_available_gb"),
-        F.col("c.v").alias("peak_cpu"), F.col("c.ts").alias("peak_cpu_ts"),
-        F.col("d.v").alias("peak_disk"), F.col("d.ts").alias("peak_disk_ts"), F.col("d.disk_free_gb").alias("peak_disk_free_gb"),
-        F.col("s.v").alias("peak_swap"), F.col("s.ts").alias("peak_swap_ts"), F.col("s.swap_used_gb").alias("peak_swap_used_gb"))
+    return df.groupBy("host").agg(*_peak_aggs()).select("host", *_PEAK_COLS)
 
 
 def averages(df: DataFrame) -> DataFrame:
@@ -159,12 +166,17 @@ CAUSES = {
 
 
 def host_summary(df: DataFrame, n_tail: int = 10) -> DataFrame:
-    """peaks ⋈ tail mean ⋈ missing ⋈ restarts, one row per host (all joins on host)."""
-    p = peaks(df)
-    t = tail_mean(df, n_tail)
-    m = missing_span(df)
-    r = df.groupBy("host").agg(F.count_if(F.coalesce("vm_restarted", F.lit(False))).alias("n_restarts"))
-    return p.join(t, "host").join(m, "host").join(r, "host")
+    """Peaks, missing span and restart count in one grouped aggregate, joined with the
+    tail mean (group top-k) on host."""
+    miss = F.coalesce((F.col("process_status") == "not_found") | F.col("process_error").isNotNull(), F.lit(False))
+    agg = df.groupBy("host").agg(
+        *_peak_aggs(),
+        F.count_if(miss).alias("n_missing"),
+        F.min_by(F.when(miss, F.col("ts")), F.when(miss, F.col("seq"))).alias("first_missing"),
+        F.max_by(F.when(miss, F.col("ts")), F.when(miss, F.col("seq"))).alias("last_missing"),
+        F.count_if(F.coalesce("vm_restarted", F.lit(False))).alias("n_restarts"))
+    agg = agg.select("host", *_PEAK_COLS, "n_missing", "first_missing", "last_missing", "n_restarts")
+    return agg.join(tail_mean(df, n_tail), "host")
 
 
 def severity_flags(summary: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def train_group_dro(train: DataFrame, rounds: int = 3, eta: float = 0.01, cfg: T
     try:
         for r in range(rounds):
             g_count = weights.count()
-            w = data.join(F.broadcast(weights), group).withColumn("_cf_w", F.col("q") * F.lit(float(g_count)))
+            w = data.join(weights, group).withColumn("_cf_w", F.col("q") * F.lit(float(g_count)))
             c = TrainConfig(**{**cfg.__dict__, "weight_col": "_cf_w"})
             model = train_text_classifier(w.drop("q"), c, label)
             scored = score_model(model, data).withColumn("_cf_ce", cross_entropy(F.transform("probs", lambda p: F.log(p)), label))

@@ -317,3 +317,41 @@ def q_history_arrays(spark, sf):
     return a.select("run_id", F.array_join(F.transform("epochs", lambda x: x.cast("string")), ",").alias("epochs"),
                     F.array_join(F.transform("val_f1", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",")
                     .alias("val_f1_micro"))
+
+
+# ---------------------------------------------------------------- run report (K4)
+
+REPORT_CONFIG = {"model": "fixture-scorer", "max_length": 256, "batch_size": 16, "seed": 42}
+
+
+def _report_sql():
+    from corpusflow.plans.fixtures import CORPUS_SQL as _C
+    from corpusflow.plans.q_corpus import _CLEAN_A_SQL, _DEDUP_SQL
+    from corpusflow.plans.q_split import _X4
+    cfg = " UNION ALL ".join(f"SELECT 'config', '{k}', '{v}'" for k, v in REPORT_CONFIG.items())
+    return with_ctes(SCORED_SQL, _CE_SQL, _C, _CLEAN_A_SQL, _DEDUP_SQL, _X4) + "," + _CLASS_SQL + f"""
+, info AS (SELECT count(*) AS total, count(*) FILTER (WHERE label = 1) AS n_fake, count(*) FILTER (WHERE label = 0) AS n_true,
+                  count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
+                  count(*) FILTER (WHERE split = 'test') AS n_test FROM splitted),
+met AS (SELECT sum(p * support) / sum(support) AS precision, sum(r * support) / sum(support) AS recall,
+               sum(f * support) / sum(support) AS f1, sum(tp) / sum(support) AS accuracy FROM pm)
+SELECT 'dataset' AS section, k AS key, v AS value FROM (
+  SELECT 'total' AS k, CAST(total AS VARCHAR) AS v FROM info UNION ALL SELECT 'n_fake', CAST(n_fake AS VARCHAR) FROM info
+  UNION ALL SELECT 'n_true', CAST(n_true AS VARCHAR) FROM info UNION ALL SELECT 'n_train', CAST(n_train AS VARCHAR) FROM info
+  UNION ALL SELECT 'n_val', CAST(n_val AS VARCHAR) FROM info UNION ALL SELECT 'n_test', CAST(n_test AS VARCHAR) FROM info)
+UNION ALL {cfg}
+UNION ALL SELECT 'metrics', k, v FROM (
+  SELECT 'precision' AS k, printf('%.6f', precision) AS v FROM met UNION ALL SELECT 'recall', printf('%.6f', recall) FROM met
+  UNION ALL SELECT 'f1', printf('%.6f', f1) FROM met UNION ALL SELECT 'accuracy', printf('%.6f', accuracy) FROM met)"""
+
+
+@query("run_report", _report_sql())
+def q_run_report(spark, sf):
+    from corpusflow.plans.q_split import split3
+    from corpusflow.sources.sinks import run_report
+    s = split3(spark, sf)
+    info = s.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == 1).alias("n_fake"),
+                 F.count_if(F.col("label") == 0).alias("n_true"), F.count_if(F.col("split") == "train").alias("n_train"),
+                 F.count_if(F.col("split") == "val").alias("n_val"), F.count_if(F.col("split") == "test").alias("n_test"))
+    metrics = E.prf(scored_ce(spark, sf), "weighted")
+    return run_report(info, REPORT_CONFIG, metrics)

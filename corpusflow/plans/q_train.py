@@ -119,13 +119,3 @@ def q_train_ensemble(spark, sf):
     return H.ensemble_summary(per)
 
 
-@query("run_report")
-def q_run_report(spark, sf):
-    from corpusflow.operators.curate import dataset_info
-    from corpusflow.sources.sinks import run_report
-    s, model = _fit(spark, sf)
-    info = dataset_info(s, split_col="split")
-    val = score_model(model, s.where(F.col("split") == "val"))
-    metrics = E.prf(val, "weighted")
-    cfg = {"num_features": CFG.num_features, "max_iter": CFG.max_iter, "reg_param": CFG.reg_param, "seed": 42}
-    return run_report(info, cfg, metrics)

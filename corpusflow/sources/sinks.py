@@ -40,9 +40,14 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
 def run_report(dataset_info: DataFrame, config: dict, metrics: DataFrame) -> DataFrame:
     """K4: the result report as a long ``(section, key, value)`` table: dataset counts,
     configuration literals and metric values (rendering to text is left to readers)."""
+    def as_text(c, t):
+        # doubles with six decimals (Python-compatible rounding), everything else as is
+        return (f"regexp_replace(format_number(`{c}`, 6), ',', '')" if t in ("double", "float")
+                else f"CAST(`{c}` AS STRING)")
+
     def longify(df: DataFrame, section: str) -> DataFrame:
-        cols = df.columns
-        st = "stack({}, {})".format(len(cols), ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols))
+        cols = df.dtypes
+        st = "stack({}, {})".format(len(cols), ", ".join(f"'{c}', {as_text(c, t)}" for c, t in cols))
         return df.selectExpr(f"'{section}' AS section", f"{st} AS (key, value)")
     cfg = dataset_info.sparkSession.createDataFrame([(k, str(v)) for k, v in config.items()], "key string, value string")
     return (longify(dataset_info, "dataset")
