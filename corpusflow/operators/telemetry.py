@@ -92,7 +92,8 @@ def _peak(value: str, companions: list[str], name: str) -> list[Column]:
 
 _PEAK_AGGS = [("mem_percent", ["mem_used_gb", "mem_available_gb"], "m"), ("cpu_percent", [], "c"),
               ("disk_percent", ["disk_free_gb"], "d"), ("swap_percent", ["swap_used_gb"], "s")]
-_PEAK_COLS = [
+def _peak_cols():
+    return [
     F.col("m.v").alias("peak_mem"), F.col("m.ts").alias("peak_mem_ts"),
     F.col("m.mem_used_gb").alias("peak_mem_used_gb"), F.col("m.mem_available_gb").alias("peak_mem_available_gb"),
     F.col("c.v").alias("peak_cpu"), F.col("c.ts").alias("peak_cpu_ts"),
@@ -110,7 +111,7 @@ def _peak_aggs():
 def peaks(df: DataFrame) -> DataFrame:
     """R2: peak memory / CPU / disk / swap per host with time and companion values;
     the first sample wins ties. One aggregate pass."""
-    return df.groupBy("host").agg(*_peak_aggs()).select("host", *_PEAK_COLS)
+    return df.groupBy("host").agg(*_peak_aggs()).select("host", *_peak_cols())
 
 
 def averages(df: DataFrame) -> DataFrame:
@@ -175,7 +176,7 @@ def host_summary(df: DataFrame, n_tail: int = 10) -> DataFrame:
         F.min_by(F.when(miss, F.col("ts")), F.when(miss, F.col("seq"))).alias("first_missing"),
         F.max_by(F.when(miss, F.col("ts")), F.when(miss, F.col("seq"))).alias("last_missing"),
         F.count_if(F.coalesce("vm_restarted", F.lit(False))).alias("n_restarts"))
-    agg = agg.select("host", *_PEAK_COLS, "n_missing", "first_missing", "last_missing", "n_restarts")
+    agg = agg.select("host", *_peak_cols(), "n_missing", "first_missing", "last_missing", "n_restarts")
     return agg.join(tail_mean(df, n_tail), "host")
 
 
