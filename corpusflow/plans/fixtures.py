@@ -27,8 +27,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     per file, as in the test tables) round-robin over the cores before heavy per-row
     work. A scan of many large files already has enough splits and is left alone, so
     at scale this adds no shuffle. Reads only the scan's split count (planning, no job)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan alone
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
