@@ -78,7 +78,7 @@ def _position_in_buckets(keyed: DataFrame, b: str, order: list[str], name: str,
 
 def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str], order_col: str,
                 tiebreak: list[str] = (), how: str = "max", exclusive: bool = True,
-                buckets: int = 4096) -> DataFrame:
+                buckets: int = 4096, first_out: str | None = None) -> DataFrame:
     """Running ``max``/``sum`` of ``value_col`` per group in ``(order_col, *tiebreak)`` order.
 
     ``exclusive`` -> over the rows strictly before the current one. Same bucket scheme as
@@ -88,9 +88,17 @@ def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str],
     b = "_cf_bucket"
     keyed = value_bucket(df, order_col, buckets, b)
     agg = F.max if how == "max" else F.sum
-    per_bucket = keyed.groupBy(*group_cols, b).agg(agg(value_col).alias("_cf_bv"))
+    first_key = F.struct(*[F.col(c) for c in [order_col, *tiebreak]])
+    per_bucket = keyed.groupBy(*group_cols, b).agg(agg(value_col).alias("_cf_bv"),
+                                                   F.min_by(F.col(value_col), first_key).alias("_cf_bfirst"))
     w_prev = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    prev = per_bucket.select(*group_cols, b, agg("_cf_bv").over(w_prev).alias("_cf_prev"))
+    extra = []
+    if first_out:
+        # value of the group's first row = first value of its lowest bucket
+        w_all = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding,
+                                                                       Window.unboundedFollowing)
+        extra = [F.first("_cf_bfirst").over(w_all).alias(first_out)]
+    prev = per_bucket.select(*group_cols, b, agg("_cf_bv").over(w_prev).alias("_cf_prev"), *extra)
     order = [F.col(order_col)] + [F.col(c) for c in tiebreak]
     hi = -1 if exclusive else 0
     w_in = Window.partitionBy(*group_cols, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)

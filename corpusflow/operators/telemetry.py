@@ -76,9 +76,8 @@ def detect_restarts(df: DataFrame, host: str = "host", order: str = "seq", boot:
     """A sample is a restart when its boot time exceeds every earlier boot time of
     the host (running max, not ``lag``). A host whose first boot time is null never
     reports a restart."""
-    r = running_agg(df, boot, "_cf_prev_boot", [host], order, how="max", exclusive=True)
-    first = df.groupBy(host).agg(F.min_by(F.col(boot), F.col(order)).alias("_cf_first_boot"))
-    r = r.join(first, host)
+    r = running_agg(df, boot, "_cf_prev_boot", [host], order, how="max", exclusive=True,
+                    first_out="_cf_first_boot")
     flag = (F.col("_cf_first_boot").isNotNull() & F.col(boot).isNotNull()
             & F.col("_cf_prev_boot").isNotNull() & (F.col(boot) > F.col("_cf_prev_boot")))
     return r.withColumn("vm_restarted", F.coalesce(flag, F.lit(False))).drop("_cf_prev_boot", "_cf_first_boot")

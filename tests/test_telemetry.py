@@ -132,3 +132,13 @@ def test_stream_equals_batch(spark, tmp_dir):
     sa = {r.seq: r.alerts for r in spark.read.parquet(sink2).collect()}
     ba = {r.seq: r.alerts for r in R.alerts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
     assert sa == ba
+
+
+def test_empty_and_missing_log(spark, tmp_dir):
+    import pytest as _pytest
+    write_lines(tmp_dir, ["{bad", ""])
+    df = R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir)))
+    assert df.count() == 0 and R.diagnose(R.host_summary(df)).count() == 0
+    from pyspark.errors import AnalysisException
+    with _pytest.raises(AnalysisException):
+        read_telemetry(spark, tmp_dir + "-absent").count()
