@@ -87,6 +87,21 @@ def train_group_dro(train: DataFrame, rounds: int = 3, eta: float = 0.01, cfg: T
     return model, weights, hist
 
 
+def evaluate(models_by_epoch: dict, history: DataFrame, df: DataFrame, use: str = "best",
+             metric: str = "val_f1") -> DataFrame:
+    """M5: score ``df`` with the best epoch's model (H1: strictly better than all before,
+    first of ties) or the last one, as the reference variants do. The choice reads one row
+    of the (tiny) history table."""
+    from corpusflow.operators.history import best_epoch
+    if use == "last":
+        pick = max(models_by_epoch)
+    else:
+        hist = history.withColumn("run_id", F.lit("run")) if "run_id" not in history.columns else history
+        row = best_epoch(hist, metric).first()
+        pick = row.best_epoch if row is not None and row.best_epoch is not None else max(models_by_epoch)
+    return score_model(models_by_epoch[pick], df).withColumn("model_epoch", F.lit(pick))
+
+
 def domain_probe(df: DataFrame, domain: str = "domain", cfg: TrainConfig | None = None) -> DataFrame:
     """L8 re-aim: fit a multinomial classifier of the domain from the features; its
     accuracy and log-loss measure how much domain leaks into the representation."""

@@ -86,6 +86,7 @@ class SourceSpec:
     optional: bool = False
     required_cols: list = field(default_factory=list)
     strict_label: bool = False           # P5: a non-castable label fails the source
+    group: str | None = None             # sources of one group (a train/test pair) fail as one
 
 
 def _resolve(v, df):
@@ -134,6 +135,16 @@ def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "s
             if on_error != "skip":
                 raise
             report.append((spec.name, rank, "failed", 0, str(e).splitlines()[0][:200]))
+    # a group (e.g. a train/test pair) with one failed member is dropped as a whole
+    failed_groups = {specs[r[1]].group for r in report if r[2] == "failed" and specs[r[1]].group}
+    if failed_groups:
+        keep = []
+        for df, (name, rank, status, n, err) in zip(good, [r for r in report if r[2] == "ok"]):
+            if specs[rank].group in failed_groups:
+                report[[r[1] for r in report].index(rank)] = (name, rank, "failed", 0, "group member failed")
+            else:
+                keep.append(df)
+        good = keep
     if not good:
         raise ValueError("no source could be loaded")
     rep = spark.createDataFrame(report, "dataset string, dataset_rank int, status string, n_rows long, error string")

@@ -107,3 +107,15 @@ def test_sinks_roundtrip(spark, tmp_dir):
     splits = spark.createDataFrame([("a", "train"), ("b", "val")], "text string, split string")
     K.write_splits(splits, os.path.join(tmp_dir, "splits"))
     assert spark.read.parquet(os.path.join(tmp_dir, "splits")).where("split = 'val'").count() == 1
+
+
+def test_pair_fails_as_one(spark, tmp_dir):
+    good = _write(tmp_dir, "train.csv", "text,label\nfine,1\n")
+    bad = _write(tmp_dir, "test.csv", "text,label\nbroken,x\n")
+    other = _write(tmp_dir, "other.csv", "text,label\nkept,0\n")
+    mk = lambda name, path, grp: S.SourceSpec(name, lambda s: S.read_csv_source(s, path), text=F.col("text"),
+                                              label=F.col("label"), domain=name, language="en",
+                                              strict_label=True, group=grp)
+    df, rep = S.load_corpus(spark, [mk("train", good, "pair"), mk("test", bad, "pair"), mk("other", other, None)])
+    assert {r.dataset: r.status for r in rep.collect()} == {"train": "failed", "test": "failed", "other": "ok"}
+    assert [r.text for r in df.collect()] == ["kept"]
