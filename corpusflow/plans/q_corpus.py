@@ -196,7 +196,7 @@ def q_drop_blank(spark, sf):
 
 
 @query("min_length", with_ctes(CORPUS_SQL) + f"""
-SELECT dataset_rank, row_idx, length(text) AS n_chars FROM
+SELECT dataset_rank, row_idx, CAST(length(text) AS INTEGER) AS n_chars FROM
   (SELECT dataset_rank, row_idx, {_sql_clean_a('text')} AS text FROM corpus) WHERE length(text) > 10""")
 def q_min_length(spark, sf):
     c = C.min_length(C.clean(corpus(spark, sf), "a"), 10)

@@ -24,7 +24,7 @@ vocab AS (
 upos AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM toks),
 ids AS (SELECT u.doc_id, u.pos, coalesce(v.id, 1) AS id FROM upos u LEFT JOIN vocab v ON u.token = v.token),
 enc AS (
-  SELECT t.doc_id, len(t.tokens) AS n_tokens,
+  SELECT t.doc_id, CAST(len(t.tokens) AS INTEGER) AS n_tokens,
          coalesce(a.ids, []) AS ids
   FROM toks t LEFT JOIN (SELECT doc_id, list(id ORDER BY pos) AS ids FROM ids GROUP BY doc_id) a USING (doc_id)
 )"""

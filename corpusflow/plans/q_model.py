@@ -85,7 +85,7 @@ def q_irm_penalty_paper(spark, sf):
 , g AS (SELECT domain, batch_id, sum(ce) AS s, count(*) AS n FROM ce GROUP BY ALL)
 SELECT domain, batch_id,
        sum(s) OVER (PARTITION BY domain ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS loss_sum,
-       sum(n) OVER (PARTITION BY domain ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_seen
+       CAST(sum(n) OVER (PARTITION BY domain ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_seen
 FROM g""")
 def q_group_loss_running(spark, sf):
     return L.group_loss_running(scored_ce(spark, sf))

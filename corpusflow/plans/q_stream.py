@@ -28,7 +28,7 @@ def _run(spark, df, name, mode="append"):
 
 
 @query("stream_alerts", _T + """
-SELECT seq, host, len(alerts) AS n_alerts, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
+SELECT seq, host, CAST(len(alerts) AS INTEGER) AS n_alerts, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
 def q_stream_alerts(spark, sf):
     stream = RS.read_telemetry_stream(spark, _source(spark, sf))
     out = _run(spark, RS.stream_alerts(stream).select("seq", "host", "alerts"), "alerts")
@@ -44,7 +44,7 @@ def q_stream_restarts(spark, sf):
 
 
 @query("stream_status", _T + """
-SELECT host, seq, ts, mem_percent, cpu_percent, disk_percent, swap_percent, process_status, len(alerts) AS n_alerts
+SELECT host, seq, ts, mem_percent, cpu_percent, disk_percent, swap_percent, process_status, CAST(len(alerts) AS INTEGER) AS n_alerts
 FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS rk FROM tseries) WHERE rk = 1""")
 def q_stream_status(spark, sf):
     stream = RS.read_telemetry_stream(spark, _source(spark, sf))

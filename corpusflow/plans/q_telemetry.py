@@ -83,7 +83,7 @@ def q_detect_restarts(spark, sf):
 
 
 @query("alert_rules", _T + """
-SELECT seq, host, len(alerts) AS n_alerts, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
+SELECT seq, host, CAST(len(alerts) AS INTEGER) AS n_alerts, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
 def q_alert_rules(spark, sf):
     s = series(spark, sf, alerts=True)
     return s.select("seq", "host", F.size("alerts").alias("n_alerts"), F.array_join("alerts", " | ").alias("alerts"))
