@@ -119,3 +119,19 @@ def q_train_ensemble(spark, sf):
     return H.ensemble_summary(per)
 
 
+
+
+@query("evaluate_best_epoch")
+def q_evaluate_best_epoch(spark, sf):
+    """M5 + H1: one model per 'epoch' (more L-BFGS iterations each), validation macro F1
+    per epoch as a history table, then the test rows scored by the best epoch's model."""
+    from functools import reduce
+    from corpusflow.operators.train import evaluate
+    s = labelled_split(spark, sf)
+    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+    models = {e: train_text_classifier(train, TrainConfig(num_features=1 << 14, max_iter=it, reg_param=0.01))
+              for e, it in [(1, 2), (2, 5), (3, 15)]}
+    hist = reduce(lambda a, b: a.unionByName(b), [
+        E.prf(score_model(m, val), "macro").select(F.lit(e).alias("epoch"), F.col("f1").alias("val_f1"))
+        for e, m in models.items()])
+    return evaluate(models, hist, val, use="best").select("row_idx", "label", "pred", "confidence", "model_epoch")
