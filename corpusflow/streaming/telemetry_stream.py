@@ -72,7 +72,10 @@ def stream_restarts(df: DataFrame, late: str = "7 days") -> DataFrame:
     Across micro-batches samples must arrive in time order; a late lower boot time can
     never raise a false alarm because the state only grows. Samples later than ``late``
     behind the watermark are dropped, and a host silent for the state TTL leaves state
-    (event-time timeout), so state stays bounded by the live hosts."""
+    (event-time timeout), so state stays bounded by the live hosts. One call sees one
+    host's samples of one micro-batch; bound the micro-batch (``maxFilesPerTrigger`` /
+    trigger interval) to bound that group, since a hot host's rows of a batch meet in
+    one task."""
     return (df.select("host", "seq", "ts", F.col("boot_time").cast("double").alias("boot_time"),
                       F.col("ts").cast("timestamp_ltz").alias("event_time"))  # UTC session: same instant
             .withWatermark("event_time", late)
