@@ -142,3 +142,24 @@ def test_empty_and_missing_log(spark, tmp_dir):
     from pyspark.errors import AnalysisException
     with _pytest.raises(AnalysisException):
         read_telemetry(spark, tmp_dir + "-absent").count()
+
+
+def test_stream_state_across_micro_batches(spark, tmp_dir):
+    """Files arrive in time order, one per micro-batch: the state carries the running max."""
+    import time as _time
+    from corpusflow.session import scratch_path
+    boots = [5.0, 4.0, 5.0, 6.0, 6.0, 7.0, 3.0, 8.0]
+    os.makedirs(tmp_dir, exist_ok=True)
+    for part in range(4):
+        with open(os.path.join(tmp_dir, f"part-{part}.jsonl"), "w") as f:
+            for i in range(part * 2, part * 2 + 2):
+                f.write(json.dumps(dict(json.loads(entry(i, boot=boots[i])), host="h1", seq=i)) + "\n")
+        os.utime(os.path.join(tmp_dir, f"part-{part}.jsonl"), (1_700_000_000 + part, 1_700_000_000 + part))
+        _time.sleep(0.01)
+    stream = RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1)
+    sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    RS.run_to_parquet(RS.stream_restarts(stream), sink, ck)
+    s = {r.seq: r.vm_restarted for r in spark.read.parquet(sink).collect()}
+    b = {r.seq: r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
+    assert s == b
+    assert [k for k, v in sorted(s.items()) if v] == [3, 5, 7]
