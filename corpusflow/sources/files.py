@@ -254,13 +254,25 @@ def parse_telemetry_lines(lines: DataFrame, value_col: str = "value") -> DataFra
     return ok.select("*", "_e.*").drop("_e", "_t", value_col)
 
 
+def _line_order(lines: DataFrame) -> DataFrame:
+    """``_cf_line``: a per-file line order that survives split files. Within one input
+    split the generated id grows with the line; splits of one file are ordered by their
+    start offset, and ``start + row-in-split`` is increasing because every line takes at
+    least one byte. The window is per split, so no group exceeds one split."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("_cf_file", "_cf_start").orderBy("_cf_mid")
+    return (lines.withColumn("_cf_line", F.col("_cf_start") + F.row_number().over(w) - 1)
+            .drop("_cf_mid", "_cf_start"))
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL scan that silently drops malformed lines; adds ``seq`` (file order) and
-    ``ts`` (TIMESTAMP_NTZ from the ISO string). A missing path raises (R14)."""
+    """JSONL scan that silently drops malformed lines; adds ``seq`` (line order in
+    the file unless the entry carries one) and ``ts`` (TIMESTAMP_NTZ from the ISO string).
+    A missing path raises (R14)."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("_cf_line"))
-    df = parse_telemetry_lines(lines)
+        "value", F.col("_metadata.file_path").alias("_cf_file"),
+        F.col("_metadata.file_block_start").alias("_cf_start"), F.monotonically_increasing_id().alias("_cf_mid"))
+    df = parse_telemetry_lines(_line_order(lines)).withColumnRenamed("_cf_file", "source_file")
     # entries written by one sampler carry no counter: file order is the order
     df = df.withColumn("seq", F.coalesce(F.col("seq"), F.col("_cf_line"))).drop("_cf_line")
     return (df.withColumn("host", F.coalesce("host", F.lit("default")))
@@ -284,7 +296,9 @@ ACCURACY_PATTERN = r"Final Accuracy:[^(]*\(([0-9.]+)%"
 def parse_run_logs(spark: SparkSession, path: str, model_from: str = "file") -> DataFrame:
     """Per log file, the first ``Final Accuracy: x (y%)`` line -> accuracy y/100."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_cf_i"))
+        "value", F.col("_metadata.file_path").alias("file"),
+        # split start offset, then the id growing inside the split: file order
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_cf_i"))
     hits = lines.select("file", "_cf_i", F.regexp_extract("value", ACCURACY_PATTERN, 1).alias("pct")).where(F.col("pct") != "")
     first = hits.groupBy("file").agg(F.min_by("pct", "_cf_i").alias("pct"))
     model = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)

@@ -28,6 +28,8 @@ def read_telemetry_stream(spark: SparkSession, path: str, max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = r.load(path)
     entries = parse_telemetry_lines(lines).withColumn("ts", F.to_timestamp_ntz("timestamp"))
+    # entries without a sample counter are ordered by their time (one sample per tick)
+    entries = entries.withColumn("seq", F.coalesce(F.col("seq"), F.unix_micros(F.col("ts").cast("timestamp_ltz"))))
     return flatten(entries)
 
 
