@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from corpusflow.operators import curate as C
 from corpusflow.operators import split as X
