@@ -113,3 +113,19 @@ def test_py_fixed_matches_python(spark):
     vals = [0.0, 0.25, 0.35, 0.05, 99.95, 1234.56, 90.0, 12.345]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     assert [r[0] for r in df.select(T.py_fixed("v")).collect()] == [f"{v:.1f}" for v in vals]
+
+
+def test_cleaners_property_random_strings(spark):
+    """Seeded random strings over an alphabet of URL/e-mail parts and every whitespace
+    class: Spark cleaners equal Python's re.sub pipeline on all of them."""
+    import random
+    rnd = random.Random(7)
+    atoms = ["http", "https://", "www", "www.", ".com", "@", "a", "B", "z9", "é", "ß", "-", "/", ":",
+             " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", "　",
+             "​", " ", "mail@x.org", "x@", "@y"]
+    rows = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 25))) for _ in range(600)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", T.clean_text_a("s").alias("a"), T.clean_text_b("s").alias("b")).collect()}
+    for i, s in enumerate(rows):
+        assert got[i][0] == py_clean_a(s), (s, got[i][0])
+        assert got[i][1] == py_clean_b(s), (s, got[i][1])
