@@ -40,13 +40,21 @@ def union_sources(dfs: list[DataFrame]) -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, key: str = "text", order=ORDER_KEYS,
-                 hash_key: bool = True) -> DataFrame:
+                 narrow: bool = False) -> DataFrame:
     """Keep the first row per ``key`` in ``order`` (pandas ``keep='first'``).
 
     One shuffle keyed on sha-256 of the text (32 bytes instead of the whole text as the
     key); ``min_by`` over a struct of the order keys is combined map-side, so copies
     inside one partition never cross the network and a hot text costs one row per
-    partition, not one task holding all copies."""
+    partition, not one task holding all copies.
+
+    ``narrow=True`` (very long texts): aggregate only ``(hash, order keys)`` and keep the
+    winners with a semi join on the (unique) order keys - whole rows are shuffled and
+    sorted once instead of twice, at the price of reading the input twice (persist it)."""
+    if narrow:
+        keys = df.select(F.unhex(F.sha2(F.col(key), 256)).alias("_cf_key"), *order)
+        winners = keys.groupBy("_cf_key").agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_cf_w"))
+        return df.join(winners.select("_cf_w.*"), on=list(order), how="left_semi")
     cols = df.columns
     k = "_cf_key"
     keyed = df.withColumn(k, F.unhex(F.sha2(F.col(key), 256)))

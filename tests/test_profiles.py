@@ -42,3 +42,14 @@ def test_run_report_long_form(spark):
     rep = {(r.section, r.key): r.value for r in run_report(info, {"seed": 42}, metrics).collect()}
     assert rep == {("dataset", "total"): "10", ("dataset", "n_fake"): "4", ("config", "seed"): "42",
                    ("metrics", "accuracy"): "0.823300", ("metrics", "f1"): "0.666667"}
+
+
+def test_dedupe_narrow_equals_default(spark):
+    import __spark_entry__  # noqa: F401 - repo root on the path
+    from corpusflow.plans.fixtures import corpus
+    c = C.clean(corpus(spark, "/root/testdata/sf0.001"), "a").persist()
+    a = sorted(tuple(r) for r in C.dedupe_first(c).select("dataset_rank", "row_idx", "text").collect())
+    b = sorted(tuple(r) for r in C.dedupe_first(c, narrow=True).select("dataset_rank", "row_idx", "text").collect())
+    assert a == b and len(a) > 0
+    small = C.dedupe_first(_corpus(spark), narrow=True).collect()
+    assert {r.text: (r.dataset_rank, r.row_idx) for r in small} == {"same text": (0, 5), "other": (0, 2)}
