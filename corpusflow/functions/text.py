@@ -85,7 +85,8 @@ def normalise_label(col, mode: str = "strict", on_invalid: str = "error") -> Col
     zero, one = ["real", "0"], ["fake", "1"]
     if mode == "lenient":
         zero, one = zero + ["0.0"], one + ["1.0"]
-    rest = s.try_cast("double").cast("int") if mode == "lenient" else F.lit(None).cast("int")
+    # NaN, infinities and values outside INT are invalid labels (null / error below)
+    rest = s.try_cast("double").try_cast("int") if mode == "lenient" else F.lit(None).cast("int")
     bad = (F.raise_error(F.concat(F.lit("Unknown label value: "), F.coalesce(s, F.lit("none"))))
            .cast("int") if on_invalid == "error" else F.lit(None).cast("int"))
     return (F.when(s.isin(*zero), F.lit(0))

@@ -62,7 +62,7 @@ def q_map_label(spark, sf):
 SELECT doc_id, label_str,
   CASE WHEN lower({_sql_strip('label_str')}) IN ('real', '0', '0.0') THEN 0
        WHEN lower({_sql_strip('label_str')}) IN ('fake', '1', '1.0') THEN 1
-       ELSE CAST(trunc(TRY_CAST(lower({_sql_strip('label_str')}) AS DOUBLE)) AS INTEGER) END AS label
+       ELSE TRY_CAST(trunc(TRY_CAST(lower({_sql_strip('label_str')}) AS DOUBLE)) AS INTEGER) END AS label
 FROM slabels""")
 def q_normalise_label(spark, sf):
     return _string_labels(spark, sf).select(

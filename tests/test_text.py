@@ -129,3 +129,27 @@ def test_cleaners_property_random_strings(spark):
     for i, s in enumerate(rows):
         assert got[i][0] == py_clean_a(s), (s, got[i][0])
         assert got[i][1] == py_clean_b(s), (s, got[i][1])
+
+
+def test_lenient_labels_property(spark):
+    """Seeded random label strings: lenient normaliser equals Python's str/strip/lower +
+    int(float(x)) rule (invalid -> null here)."""
+    import random
+    rnd = random.Random(11)
+    atoms = ["real", "REAL", "fake", "Fake", "0", "1", "0.0", "1.0", "2", "-3.9", "1e2", " ", "\t", "x", "nan", ""]
+    rows = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(1, 3))) for _ in range(300)] + [None]
+
+    def ref(x):
+        if x is None:
+            return None
+        v = py_lenient(x)
+        return v if v is not None and -2**31 <= v < 2**31 else None  # labels are INT
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string")
+    got = {r.i: r.l for r in df.select("i", T.normalise_label("s", "lenient", on_invalid="null").alias("l")).collect()}
+    for i, s in enumerate(rows):
+        try:
+            want = ref(s)
+        except (OverflowError, ValueError):
+            want = None
+        assert got[i] == want, (s, got[i], want)
