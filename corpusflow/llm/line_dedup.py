@@ -147,7 +147,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     found = slim.mapInArrow(suspects, "id long, key binary").checkpoint()
     repeated = (found.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep"))
-                .where(F.col("n") >= min_docs).select("key", "keep"))
+                .where(F.col("n") >= min_docs).select("key", "keep").checkpoint())   # apart from the join, so that a hot key is split there
     drops = (found.join(repeated, "key").where(F.col("id") != F.col("keep"))
              .groupBy(F.col("id").alias(cid)).agg(F.collect_set("key").alias(cdrop)))
     joined = (df.withColumn(cid, F.coalesce(F.col(id_col).cast("long"), F.lit(low)))
