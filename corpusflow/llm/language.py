@@ -136,7 +136,7 @@ def language_id(pages: DataFrame, model, id_col: str = "page_id", url_col: str =
         return df.groupBy(*key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
 
     dom = vector(per_domain, ["d"]).select("d", F.array(*[
-        (F.coalesce(F.col("by")[x], F.lit(0)) + F.lit(DOMAIN * (total.get(x, 0) + 1) / everything)) / (F.col("all") + DOMAIN) for x in langs]).alias("dp"))
+        (F.coalesce(F.col("by")[x], F.lit(0)) + F.lit(DOMAIN * (total.get(x, 0) + 1) / everything)) / (F.col("all") + DOMAIN) for x in langs]).alias("dp")).checkpoint()
     prior = vector(told, ["h", "d"]).join(dom, "d").select("h", F.array(*[
         F.log((F.coalesce(F.col("by")[x], F.lit(0)) + HOST * F.col("dp")[k]) / (F.col("all") + HOST)) for k, x in enumerate(langs)]).alias("hp"))
     post = rows.join(prior, "h").withColumn("s", F.zip_with("ev", "hp", lambda a, b: a + b))

@@ -141,7 +141,8 @@ def _links(fps: DataFrame, radius: int) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(j).alias("s"), F.xxhash64(F.lit(j), block(a), block(b)).alias("v"))
                      for j, (a, b) in enumerate(combinations(range(n), 2))])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.s", "k.v")
-    shared = keyed.groupBy("s", "v").agg(F.count("*").alias("n")).where("n > 1")
+    # written apart from the joins that follow, as are the tables of minima below: a hot key is then split there
+    shared = keyed.groupBy("s", "v").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
     rows = (keyed.join(shared, ["s", "v"])
             .withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
             .select("s", "v", "fp", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
@@ -192,10 +193,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     def step(e: DataFrame) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).checkpoint()
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = down.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         near = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return near.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -228,7 +229,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(_links(distinct.select("fp"), radius))
     label = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
-    best = label.groupBy("root").agg(F.min("low").alias("component_id"))
+    best = label.groupBy("root").agg(F.min("low").alias("component_id")).checkpoint()
     named = label.join(best, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
