@@ -14,8 +14,8 @@ from . import common
 
 BITS = 16                       # buckets of each of the feature groups
 GROUPS = 3                      # words, word pairs, character triples
-SAMPLE = 6000                   # labelled rows the classifier is fitted on (a bounded sample)
-THRESHOLD = 0.5                 # calibrated probability of good quality below which a document goes
+SAMPLE = 2400                   # labelled rows the classifier is fitted on (a bounded sample)
+THRESHOLD = 0.25            # calibrated probability of good quality below which a document goes: clean ones stay
 SYMBOLS = b"[#*$%&|<>]"         # the contract's class: # * $ % & | < >
 _SYM = b"#*$%&|<>"
 _WS = bytes(range(9, 14)) + b" "
@@ -94,12 +94,13 @@ class Features:
             yield np.concatenate(idx).astype(np.int32), np.concatenate(val).astype(np.float32)
 
 
-def _fit(rows: list, width: int, rounds: int = 150, l2: float = 1e-6):
+def _fit(rows: list, width: int, rounds: int = 100, l2: float = 1e-6):
     """Logistic regression by full-batch Adam on sparse rows; Platt scaling on the held-out fifth."""
     y = np.array([r[2] for r in rows], float)
     n = np.array([len(r[0]) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), n)
-    idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(float)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+    idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    rows = range(len(rows))                          # the arrays hold all that is needed
     held = np.arange(len(rows)) % 5 == 4
     if held.sum() < 10 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(rows), bool)
@@ -151,7 +152,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
            .join(F.broadcast(picked), "i").select("i", "y", "t")
            .mapInArrow(rows, "i long, y int, a binary, v binary")
            .groupBy("i").agg(F.first("y").alias("y"), F.first("a").alias("a"), F.first("v").alias("v"))
-           .orderBy(F.xxhash64("i"), "i").limit(sample).collect())
+           .orderBy(F.xxhash64("i"), "i").limit(sample).toLocalIterator())
     data = [(np.frombuffer(bytes(r["a"]), np.int32), np.frombuffer(bytes(r["v"]), np.float32), r["y"])
             for r in got if len(r["a"])]
     if len({d[2] for d in data}) < 2:
