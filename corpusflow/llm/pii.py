@@ -30,7 +30,7 @@ ACCEPT = 0.8           # score at which an identifier is accepted
 
 
 def _octet() -> str:
-    return r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def _luhn(digits: Column) -> Column:
