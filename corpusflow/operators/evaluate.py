@@ -71,15 +71,17 @@ def auc_score(df: DataFrame, label: str = "label", score: str = "score") -> Data
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     run = running_agg(per, "neg", "neg_below", [], "s", how="sum", exclusive=True)
     tot = run.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                  F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("U"))
+                  F.sum(F.col("pos").cast("double") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("U"))
     return tot.select(F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(0.0))
-                      .otherwise(F.col("U") / (F.col("P") * F.col("N"))).alias("auc"))
+                      .otherwise(F.col("U") / F.col("P").cast("double") / F.col("N").cast("double")).alias("auc"))
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", classes=(0, 1)) -> DataFrame:
-    """Confusion matrix, one row per true class, one column per predicted class."""
-    g = df.groupBy(F.col(label).alias("label")).pivot(pred, list(classes)).agg(F.count(F.lit(1)))
-    return g.select("label", *[F.coalesce(F.col(str(c)), F.lit(0)).alias(f"pred_{c}") for c in classes])
+    """Confusion matrix, one row per true class, one column per predicted class;
+    ``pred_other`` counts predictions outside ``classes`` (null included)."""
+    known = F.coalesce(F.col(pred).isin(*classes), F.lit(False))
+    return df.groupBy(F.col(label).alias("label")).agg(
+        *[F.count_if(F.col(pred) == c).alias(f"pred_{c}") for c in classes], F.count_if(~known).alias("pred_other"))
 
 
 def evaluate_table(df: DataFrame, loss: str = "ce", batch: str = "batch_id", label: str = "label",

@@ -4,8 +4,8 @@ A plain ``row_number() OVER (ORDER BY k)`` moves every row into one task. Instea
 order key gets a coarse *bucket* that is monotone in the key and roughly uniform:
 
 * hash order: the first hex digits of the md5 key (uniform by construction);
-* numeric order (ids, sample counters, timestamps): equal-width ranges of the key
-  between its min and max (one tiny aggregate; pure arithmetic per row).
+* numeric order (ids, sample counters, timestamps): ranges between approximate quantiles
+  of the key (one partial aggregate).
 
 Rows are numbered inside ``(group, bucket)`` windows (many parallel tasks), and a small
 prefix sum over the per-bucket counts (at most ``groups x buckets`` rows, aggregated
@@ -37,26 +37,43 @@ def position_by_hash(df: DataFrame, hash_col: str, tiebreak: list[str], name: st
     return _position_in_buckets(keyed, b, [hash_col] + list(tiebreak), name, group_cols)
 
 
-def value_bucket(df: DataFrame, order_col: str, buckets: int, name: str = "_cf_bucket") -> DataFrame:
-    """Add an equal-width bucket of ``order_col`` in ``[0, buckets)`` (monotone in the key).
+def order_number(df: DataFrame, order_col: str) -> Column:
+    """The order key as a double: numbers as they are, times as microseconds, dates as days."""
+    kind = df.schema[order_col].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(order_col).cast("timestamp_ltz")).cast("double")
+    return F.unix_date(order_col).cast("double") if kind == "date" else F.col(order_col).cast("double")
+
 
-    min/max come from one partial aggregate (a single row of two values, broadcast)."""
-    key = F.col(order_col).cast("double")
-    mm = df.agg(F.min(key).alias("_cf_lo"), F.max(key).alias("_cf_hi"))
-    width = (F.col("_cf_hi") - F.col("_cf_lo")) / F.lit(float(buckets))
-    b = F.when(width > 0, F.least(F.floor((key - F.col("_cf_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    return df.crossJoin(F.broadcast(mm)).withColumn(name, b.cast("int")).drop("_cf_lo", "_cf_hi")
+def value_bucket(df: DataFrame, order_col: str, buckets: int, name: str = "_cf_bucket") -> DataFrame:
+    """Add a bucket of ``order_col`` in ``[0, buckets]`` that is monotone in the key.
+
+    The bounds are approximate quantiles (one partial aggregate; a single row holding at most
+    ``buckets`` numbers, broadcast), so an outlier does not collapse the buckets as equal widths
+    would. A row finds its bucket in two steps of about sqrt(buckets) comparisons. Null keys go to
+    bucket 0: they come first, as in an ascending sort."""
+    key = order_number(df, order_col)
+    step = max(1, int(buckets ** 0.5))
+    shares = [(k + 1) / buckets for k in range(buckets - 1)]
+    cuts = (df.agg(F.percentile_approx(key, shares, 10 * buckets).alias("_cf_q"))
+            .select(F.coalesce(F.array_sort(F.array_distinct("_cf_q")), F.array().cast("array<double>")).alias("_cf_q"))
+            .withColumn("_cf_top", F.expr(f"filter(_cf_q, (x, i) -> i % {step} = {step - 1})")))
+    keyed = df.withColumn("_cf_k", key).crossJoin(F.broadcast(cuts))
+    coarse = F.size(F.filter("_cf_top", lambda x: x < F.col("_cf_k"))) * step
+    fine = F.size(F.filter(F.slice("_cf_q", coarse + 1, F.lit(step)), lambda x: x < F.col("_cf_k")))
+    b = F.when(F.col("_cf_k").isNull(), F.lit(0)).otherwise(coarse + fine)
+    return keyed.withColumn(name, b.cast("int")).drop("_cf_q", "_cf_top", "_cf_k")
 
 
 def position_by_value(df: DataFrame, order_col: str, tiebreak: list[str], name: str = "pos",
-                      group_cols: list[str] | None = None, buckets: int = 4096,
+                      group_cols: list[str] | None = None, buckets: int = 1024,
                       descending: bool = False) -> DataFrame:
-    """0-based position in numeric order ``(order_col, *tiebreak)`` (equal-width buckets)."""
+    """0-based position in numeric order ``(order_col, *tiebreak)`` (quantile buckets)."""
     group_cols = list(group_cols or [])
     b = "_cf_bucket"
     keyed = value_bucket(df, order_col, buckets, b)
     if descending:
-        keyed = keyed.withColumn(b, F.lit(buckets - 1) - F.col(b))
+        keyed = keyed.withColumn(b, F.lit(buckets) - F.col(b))
     return _position_in_buckets(keyed, b, [order_col] + list(tiebreak), name, group_cols,
                                 descending=descending)
 
@@ -78,7 +95,7 @@ def _position_in_buckets(keyed: DataFrame, b: str, order: list[str], name: str,
 
 def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str], order_col: str,
                 tiebreak: list[str] = (), how: str = "max", exclusive: bool = True,
-                buckets: int = 4096, first_out: str | None = None) -> DataFrame:
+                buckets: int = 1024, first_out: str | None = None) -> DataFrame:
     """Running ``max``/``sum`` of ``value_col`` per group in ``(order_col, *tiebreak)`` order.
 
     ``exclusive`` -> over the rows strictly before the current one. Same bucket scheme as

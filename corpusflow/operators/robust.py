@@ -62,7 +62,8 @@ def beta_draw(batch_col, seed: int, alpha: float):
     def _draw(b: pd.Series) -> pd.Series:
         if alpha <= 0:
             return pd.Series(np.ones(len(b)))
-        return pd.Series([np.random.default_rng([seed, int(x)]).beta(alpha, alpha) for x in b])
+        lam = {x: np.random.default_rng([seed, int(x)]).beta(alpha, alpha) for x in b.unique()}   # once per batch
+        return b.map(lam)
     return _draw(batch_col)
 
 

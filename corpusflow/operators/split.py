@@ -34,19 +34,20 @@ def _ceil_frac(n: Column, frac, float_compat: bool) -> Column:
     if float_compat:
         return F.ceil(n.cast("double") * F.lit(float(frac))).cast("long")
     fr = Fraction(str(frac)) if not isinstance(frac, Fraction) else frac
-    return _idiv(n * F.lit(fr.numerator) + F.lit(fr.denominator - 1), fr.denominator)
+    return _idiv(n.cast("decimal(24,0)") * F.lit(fr.numerator).cast("decimal(12,0)") + F.lit(fr.denominator - 1), fr.denominator)
 
 
 def _approx_mode(q: DataFrame, count_col: str, draws_col: str, out: str) -> DataFrame:
     """Largest-remainder allocation of ``draws`` over strata proportional to counts."""
     w_all = Window.partitionBy()
     total = F.sum(count_col).over(w_all)
+    share = F.col(count_col).cast("decimal(19,0)") * F.col(draws_col).cast("decimal(19,0)")   # exceeds a long
     q = (q.withColumn("_cf_tot", total)
          .withColumn("_cf_fl", F.when(F.col("_cf_tot") > 0,
-                                      _idiv(F.col(count_col) * F.col(draws_col), F.col("_cf_tot")))
+                                      _idiv(share, F.col("_cf_tot")))
                      .otherwise(F.lit(0)).cast("long"))
          .withColumn("_cf_rem", F.when(F.col("_cf_tot") > 0,
-                                       F.pmod(F.col(count_col) * F.col(draws_col), F.col("_cf_tot")))
+                                       F.pmod(share, F.col("_cf_tot").cast("decimal(38,0)")))
                      .otherwise(F.lit(0)).cast("long")))
     q = q.withColumn("_cf_need", F.col(draws_col) - F.sum("_cf_fl").over(w_all))
     q = q.withColumn("_cf_rk", F.row_number().over(Window.orderBy(F.col("_cf_rem").desc(), F.col("stratum"))))

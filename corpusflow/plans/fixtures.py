@@ -12,27 +12,12 @@ from pyspark.sql import functions as F
 from corpusflow.operators.curate import drop_incomplete, union_sources
 
 
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan a driver table. Text tables go through :func:`spread` because per-row regex
-    work dominates them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    """Scan a driver table; ``spark.sql.files.maxPartitionBytes`` decides its splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores (one row group
-    per file, as in the test tables) round-robin over the cores before heavy per-row
-    work. A scan of many large files already has enough splits and is left alone, so
-    at scale this adds no shuffle. Reads only the scan's split count (planning, no job)."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan alone
-        return df
-    return df.repartition(target) if splits < target else df
+TURNS = 1 << 32    # turns of a conversation stay below it, so (conv_id, turn) is one unique order key
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +36,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"), F.when(F.col("role") == "assistant", 1).otherwise(0).alias("label"),
         F.col("role").alias("domain"), F.lit("unknown").alias("language"),
         F.lit("conversations").alias("dataset"), F.lit(2).alias("dataset_rank"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"))
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("row_idx"))
     return drop_incomplete(union_sources([d, b, c]))
 
 
@@ -65,13 +50,13 @@ corpus AS (
     SELECT text, 0, 'benchmark', 'en', 'benchmark', 1, item_id FROM benchmark
     UNION ALL
     SELECT text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END, role, 'unknown', 'conversations', 2,
-           conv_id * 1000 + turn FROM conversations
+           conv_id * 4294967296 + turn FROM conversations
   ) WHERE text IS NOT NULL AND label IS NOT NULL AND domain IS NOT NULL AND language IS NOT NULL
 )"""
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents ⋈ labels as a canonical corpus (rank 0 only)."""
+    """documents ⋈ labels as a canonical corpus (rank 0 only; the other sources are not scanned)."""
     return corpus(spark, sf_dir).where(F.col("dataset_rank") == 0)
 
 
@@ -200,3 +185,26 @@ tseries AS (
          ], lambda x: x IS NOT NULL) AS alerts
   FROM tseries1
 )"""
+
+
+def entries_from_series(series: DataFrame) -> DataFrame:
+    """Flat samples -> nested telemetry entries (one JSON object per line; absent
+    fields are omitted, so an absent process stays absent)."""
+    proc = F.when(F.col("has_process"), F.struct(
+        F.lit(4242).alias("pid"), F.col("process_status").alias("status"),
+        F.lit(1.5).alias("memory_rss_gb"), F.lit(3.0).alias("memory_vms_gb"), F.lit(99.0).alias("cpu_percent"),
+        F.lit(12).alias("num_threads"), F.lit(40).alias("open_files"), F.lit(3).alias("connections"),
+        F.col("process_error").alias("error")))
+    metrics = F.struct(
+        F.struct(F.lit(64.0).alias("total_gb"), F.col("mem_available_gb").alias("available_gb"),
+                 F.col("mem_used_gb").alias("used_gb"), F.col("mem_percent").alias("percent"),
+                 F.lit(16.0).alias("swap_total_gb"), F.col("swap_used_gb").alias("swap_used_gb"),
+                 F.col("swap_percent").alias("swap_percent")).alias("memory"),
+        F.struct(F.col("cpu_percent").alias("percent"), F.lit(8).alias("count")).alias("cpu"),
+        F.struct(F.lit(500.0).alias("total_gb"), (F.lit(500.0) - F.col("disk_free_gb")).alias("used_gb"),
+                 F.col("disk_free_gb").alias("free_gb"), F.col("disk_percent").alias("percent")).alias("disk"),
+        proc.alias("process"))
+    return series.select(F.to_json(F.struct(
+        F.col("host").cast("string").alias("host"), F.col("seq"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.col("boot_time").cast("double").alias("boot_time"), metrics.alias("metrics"))).alias("value"))

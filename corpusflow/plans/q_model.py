@@ -203,7 +203,8 @@ def q_auc_score(spark, sf):
 
 
 @query("confusion", _BASE + """
-SELECT label, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1
+SELECT label, count(*) FILTER (WHERE pred = 0) AS pred_0, count(*) FILTER (WHERE pred = 1) AS pred_1,
+       count(*) FILTER (WHERE pred IS NULL OR pred NOT IN (0, 1)) AS pred_other
 FROM ce GROUP BY label""")
 def q_confusion(spark, sf):
     return E.confusion(scored_ce(spark, sf))

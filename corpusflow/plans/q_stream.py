@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.plans.fixtures import TELEMETRY_SQL, TSERIES_SQL, telemetry_series
+from corpusflow.plans.fixtures import TELEMETRY_SQL, TSERIES_SQL, entries_from_series, telemetry_series
 from corpusflow.plans.registry import query, with_ctes
 from corpusflow.session import scratch_path
 from corpusflow.streaming import telemetry_stream as RS
@@ -16,15 +16,18 @@ _T = with_ctes(TELEMETRY_SQL, TSERIES_SQL)
 
 def _source(spark, sf, files: int = 8):
     src = scratch_path(spark, "telemetry-src")
-    entries = RS.entries_from_series(telemetry_series(spark, sf, restarts=False, alerts=False))
-    entries.repartition(files).write.text(src)
+    series = telemetry_series(spark, sf, restarts=False, alerts=False)
+    cuts = series.approxQuantile("seq", [k / files for k in range(1, files)], 0.001)
+    part = sum((F.when(F.col("seq") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(files):          # files arrive in time order, as a sampler writes them
+        entries_from_series(series.where(part == k)).coalesce(1).write.mode("append").text(src)
     return src
 
 
 def _run(spark, df, name, mode="append"):
     sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
     RS.run_to_parquet(df, sink, ckpt, mode)
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink) if mode == "append" else RS.read_latest(spark, sink)
 
 
 @query("stream_alerts", _T + """
@@ -38,7 +41,7 @@ def q_stream_alerts(spark, sf):
 
 @query("stream_restarts", _T + "SELECT seq, host, CAST(boot_time AS DOUBLE) AS boot_time, vm_restarted FROM tseries")
 def q_stream_restarts(spark, sf):
-    stream = RS.read_telemetry_stream(spark, _source(spark, sf))
+    stream = RS.read_telemetry_stream(spark, _source(spark, sf), max_files_per_trigger=1)   # state is carried over
     out = _run(spark, RS.stream_restarts(stream), "restarts")
     return out.select("seq", F.col("host").cast("long").alias("host"), "boot_time", "vm_restarted")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusflow.operators import curate as C
 from corpusflow.operators import evaluate as E
 from corpusflow.operators import history as H
 from corpusflow.operators import robust as L
@@ -14,18 +15,18 @@ from corpusflow.operators.features import array_features
 from corpusflow.operators.split import assign_batches, stratified_split
 from corpusflow.operators.train import (TrainConfig, domain_probe, load_model, save_model, score_model,
                                         train_ensemble, train_group_dro, train_text_classifier)
-from corpusflow.plans.fixtures import table
-from corpusflow.plans.q_corpus import deduped
+from corpusflow.plans.fixtures import labelled_docs, table
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 
 CFG = TrainConfig(num_features=1 << 16, max_iter=30, reg_param=0.01)
 
 
-def labelled_split(spark, sf):
+def labelled_split(spark, sf, parts=(("train", 0.8), ("val", 0.2))):
     """Labelled documents (rank 0), cleaner B, > 10 chars, keep-first dedupe, 80/20 by label."""
-    d = deduped(spark, sf, cleaner="b", min_len=10, materialize=True).where(F.col("dataset_rank") == 0)
-    return stratified_split(d, ["label"], [("train", 0.8), ("val", 0.2)], seed=42)
+    # the first source wins each duplicate, so the others need not be read
+    first = C.min_length(C.clean(labelled_docs(spark, sf), "b"), 10)
+    return stratified_split(C.dedupe_first(first), ["label"], list(parts), seed=42)
 
 
 def _fit(spark, sf, cfg=CFG):
@@ -127,11 +128,11 @@ def q_evaluate_best_epoch(spark, sf):
     per epoch as a history table, then the test rows scored by the best epoch's model."""
     from functools import reduce
     from corpusflow.operators.train import evaluate
-    s = labelled_split(spark, sf)
-    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+    s = labelled_split(spark, sf, (("train", 0.7), ("val", 0.1), ("test", 0.2)))
+    train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
     models = {e: train_text_classifier(train, TrainConfig(num_features=1 << 14, max_iter=it, reg_param=0.01))
               for e, it in [(1, 2), (2, 5), (3, 15)]}
     hist = reduce(lambda a, b: a.unionByName(b), [
         E.prf(score_model(m, val), "macro").select(F.lit(e).alias("epoch"), F.col("f1").alias("val_f1"))
         for e, m in models.items()])
-    return evaluate(models, hist, val, use="best").select("row_idx", "label", "pred", "confidence", "model_epoch")
+    return evaluate(models, hist, test, use="best").select("row_idx", "label", "pred", "confidence", "model_epoch")

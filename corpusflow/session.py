@@ -56,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     path = sc.getConf().get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None)
-    if not path:  # local runs and tests only
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {_CKPT_KEY} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

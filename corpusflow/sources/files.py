@@ -20,6 +20,10 @@ CANONICAL_SCHEMA = T.StructType([
 ])
 
 
+FILE_STRIDE = 1 << 33    # rows of one file; ids of a split stay below it
+PART_STRIDE = 1 << 53    # rows of one part of a pair
+
+
 def string_schema(cols: list[str]) -> T.StructType:
     """All-string schema: labels and ids are cast explicitly later (``try_cast``)."""
     return T.StructType([T.StructField(c, T.StringType()) for c in cols])
@@ -30,9 +34,10 @@ def read_csv_source(spark: SparkSession, path, schema: T.StructType | None = Non
     """CSV with header; quoted separators, quoted newlines and doubled quotes are
     legal (``multiLine`` + ``escape='"'``). NA tokens become null (P1).
 
-    ``row_index`` adds ``row_idx`` = order of the row in its file: rows keep their file
-    position through ``_metadata`` (file name) and ``monotonically_increasing_id`` on a
-    non-split multi-line scan, ranked per file without a global window."""
+    ``row_index`` adds ``row_idx``, unique in the source and in reading order: the rank of
+    the file by path times ``FILE_STRIDE`` plus the position in the file. A multi-line file is
+    one split, so the generated ids of its rows are consecutive; the position is the distance
+    to the file's smallest id (one small aggregate, no sort)."""
     r = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
          .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE"))
     if schema is not None:
@@ -45,9 +50,11 @@ def read_csv_source(spark: SparkSession, path, schema: T.StructType | None = Non
         df = df.withColumn("_cf_file", F.col("_metadata.file_path")).withColumn(
             "_cf_mid", F.monotonically_increasing_id())
         from pyspark.sql import Window
-        w = Window.partitionBy("_cf_file").orderBy("_cf_mid")
-        df = df.withColumn("row_idx", (F.row_number().over(w) - 1).cast("long")).drop("_cf_mid")
-        df = df.withColumnRenamed("_cf_file", "source_file")
+        files = (df.groupBy("_cf_file").agg(F.min("_cf_mid").alias("_cf_first"))   # a row per file
+                 .withColumn("_cf_rank", F.row_number().over(Window.orderBy("_cf_file")) - 1))
+        df = (df.join(files, "_cf_file")
+              .withColumn("row_idx", (F.col("_cf_rank") * FILE_STRIDE + F.col("_cf_mid") - F.col("_cf_first")).cast("long"))
+              .drop("_cf_mid", "_cf_first", "_cf_rank").withColumnRenamed("_cf_file", "source_file"))
     return df
 
 
@@ -62,8 +69,12 @@ def tag_source(df: DataFrame, label=None, domain=None, language=None, dataset=No
 
 
 def labelled_pair(parts: list[tuple[DataFrame, int]], domain=None, language=None) -> DataFrame:
-    """S3: the label comes from *which file* a row was read from."""
+    """S3: the label comes from *which file* a row was read from. The parts follow each other:
+    ``row_idx`` (when present) of the n-th part is raised by ``n * PART_STRIDE``, so order keys
+    stay unique and a text in two parts is kept from the first."""
     tagged = [tag_source(df, label=lab, domain=domain, language=language) for df, lab in parts]
+    tagged = [df.withColumn("row_idx", F.col("row_idx") + F.lit(k * PART_STRIDE)) if "row_idx" in df.columns else df
+              for k, df in enumerate(tagged)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
@@ -101,7 +112,8 @@ def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "s
     """Read every source in isolation -> (union, report).
 
     Spark is lazy, so a failing source is detected by forcing a schema check and one
-    small aggregate per source (bad label casts, missing columns). A failing source is
+    aggregate per source (bad label casts, missing columns, rows that can be read). The report
+    counts the rows that are loaded. A failing source is
     reported and skipped; an optional absent source yields nothing with status
     ``missing``; no usable source at all raises."""
     good, report = [], []
@@ -118,8 +130,10 @@ def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "s
                 _resolve(spec.language, raw).cast("string").alias("language"),
                 (F.col("row_idx") if "row_idx" in raw.columns else F.monotonically_increasing_id()).alias("row_idx"),
             )
-            df = df.withColumn("label", F.col("_cf_label_raw").cast("string").try_cast("int"))
-            stats = df.agg(F.count(F.lit(1)).alias("n"),
+            # "1.0" is a label like "1": read as a number, then truncated
+            df = df.withColumn("label", F.col("_cf_label_raw").cast("string").try_cast("double").try_cast("int"))
+            full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("text", "label", "domain", "language")])
+            stats = df.agg(F.count_if(full).alias("n"),
                            F.count_if(F.col("_cf_label_raw").isNotNull() & F.col("label").isNull()).alias("bad")).first()
             if spec.strict_label and stats["bad"]:
                 raise ValueError(f"{stats['bad']} labels do not cast to int")
@@ -127,7 +141,7 @@ def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "s
                   .withColumn("dataset_rank", F.lit(rank)).select(*CANONICAL_SCHEMA.fieldNames()))
             good.append(df.na.drop(subset=["text", "label", "domain", "language"]))
             report.append((spec.name, rank, "ok", int(stats["n"]), None))
-        except (AnalysisException, ValueError, OSError) as e:
+        except Exception as e:  # noqa: BLE001 - whatever breaks one source, the others load
             is_missing = isinstance(e, AnalysisException) and "PATH_NOT_FOUND" in str(e)
             if spec.optional and is_missing:
                 report.append((spec.name, rank, "missing", 0, None))
@@ -164,17 +178,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_or_make_splits(spark: SparkSession, base: str, maker, names=("train", "val", "test"),
-                        fmt: str = "csv") -> DataFrame:
+                        fmt: str | None = None) -> DataFrame:
     """Use saved splits only when all three exist, else build them with ``maker()``.
 
-    Saved CSV splits may lack ``domain`` (P11 -> ``unknown``)."""
-    paths = [f"{base}/{n}.{fmt}" if fmt == "csv" else f"{base}/split={n}" for n in names]
-    if all(_exists(spark, p) for p in paths):
+    Splits saved by ``write_splits`` (parquet folders) are found first, then CSV files, unless
+    ``fmt`` names one of them. Labels are normalised (P7; unknown values become null) and a
+    missing ``domain`` is ``unknown`` (P11)."""
+    from corpusflow.functions.text import normalise_label
+    for fmt in [fmt] if fmt else ["parquet", "csv"]:
+        paths = [f"{base}/{n}.{fmt}" if fmt == "csv" else f"{base}/split={n}" for n in names]
+        if not all(_exists(spark, p) for p in paths):
+            continue
         parts = []
         for n, p in zip(names, paths):
             df = (read_csv_source(spark, p, row_index=False) if fmt == "csv" else spark.read.parquet(p))
             if "domain" not in df.columns:
                 df = df.withColumn("domain", F.lit("unknown"))
+            if "label" in df.columns:
+                df = df.withColumn("label", normalise_label("label", mode="lenient", on_invalid="null"))
             parts.append(df.withColumn("split", F.lit(n)))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return maker()
@@ -243,13 +264,18 @@ TELEMETRY_SCHEMA = T.StructType([
 ])
 
 
+def _entry(value_col: str) -> Column:
+    """The one JSON object of a line, or null. The line is parsed as the only element of an
+    array, so anything after the object makes it malformed; quotes must be double."""
+    many = F.from_json(F.concat(F.lit("["), F.col(value_col), F.lit("]")), T.ArrayType(TELEMETRY_SCHEMA),
+                       {"allowSingleQuotes": "false"})
+    return F.when(F.size(many) == 1, F.get(many, F.lit(0)))
+
+
 def parse_telemetry_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
-    """Parse JSON lines; malformed and blank lines are dropped (and countable via
-    ``_corrupt``). ``seq`` = line order inside the file."""
-    parsed = lines.select(
-        "*", F.from_json(F.col(value_col), TELEMETRY_SCHEMA,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_e"),
-        F.trim(F.col(value_col)).alias("_t"))
+    """Parse JSON lines strictly; malformed and blank lines are dropped (see
+    :func:`count_malformed`)."""
+    parsed = lines.select("*", _entry(value_col).alias("_e"), F.trim(F.col(value_col)).alias("_t"))
     ok = parsed.where((F.length("_t") > 0) & F.col("_e").isNotNull() & F.col("_e.timestamp").isNotNull())
     return ok.select("*", "_e.*").drop("_e", "_t", value_col)
 
@@ -266,24 +292,24 @@ def _line_order(lines: DataFrame) -> DataFrame:
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL scan that silently drops malformed lines; adds ``seq`` (line order in
-    the file unless the entry carries one) and ``ts`` (TIMESTAMP_NTZ from the ISO string).
-    A missing path raises (R14)."""
+    """JSONL scan that silently drops malformed lines; adds ``ts`` (TIMESTAMP_NTZ from the
+    ISO string), ``source_file`` and ``line`` (order in the file). An entry without a counter
+    gets its time in microseconds as ``seq``, as the stream reader does, so rotated files of a
+    host follow each other. A missing path raises (R14)."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_cf_file"),
         F.col("_metadata.file_block_start").alias("_cf_start"), F.monotonically_increasing_id().alias("_cf_mid"))
-    df = parse_telemetry_lines(_line_order(lines)).withColumnRenamed("_cf_file", "source_file")
-    # entries written by one sampler carry no counter: file order is the order
-    df = df.withColumn("seq", F.coalesce(F.col("seq"), F.col("_cf_line"))).drop("_cf_line")
+    df = parse_telemetry_lines(_line_order(lines)).withColumnsRenamed({"_cf_file": "source_file", "_cf_line": "line"})
     return (df.withColumn("host", F.coalesce("host", F.lit("default")))
-            .withColumn("ts", F.to_timestamp_ntz("timestamp")))
+            .withColumn("ts", F.to_timestamp_ntz("timestamp"))
+            .withColumn("seq", F.coalesce(F.col("seq"), F.unix_micros(F.col("ts").cast("timestamp_ltz")))))
 
 
 def count_malformed(spark: SparkSession, path: str) -> DataFrame:
     """How many non-blank lines of a JSONL path failed to parse."""
     lines = spark.read.text(path)
     p = lines.select(F.trim("value").alias("t"),
-                     F.from_json("value", TELEMETRY_SCHEMA, {"mode": "PERMISSIVE"}).alias("e"))
+                     _entry("value").alias("e"))
     return p.agg(F.count_if((F.length("t") > 0) & (F.col("e").isNull() | F.col("e.timestamp").isNull())).alias("malformed"),
                  F.count_if(F.length("t") == 0).alias("blank"))
 

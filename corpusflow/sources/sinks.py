@@ -37,9 +37,19 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
 
 
-def run_report(dataset_info: DataFrame, config: dict, metrics: DataFrame) -> DataFrame:
+def append_jsonl(entries: DataFrame, path: str) -> None:
+    """K3: append entries (one JSON string column, or any columns) as JSON lines."""
+    if entries.dtypes and len(entries.dtypes) == 1 and entries.dtypes[0][1] == "string":
+        entries.write.mode("append").text(path)
+    else:
+        entries.write.mode("append").json(path)
+
+
+def run_report(dataset_info: DataFrame, config: dict, metrics: DataFrame, examples: DataFrame | None = None) -> DataFrame:
     """K4: the result report as a long ``(section, key, value)`` table: dataset counts,
-    configuration literals and metric values (rendering to text is left to readers)."""
+    configuration literals, metric values and, when given, examples (rendering to text is left to
+    readers). ``examples`` has a column ``example`` (their number) beside what to show of each: text,
+    prediction, confidence, probabilities; keys are ``<number>.<column>``."""
     def as_text(c, t):
         # doubles with six decimals (Python-compatible rounding), everything else as is
         return (f"regexp_replace(format_number(`{c}`, 6), ',', '')" if t in ("double", "float")
@@ -50,6 +60,12 @@ def run_report(dataset_info: DataFrame, config: dict, metrics: DataFrame) -> Dat
         st = "stack({}, {})".format(len(cols), ", ".join(f"'{c}', {as_text(c, t)}" for c, t in cols))
         return df.selectExpr(f"'{section}' AS section", f"{st} AS (key, value)")
     cfg = dataset_info.sparkSession.createDataFrame([(k, str(v)) for k, v in config.items()], "key string, value string")
-    return (longify(dataset_info, "dataset")
+    shown = []
+    if examples is not None:
+        cols = [(c, t) for c, t in examples.dtypes if c != "example"]
+        st = "stack({}, {})".format(len(cols), ", ".join(f"concat(example, '.{c}'), {as_text(c, t)}" for c, t in cols))
+        shown = [examples.selectExpr("'examples' AS section", f"{st} AS (key, value)")]
+    report = (longify(dataset_info, "dataset")
             .unionByName(cfg.select(F.lit("config").alias("section"), "key", "value"))
             .unionByName(longify(metrics, "metrics")))
+    return report.unionByName(shown[0]) if shown else report

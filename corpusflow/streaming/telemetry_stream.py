@@ -2,7 +2,7 @@
 
 Entries arrive as JSON-lines files from many hosts. Alerts are stateless (append);
 restart detection keeps one running maximum of the boot time per host
-(``applyInPandasWithState`` with a processing-time timeout so dead hosts leave state);
+(``applyInPandasWithState``);
 the status table keeps the latest sample per host (complete mode, one row per host).
 Sources, sinks and checkpoints live under the shared checkpoint folder.
 """
@@ -40,50 +40,55 @@ def stream_alerts(df: DataFrame, thresholds: dict | None = None, process_name: s
 
 RESTART_OUT = "host string, seq long, ts timestamp_ntz, boot_time double, vm_restarted boolean"
 RESTART_STATE = "max_boot double, dead boolean"
-STATE_TTL_MS = 7 * 24 * 3600 * 1000
-
-
-def _restart_state_fn(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(chunks), ignore_index=True).sort_values("seq", kind="stable")
-    b = pdf["boot_time"].to_numpy(dtype="float64")
-    if state.exists:
-        start, dead = state.get
-        start = np.nan if start is None else start
-        prev = np.fmax.accumulate(np.concatenate([[start], b[:-1]])) if len(b) else b
-    else:
-        dead = bool(np.isnan(b[0]))
-        start = b[0]
-        prev = np.concatenate([[np.nan], np.fmax.accumulate(b[:-1])]) if len(b) > 1 else np.array([np.nan])
-    flag = (~np.isnan(b)) & (~np.isnan(prev)) & (b > np.nan_to_num(prev, nan=np.inf))
-    if dead:
-        flag[:] = False
-    new_max = np.fmax.reduce(np.concatenate([[start], b])) if len(b) else start
-    state.update((None if np.isnan(new_max) else float(new_max), bool(dead)))
-    # host state expires one TTL after its latest sample (event time)
-    last_ms = int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000)
-    state.setTimeoutTimestamp(max(last_ms + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"host": pdf["host"].to_numpy(), "seq": pdf["seq"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-                        "boot_time": b, "vm_restarted": flag})
-
-
-def stream_restarts(df: DataFrame, late: str = "7 days") -> DataFrame:
+
+
+def _restart_state_fn(ttl_ms: int | None):
+    def step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(chunks), ignore_index=True).sort_values("seq", kind="stable")
+        b = pdf["boot_time"].to_numpy(dtype="float64")
+        if state.exists:
+            start, dead = state.get
+            start = np.nan if start is None else start
+            prev = np.fmax.accumulate(np.concatenate([[start], b[:-1]])) if len(b) else b
+        else:
+            dead = bool(np.isnan(b[0]))
+            start = b[0]
+            prev = np.concatenate([[np.nan], np.fmax.accumulate(b[:-1])]) if len(b) > 1 else np.array([np.nan])
+        flag = (~np.isnan(b)) & (~np.isnan(prev)) & (b > np.nan_to_num(prev, nan=np.inf))
+        if dead:
+            flag[:] = False
+        new_max = np.fmax.reduce(np.concatenate([[start], b])) if len(b) else start
+        state.update((None if np.isnan(new_max) else float(new_max), bool(dead)))
+        if ttl_ms is not None:
+            # host state expires one TTL after its latest sample (event time)
+            last_ms = int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000)
+            state.setTimeoutTimestamp(max(last_ms + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"host": pdf["host"].to_numpy(), "seq": pdf["seq"].to_numpy(), "ts": pdf["ts"].to_numpy(),
+                            "boot_time": b, "vm_restarted": flag})
+    return step
+
+
+def stream_restarts(df: DataFrame, late: str | None = None, ttl_ms: int | None = None) -> DataFrame:
     """RS3: restart detection with per-host state = running max of the boot time.
-    Across micro-batches samples must arrive in time order; a late lower boot time can
-    never raise a false alarm because the state only grows. Samples later than ``late``
-    behind the watermark are dropped, and a host silent for the state TTL leaves state
-    (event-time timeout), so state stays bounded by the live hosts. One call sees one
-    host's samples of one micro-batch; bound the micro-batch (``maxFilesPerTrigger`` /
-    trigger interval) to bound that group, since a hot host's rows of a batch meet in
-    one task."""
-    return (df.select("host", "seq", "ts", F.col("boot_time").cast("double").alias("boot_time"),
-                      F.col("ts").cast("timestamp_ltz").alias("event_time"))  # UTC session: same instant
-            .withWatermark("event_time", late)
-            .groupBy("host")
-            .applyInPandasWithState(_restart_state_fn, RESTART_OUT, RESTART_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+
+    By default no sample is dropped and no host forgotten: the state is two values per host ever
+    seen. ``late`` (with ``ttl_ms``, both or neither) bounds it instead: samples later than ``late``
+    behind the watermark are dropped and a host silent for ``ttl_ms`` leaves state.
+
+    Across micro-batches a host's samples must arrive in time order for the flags to equal the
+    batch operator's; a late lower boot time never raises a false alarm, because the state only
+    grows. One call sees one host's samples of one micro-batch, so the trigger bounds that group."""
+    if (late is None) != (ttl_ms is None):
+        raise ValueError("late and ttl_ms go together")
+    flat = df.select("host", "seq", "ts", F.col("boot_time").cast("double").alias("boot_time"),
+                     F.col("ts").cast("timestamp_ltz").alias("event_time"))  # UTC session: same instant
+    timeout = GroupStateTimeout.NoTimeout
+    if late is not None:
+        flat, timeout = flat.withWatermark("event_time", late), GroupStateTimeout.EventTimeTimeout
+    return flat.groupBy("host").applyInPandasWithState(_restart_state_fn(ttl_ms), RESTART_OUT, RESTART_STATE, "append", timeout)
 
 
 def stream_status(df: DataFrame) -> DataFrame:
@@ -94,41 +99,26 @@ def stream_status(df: DataFrame) -> DataFrame:
 
 
 def run_to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """RS4/K3: run a stream with ``availableNow`` into a parquet folder (append), or a
-    complete-mode table rewritten per micro-batch."""
+    """RS4/K3: run a stream with ``availableNow`` into a parquet folder (append). A complete-mode
+    table is written to a folder of its own per micro-batch (``batch=N``), so that readers of the
+    last one never see a folder in the making; see :func:`read_latest`."""
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").outputMode("append").start(sink)
     else:
         q = (w.outputMode(mode)
-             .foreachBatch(lambda batch, _id: batch.write.mode("overwrite").parquet(sink)).start())
+             .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{sink}/batch={i}")).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
 
 
-def entries_from_series(series: DataFrame) -> DataFrame:
-    """Flat samples -> nested telemetry entries (one JSON object per line; absent
-    fields are omitted, so an absent process stays absent)."""
-    proc = F.when(F.col("has_process"), F.struct(
-        F.lit(4242).alias("pid"), F.col("process_status").alias("status"),
-        F.lit(1.5).alias("memory_rss_gb"), F.lit(3.0).alias("memory_vms_gb"), F.lit(99.0).alias("cpu_percent"),
-        F.lit(12).alias("num_threads"), F.lit(40).alias("open_files"), F.lit(3).alias("connections"),
-        F.col("process_error").alias("error")))
-    metrics = F.struct(
-        F.struct(F.lit(64.0).alias("total_gb"), F.col("mem_available_gb").alias("available_gb"),
-                 F.col("mem_used_gb").alias("used_gb"), F.col("mem_percent").alias("percent"),
-                 F.lit(16.0).alias("swap_total_gb"), F.col("swap_used_gb").alias("swap_used_gb"),
-                 F.col("swap_percent").alias("swap_percent")).alias("memory"),
-        F.struct(F.col("cpu_percent").alias("percent"), F.lit(8).alias("count")).alias("cpu"),
-        F.struct(F.lit(500.0).alias("total_gb"), (F.lit(500.0) - F.col("disk_free_gb")).alias("used_gb"),
-                 F.col("disk_free_gb").alias("free_gb"), F.col("disk_percent").alias("percent")).alias("disk"),
-        proc.alias("process"))
-    return series.select(F.to_json(F.struct(
-        F.col("host").cast("string").alias("host"), F.col("seq"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-        F.col("boot_time").cast("double").alias("boot_time"), metrics.alias("metrics"))).alias("value"))
-
-
-__all__ = ["read_telemetry_stream", "stream_alerts", "stream_restarts", "stream_status", "run_to_parquet",
-           "entries_from_series", "TELEMETRY_SCHEMA"]
+def read_latest(spark: SparkSession, sink: str) -> DataFrame:
+    """The table as of the last micro-batch that :func:`run_to_parquet` finished in complete mode."""
+    df = spark.read.parquet(sink)
+    last = df.agg(F.max("batch").alias("_cf_b"))                   # one row
+    return df.join(F.broadcast(last), df["batch"] == last["_cf_b"]).drop("batch", "_cf_b")
+
+
+__all__ = ["read_telemetry_stream", "stream_alerts", "stream_restarts", "stream_status", "run_to_parquet", "read_latest",
+           "TELEMETRY_SCHEMA"]
