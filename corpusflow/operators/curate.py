@@ -83,10 +83,12 @@ def source_report(df: DataFrame) -> DataFrame:
 
 
 def dataset_info(df: DataFrame, languages=("en", "fr", "de", "es"), split_col: str | None = "split") -> DataFrame:
-    """One wide row of totals, per-language, per-class and per-split counts."""
+    """One wide row of totals, per-language, per-class and per-split counts; ``n_other``
+    counts the rows of no listed language."""
     aggs = [F.count(F.lit(1)).alias("total")]
     for lang in languages:
         aggs.append(F.count_if(F.col("language") == lang).alias(f"n_{lang}"))
+    aggs.append(F.count_if(~F.coalesce(F.col("language").isin(*languages), F.lit(False))).alias("n_other"))
     aggs += [F.count_if(F.col("label") == 1).alias("n_fake"),
              F.count_if(F.col("label") == 0).alias("n_true")]
     if split_col:

@@ -216,14 +216,14 @@ deduped AS (
 
 
 def deduped(spark, sf, cleaner="a", min_len=None, materialize=False):
-    """Clean -> (min length) -> keep-first dedupe. ``materialize`` persists the result
-    (memory and disk) for flows that read it several times (split quotas, offsets and
-    ranks); a lost block is recomputed from its deterministic lineage."""
+    """Clean -> (min length) -> keep-first dedupe. ``materialize`` writes the result
+    once to the shared checkpoint folder for flows that read it several times (split quotas,
+    offsets and ranks); it survives lost executors and leaves nothing cached."""
     c = C.clean(corpus(spark, sf), cleaner)
     if min_len is not None:
         c = C.min_length(c, min_len)
     d = C.dedupe_first(c)
-    return d.persist() if materialize else d
+    return d.checkpoint() if materialize else d
 
 
 @query("dedupe_first", with_ctes(CORPUS_SQL, _CLEAN_A_SQL, _DEDUP_SQL) + "SELECT * FROM deduped")

@@ -32,7 +32,7 @@ enc AS (
 
 def _encoded(spark, sf, max_length=MAX_LEN):
     # tokens are read twice (vocabulary, then encoding): materialise them once
-    d = table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("tokens")).persist()
+    d = table(spark, sf, "documents").select("doc_id", T.tokens("text").alias("tokens")).checkpoint()
     vocab = T.build_vocab(d, VOCAB_SIZE)
     return T.encode(d.withColumn("n_tokens", F.size("tokens")), vocab, max_length=max_length)
 

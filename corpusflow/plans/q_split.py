@@ -77,7 +77,7 @@ splitted AS (
 )"""
 
 
-# 70/10/20 by label x domain after cleaner A + keep-first dedupe (xlm flow)
+# 70/10/20 by label x domain after cleaner A + keep-first dedupe
 # outlet-level strata include single-row strata: pooled into '<label>_other' (V12)
 _X4 = _split_sql("deduped", ["label", "domain"], ["train", "val", "test"], [(3, 10), (2, 3)], pool=True)
 
@@ -104,6 +104,7 @@ def q_split_report(spark, sf):
 SELECT count(*) AS total,
   count(*) FILTER (WHERE language = 'en') AS n_en, count(*) FILTER (WHERE language = 'fr') AS n_fr,
   count(*) FILTER (WHERE language = 'de') AS n_de, count(*) FILTER (WHERE language = 'es') AS n_es,
+  count(*) FILTER (WHERE language IS NULL OR language NOT IN ('en', 'fr', 'de', 'es')) AS n_other,
   count(*) FILTER (WHERE label = 1) AS n_fake, count(*) FILTER (WHERE label = 0) AS n_true,
   count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
   count(*) FILTER (WHERE split = 'test') AS n_test,
@@ -114,7 +115,7 @@ def q_dataset_info(spark, sf):
     return C.dataset_info(split3(spark, sf))
 
 
-# 80/20 by label after cleaner B, > 10 chars, dedupe (mdb 93 % flow)
+# 80/20 by label after cleaner B, > 10 chars, dedupe
 _CLEAN_B_SQL = f"""
 cleanedb AS (
   SELECT * FROM (SELECT {_sql_clean_b('text')} AS text, label, domain, language, dataset, dataset_rank, row_idx
@@ -136,7 +137,7 @@ def q_split_by_label(spark, sf):
     return X.stratified_split(d, ["label"], [("train", 0.8), ("val", 0.2)]).select(*KEYS, "label", "split")
 
 
-# 70/10/20 by label x dataset after cleaner A, > 10 chars, dedupe (opt flow)
+# 70/10/20 by label x dataset after cleaner A, > 10 chars, dedupe
 _CLEAN_A10_SQL = """
 cleaneda10 AS (SELECT * FROM cleaned WHERE length(text) > 10)"""
 _DEDUP_A10_SQL = """

@@ -119,3 +119,61 @@ def test_pair_fails_as_one(spark, tmp_dir):
     df, rep = S.load_corpus(spark, [mk("train", good, "pair"), mk("test", bad, "pair"), mk("other", other, None)])
     assert {r.dataset: r.status for r in rep.collect()} == {"train": "failed", "test": "failed", "other": "ok"}
     assert [r.text for r in df.collect()] == ["kept"]
+
+
+def test_pair_keeps_the_first_file(spark, tmp_dir):
+    """A text in both files of a pair keeps the first file's label; order keys are unique."""
+    from corpusflow.operators.curate import dedupe_first
+    true = _write(tmp_dir, "true.csv", "text\nunique a\nshared\n")
+    fake = _write(tmp_dir, "fake.csv", "text\nshared\nunique b\n")
+    spec = S.SourceSpec("pair", lambda s: S.read_labelled_pair(s, {true: 0, fake: 1}, domain="d", language="en"),
+                        text=F.col("text"), label=F.col("label"), domain=F.col("domain"), language=F.col("language"))
+    df, _ = S.load_corpus(spark, [spec])
+    assert df.select("dataset_rank", "row_idx").distinct().count() == 4
+    for narrow in (False, True):
+        got = {r.text: r.label for r in dedupe_first(df, narrow=narrow).collect()}
+        assert got == {"unique a": 0, "shared": 0, "unique b": 1}
+
+
+def test_folder_of_files_has_unique_rows_in_path_order(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    for k in range(3):
+        _write(d, f"part-{k}.csv", "text\n" + "".join(f"f{k} r{i}\n" for i in range(4)))
+    rows = S.read_csv_source(spark, d).orderBy("row_idx").collect()
+    assert [r.text for r in rows] == [f"f{k} r{i}" for k in range(3) for i in range(4)]
+
+
+def test_number_labels_and_report_counts(spark, tmp_dir):
+    p = _write(tmp_dir, "nums.csv", "text,label\na,1.0\nb,0.0\nNA,1\n")
+    mk = lambda strict: S.SourceSpec("nums", lambda s: S.read_csv_source(s, p), text=F.col("text"), label=F.col("label"),
+                                     domain="d", language="en", strict_label=strict)
+    for strict in (False, True):
+        df, rep = S.load_corpus(spark, [mk(strict)])
+        assert {r.text: r.label for r in df.collect()} == {"a": 1, "b": 0} and rep.first().n_rows == 2
+
+
+def test_run_time_error_fails_one_source(spark, tmp_dir):
+    from corpusflow.functions.text import normalise_label
+    p = _write(tmp_dir, "bad.csv", "text,label\na,perhaps\n")
+    q = _write(tmp_dir, "good.csv", "text,label\nb,real\n")
+    mk = lambda n, f: S.SourceSpec(n, lambda s: S.read_csv_source(s, f), text=F.col("text"),
+                                   label=lambda d: normalise_label("label"), domain="d", language="en")
+    df, rep = S.load_corpus(spark, [mk("bad", p), mk("good", q)])
+    assert [r.text for r in df.collect()] == ["b"] and {r.dataset: r.status for r in rep.collect()} == {"bad": "failed", "good": "ok"}
+
+
+def test_saved_splits_of_write_splits_are_found(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "saved")
+    K.write_splits(spark.createDataFrame([("a", "Fake", "train"), ("b", "0.0", "val"), ("c", "1", "test")], "text string, label string, split string"), base)
+    got = {(r.text, r.label, r.split, r.domain) for r in S.load_or_make_splits(spark, base, lambda: None).collect()}
+    assert got == {("a", 1, "train", "unknown"), ("b", 0, "val", "unknown"), ("c", 1, "test", "unknown")}
+
+
+def test_report_examples_and_jsonl_sink(spark, tmp_dir):
+    one = spark.createDataFrame([(1, 0.5)], "n int, acc double")
+    ex = spark.createDataFrame([(1, "text", 1, 0.75)], "example int, text string, prediction int, confidence double")
+    rows = {(r.section, r.key): r.value for r in K.run_report(one, {"a": 1}, one, ex).collect()}
+    assert rows[("examples", "1.confidence")] == "0.750000" and rows[("examples", "1.text")] == "text"
+    for _ in range(2):
+        K.append_jsonl(ex, os.path.join(tmp_dir, "ex"))
+    assert spark.read.json(os.path.join(tmp_dir, "ex")).count() == 2

@@ -105,3 +105,30 @@ def test_running_max_with_hot_group(spark):
     r = running_agg(df, "boot", "prev", ["host"], "seq", how="max", exclusive=True, buckets=3)
     got = {x.seq: x.prev for x in r.where(F.col("host") == "h").collect()}
     assert got == {0: None, 1: 5.0, 2: 5.0, 3: 5.0}
+
+
+def test_allocation_of_very_large_strata(spark):
+    from corpusflow.operators.split import allocate, held_out_fractions
+    n = 10 ** 11
+    q = allocate(spark.createDataFrame([("a", n), ("b", n), ("c", 3 * n)], "stratum string, n long"), held_out_fractions([0.7, 0.1, 0.2]))
+    for r in q.collect():
+        assert (r.q_0, r.q_1, r.q_2) == (r.n * 7 // 10, r.n // 10, r.n // 5)
+
+
+def test_buckets_withstand_outliers_nulls_and_times(spark):
+    from pyspark.sql import functions as F
+    from corpusflow.operators.positions import value_bucket
+    df = spark.range(2000).select(F.when(F.col("id") == 7, 1e18).when(F.col("id") < 3, None).otherwise(F.col("id") * 1.0).alias("x"), "id")
+    sizes = [r["count"] for r in value_bucket(df, "x", 100).groupBy("_cf_bucket").count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 100
+    pos = {r.id: r.p for r in position_by_value(df.repartition(4), "x", ["id"], name="p").collect()}
+    order = sorted(range(2000), key=lambda i: (i >= 3, 1e18 if i == 7 else i))
+    assert [pos[i] for i in order] == list(range(2000))
+    times = df.select("id", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id"))).alias("t"))
+    assert all(r.id == r.p for r in position_by_value(times, "t", [], name="p").collect())
+
+
+def test_confusion_counts_other_predictions(spark):
+    from corpusflow.operators.evaluate import confusion
+    c = confusion(spark.createDataFrame([(0, 2), (0, None), (1, 1)], "label int, pred int"))
+    assert {r.label: (r.pred_0, r.pred_1, r.pred_other) for r in c.collect()} == {0: (0, 0, 2), 1: (0, 1, 0)}

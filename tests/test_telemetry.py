@@ -163,3 +163,41 @@ def test_stream_state_across_micro_batches(spark, tmp_dir):
     b = {r.seq: r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
     assert s == b
     assert [k for k, v in sorted(s.items()) if v] == [3, 5, 7]
+
+
+def test_strict_lines(spark, tmp_dir):
+    good = entry(0)
+    write_lines(tmp_dir, [good, good.replace('"', "'"), good + " junk", good + good, "[" + good + "]", good[:-1], "  " + good + "  "])
+    assert read_telemetry(spark, tmp_dir).count() == 2
+    m = count_malformed(spark, tmp_dir).first()
+    assert (m.malformed, m.blank) == (5, 0)
+
+
+def test_rotated_files_follow_each_other(spark, tmp_dir):
+    """24 samples without a counter in two files: 24 order keys, and the tail is the last ten by time."""
+    os.makedirs(tmp_dir, exist_ok=True)
+    for name, ticks in (("z-old.jsonl", range(12)), ("a-new.jsonl", range(12, 24))):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write("\n".join(entry(i, mem=90.0 if i < 12 else 10.0) for i in ticks) + "\n")
+    flat = R.flatten(read_telemetry(spark, tmp_dir))
+    assert flat.select("host", "seq").distinct().count() == 24
+    assert R.tail_mean(flat, 10).first().tail_mem == 10.0
+
+
+def test_stream_forgets_nothing_by_default(spark, tmp_dir):
+    """Gaps of weeks, two hosts, one file per micro-batch: no sample is dropped, no boot time forgotten."""
+    from corpusflow.session import scratch_path
+    os.makedirs(tmp_dir, exist_ok=True)
+    days = [("2024-01-01", "a", 5.0), ("2024-01-25", "b", 1.0), ("2024-01-02", "b", 3.0), ("2024-02-20", "a", 6.0), ("2024-04-01", "a", 6.5)]
+    for k, (day, host, boot) in enumerate(days):
+        x = json.loads(entry(0, boot=boot))
+        x.update(host=host, seq=k, timestamp=f"{day}T00:00:00")
+        p = os.path.join(tmp_dir, f"p{k}.jsonl")
+        with open(p, "w") as f:
+            f.write(json.dumps(x) + "\n")
+        os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
+    sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    RS.run_to_parquet(RS.stream_restarts(RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1)), sink, ck)
+    s = {r.seq: r.vm_restarted for r in spark.read.parquet(sink).collect()}
+    b = {r.seq: r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
+    assert s == b and len(s) == 5 and s[3] and s[4]
