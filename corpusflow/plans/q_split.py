@@ -158,7 +158,7 @@ def q_split_by_label_dataset(spark, sf):
     return out.select(*KEYS, "label", "dataset", "split")
 
 
-# Seeded shuffle, then sequential 80/20 (mdb two-language flow, no cleaning)
+# Seeded shuffle, then sequential 80/20 (two-language flow, no cleaning)
 @query("shuffle_rows", with_ctes(CORPUS_SQL) + f"""
 SELECT dataset_rank, row_idx, row_number() OVER (ORDER BY {_h(42, *KEYS)}, dataset_rank, row_idx) - 1 AS pos
 FROM corpus""")
