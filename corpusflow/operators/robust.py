@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.arrays import blend, cross_entropy, kl_div, softmax
-from corpusflow.operators.positions import hash_key
+from corpusflow.operators.positions import hash_key, running_agg
+from corpusflow.session import ensure_checkpoint_dir
 
 
 def row_cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label", out: str = "ce") -> DataFrame:
@@ -73,6 +74,14 @@ def mixup_features(pairs: DataFrame, feat: str = "features", out: str = "mixed")
                                        F.col("lam")))
 
 
+def mixup_mask(pairs: DataFrame, mask: str = "attention_mask", out: str = "mixed_mask") -> DataFrame:
+    """Attention mask of a blended pair: a place counts if either row has a token there. Masks of
+    different lengths: the shorter one is 0 beyond its end; a null mask is empty."""
+    empty = F.array().cast("array<int>")
+    a, b = (F.coalesce(F.col(c).cast("array<int>"), empty) for c in (mask, f"{mask}_b"))
+    return pairs.withColumn(out, F.zip_with(a, b, lambda x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0)))))
+
+
 def mixup_loss(pairs: DataFrame, logits: str = "logits", label: str = "label", batch: str = "batch_id") -> DataFrame:
     """``lam*CE(pred, a) + (1-lam)*CE(pred, b)``, batch means."""
     row = F.col("lam") * cross_entropy(logits, label) + (1 - F.col("lam")) * cross_entropy(logits, f"{label}_b")
@@ -128,11 +137,13 @@ def irm_penalty(df: DataFrame, weight: float = 1e3, mode: str = "reference", los
 
 
 def group_loss_running(df: DataFrame, loss: str = "ce", batch: str = "batch_id", group: str = "domain") -> DataFrame:
-    """Running per-domain loss total and count over batches. The window runs on the
-    per-(domain, batch) partial sums, never on raw rows."""
-    g = _group_stats(df, loss, batch, group)
-    w = Window.partitionBy(group).orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(group, batch, F.sum("s").over(w).alias("loss_sum"), F.sum("n").over(w).alias("n_seen"))
+    """Running per-domain loss total and count over batches. Works on the per-(domain,
+    batch) partial sums, never on raw rows, and a domain's batches are spread over ranges."""
+    ensure_checkpoint_dir(df.sparkSession)
+    g = _group_stats(df, loss, batch, group).checkpoint()     # read once for the ranges, once for the sums
+    g = running_agg(g, "s", "loss_sum", [group], batch, how="sum", exclusive=False)
+    g = running_agg(g, "n", "n_seen", [group], batch, how="sum", exclusive=False)
+    return g.select(group, batch, "loss_sum", "n_seen")
 
 
 def domain_bucket(col, buckets: int = 1000):

@@ -4,9 +4,9 @@ Exact allocation follows the public behaviour of stratified shuffle splitting: t
 part gets ``ceil(frac * n)`` rows, the kept part ``n - that``; per-stratum quotas are the
 floors of the proportional shares plus one for the largest remainders. Remainders are
 compared as exact integers and ties go to the smaller stratum name (the public version
-draws ties at random). The quota table has one row per stratum; rows are ranked inside a
-stratum by a seeded md5 key with :mod:`corpusflow.operators.positions`, so a stratum
-holding a third of the data is still ranked by thousands of tasks.
+draws ties at random). The quota table has one row per stratum; rows are ordered inside a
+stratum by a seeded md5 key, and a row's split follows from comparing its key with the
+stratum's cut keys.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.positions import hash_key, position_by_hash
+from corpusflow.session import broadcast_checked, ensure_checkpoint_dir
+
+HEX_DIGITS = 3    # hash buckets of a stratum: 16 ** 3; only the buckets that hold a cut are ranked
 
 
 def stratum_key(*cols) -> Column:
@@ -103,43 +106,75 @@ def stratified_split(df: DataFrame, strata: list[str], splits: list[tuple[str, f
     """Exact stratified split into ``splits`` (name, fraction) in order.
 
     Done as successive two-way splits like the reference: first split keeps
-    ``splits[0]`` and holds out the rest, the next splits the held-out part, etc."""
+    ``splits[0]`` and holds out the rest, the next splits the held-out part, etc.
+
+    Rows are labelled by comparison with one cut key per stratum and split, so the rows
+    themselves are never shuffled for it. Narrow keys (stratum, hash, ``row_key``) are written
+    once to the checkpoint folder; a histogram of (stratum, hash bucket) finds the bucket of each
+    cut, and only those buckets are ranked. ``row_key`` must be unique for exact sizes: rows
+    that share a key stay together. An empty table gives an empty result."""
     row_key = list(row_key or ["dataset_rank", "row_idx"])
+    ensure_checkpoint_dir(df.sparkSession)
     held = held_out_fractions([f for _, f in splits], float_compat)
-    keyed = (df.withColumn("stratum", stratum_key(*strata)).withColumn("_cf_h", hash_key(seed, *row_key))
-             .withColumn("_cf_p", F.col(strata[0]).cast("string")))
-    counts = keyed.groupBy("stratum", "_cf_p").agg(F.count(F.lit(1)).alias("n"))
-    if on_rare == "pool":
-        # strata with < 2 rows fold into '<first key>_other'; a pooled group still below 2
-        # folds into the largest stratum with the same first key (ties: smaller name).
-        # All of this runs on the strata table (one row per stratum).
-        lvl1 = counts.withColumn("_cf_e1", F.when(F.col("n") < 2, F.concat(F.col("_cf_p"), F.lit("_other")))
-                                 .otherwise(F.col("stratum")))
-        g1 = lvl1.groupBy("_cf_e1", "_cf_p").agg(F.sum("n").alias("n1"))
-        big = (g1.where(F.col("n1") >= 2)
-               .withColumn("_cf_rk", F.row_number().over(
-                   Window.partitionBy("_cf_p").orderBy(F.col("n1").desc(), F.col("_cf_e1"))))
-               .where(F.col("_cf_rk") == 1).select("_cf_p", F.col("_cf_e1").alias("_cf_big")))
-        g2 = (g1.join(big, "_cf_p", "left")
-              .withColumn("_cf_eff", F.when((F.col("n1") < 2) & F.col("_cf_big").isNotNull(), F.col("_cf_big"))
-                          .otherwise(F.col("_cf_e1"))))
-        mapping = lvl1.join(g2.select("_cf_e1", "_cf_eff"), "_cf_e1")
-        keyed = (keyed.join(mapping.select("stratum", "_cf_eff"), "stratum")
-                 .drop("stratum").withColumnRenamed("_cf_eff", "stratum"))
-        counts = mapping.groupBy(F.col("_cf_eff").alias("stratum")).agg(F.sum("n").alias("n"))
-    else:
-        counts = counts.drop("_cf_p")
+    keyed = df.withColumn("stratum", stratum_key(*strata)).withColumn("_cf_h", hash_key(seed, *row_key))
+    keys = keyed.select("stratum", F.col(strata[0]).cast("string").alias("_cf_p"),
+                        F.struct("_cf_h", *row_key).alias("_cf_key"),
+                        F.substring("_cf_h", 1, HEX_DIGITS).alias("_cf_b")).checkpoint()
+    hist = keys.groupBy("stratum", "_cf_p", "_cf_b").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    mapping = _effective_strata(hist.groupBy("stratum", "_cf_p").agg(F.sum("n").alias("n")), on_rare).checkpoint()
+    counts = mapping.groupBy(F.col("_cf_eff").alias("stratum")).agg(F.sum("n").alias("n"))
     quotas = allocate(counts, held, float_compat, "error")
-    ranked = position_by_hash(keyed, "_cf_h", row_key, name="_cf_r", group_cols=["stratum"])
-    j = ranked.join(quotas.drop("n"), "stratum")
-    cum = F.lit(0)
+    cuts = _cut_keys(keys, hist, mapping.select("stratum", "_cf_eff"), quotas, len(splits))
+    out = keyed.join(broadcast_checked(cuts), "stratum")
     expr = None
     for i, (name, _) in enumerate(splits):
-        cum = cum + F.col(f"q_{i}")
-        cond = F.col("_cf_r") < cum
+        cond = F.col(f"_cf_all_{i}") | (F.struct("_cf_h", *row_key) < F.col(f"_cf_cut_{i}"))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    out = j.withColumn(split_col, expr)
-    return out.drop("_cf_h", "_cf_r", "_cf_p", "stratum", *[f"q_{i}" for i in range(len(splits))])
+    return out.withColumn(split_col, expr).select(*df.columns, split_col)
+
+
+def _effective_strata(counts: DataFrame, on_rare: str) -> DataFrame:
+    """(stratum, n, _cf_eff) from (stratum, _cf_p, n), a row per stratum. ``pool``: strata with
+    < 2 rows fold into ``<first key>_other``; a pooled group still below 2 folds into the largest
+    stratum with the same first key (ties: smaller name)."""
+    # a stratum's name may come from several first keys (or a null one): the smallest stands for it
+    counts = counts.groupBy("stratum").agg(F.sum("n").alias("n"), F.coalesce(F.min("_cf_p"), F.lit("")).alias("_cf_p"))
+    if on_rare != "pool":
+        return counts.select("stratum", "n", F.col("stratum").alias("_cf_eff"))
+    lvl1 = counts.withColumn("_cf_e1", F.when(F.col("n") < 2, F.concat(F.col("_cf_p"), F.lit("_other")))
+                             .otherwise(F.col("stratum")))
+    g1 = lvl1.groupBy("_cf_e1", "_cf_p").agg(F.sum("n").alias("n1"))
+    big = (g1.where(F.col("n1") >= 2)
+           .withColumn("_cf_rk", F.row_number().over(
+               Window.partitionBy("_cf_p").orderBy(F.col("n1").desc(), F.col("_cf_e1"))))
+           .where(F.col("_cf_rk") == 1).select("_cf_p", F.col("_cf_e1").alias("_cf_big")))
+    g2 = (g1.join(big, "_cf_p", "left")
+          .withColumn("_cf_eff", F.when((F.col("n1") < 2) & F.col("_cf_big").isNotNull(), F.col("_cf_big"))
+                      .otherwise(F.col("_cf_e1"))))
+    return lvl1.join(g2.select("_cf_e1", "_cf_p", "_cf_eff"), ["_cf_e1", "_cf_p"]).select("stratum", "n", "_cf_eff")
+
+
+def _cut_keys(keys: DataFrame, hist: DataFrame, mapping: DataFrame, quotas: DataFrame, n_splits: int) -> DataFrame:
+    """(stratum, _cf_all_i, _cf_cut_i ...): the first key beyond the i-th split, or that there is none."""
+    ends, cum = [], F.lit(0)
+    for i in range(n_splits):
+        cum = cum + F.col(f"q_{i}")
+        ends.append(cum.cast("long").alias(f"_cf_end_{i}"))
+    ends = quotas.select(F.col("stratum").alias("_cf_eff"), "n", *ends).checkpoint()
+    w = Window.partitionBy("_cf_eff").orderBy("_cf_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = (hist.join(mapping, "stratum").groupBy("_cf_eff", "_cf_b").agg(F.sum("n").alias("_cf_n"))
+               .withColumn("_cf_to", F.sum("_cf_n").over(w)).withColumn("_cf_off", F.col("_cf_to") - F.col("_cf_n"))
+               .join(ends.drop("n"), "_cf_eff"))
+    inside = [(F.col(f"_cf_end_{i}") >= F.col("_cf_off")) & (F.col(f"_cf_end_{i}") < F.col("_cf_to")) for i in range(n_splits)]
+    # at most a bucket per stratum and cut
+    edge = buckets.where(F.greatest(*inside)).join(mapping, "_cf_eff").checkpoint()
+    ranked = (keys.join(broadcast_checked(edge), ["stratum", "_cf_b"])
+              .withColumn("_cf_r", F.row_number().over(Window.partitionBy("_cf_eff", "_cf_b").orderBy("_cf_key")) - 1 + F.col("_cf_off")))
+    found = ranked.groupBy("_cf_eff").agg(*[F.min(F.when(F.col("_cf_r") == F.col(f"_cf_end_{i}"), F.col("_cf_key"))).alias(f"_cf_cut_{i}")
+                                            for i in range(n_splits)])
+    return (mapping.join(ends, "_cf_eff").join(found, "_cf_eff", "left")
+            .select("stratum", *[(F.col(f"_cf_end_{i}") >= F.col("n")).alias(f"_cf_all_{i}") for i in range(n_splits)],
+                    *[f"_cf_cut_{i}" for i in range(n_splits)]).checkpoint())
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, row_key: list[str] | None = None,
@@ -151,10 +186,11 @@ def shuffle_rows(df: DataFrame, seed: int = 42, row_key: list[str] | None = None
 
 
 def sequential_split(df: DataFrame, frac=0.8, pos_col: str = "pos", split_col: str = "split",
-                     names=("train", "val")) -> DataFrame:
-    """The first ``int(frac * n)`` positions are train, the rest val."""
+                     names=("train", "val"), counted: DataFrame | None = None) -> DataFrame:
+    """The first ``int(frac * n)`` positions are train, the rest val. ``counted``: a table
+    of the same rows that is cheaper to count than ``df`` (what was shuffled)."""
     fr = Fraction(str(frac))
-    n = df.agg(F.count(F.lit(1)).alias("_cf_n"))
+    n = (df if counted is None else counted).agg(F.count(F.lit(1)).alias("_cf_n"))
     cut = F.floor(F.col("_cf_n") * F.lit(fr.numerator) / F.lit(fr.denominator))
     return (df.crossJoin(F.broadcast(n))  # one row
             .withColumn(split_col, F.when(F.col(pos_col) < cut, F.lit(names[0])).otherwise(F.lit(names[1])))

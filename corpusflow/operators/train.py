@@ -10,13 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.arrays import argmax
 from corpusflow.operators.features import text_features
+from corpusflow.session import broadcast_checked, ensure_checkpoint_dir
 
 
 @dataclass
@@ -53,38 +53,80 @@ def score_model(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop("probability", "rawPrediction", "prediction", "features", "_cf_words", "_cf_tf")
 
 
+def _featurised(train: DataFrame, cfg: TrainConfig, keep: list[str]):
+    """(feature stages fitted once, (keep..., features) written to the checkpoint folder)."""
+    ensure_checkpoint_dir(train.sparkSession)
+    stages = Pipeline(stages=text_features(cfg.num_features)).fit(train).stages if cfg.features == "text" else []
+    out = PipelineModel(stages).transform(train) if stages else train
+    return stages, out.select(*keep, "features").checkpoint()
+
+
+def _classifier(cfg: TrainConfig, label: str, weight_col: str | None = None) -> LogisticRegression:
+    return _pipeline(TrainConfig(**{**cfg.__dict__, "features": "vector", "weight_col": weight_col}), label).getStages()[0]
+
+
 def train_group_dro(train: DataFrame, rounds: int = 3, eta: float = 0.01, cfg: TrainConfig | None = None,
                     group: str = "domain", label: str = "label"):
     """M2: outer rounds fit -> score -> per-group mean loss -> multiplicative group weights
     ``q_g <- q_g * exp(eta * loss_g)`` (normalised, row weight ``q_g * G``) -> refit.
-    Features are cached once; the weight table has one row per group."""
+    Texts are featurised once and the vectors written to the checkpoint folder; the weight table
+    has one row per group and is broadcast behind a check of its size. Rows without a group take no
+    part."""
+    from functools import reduce
     from corpusflow.functions.arrays import cross_entropy
     cfg = cfg or TrainConfig()
-    data = train.withColumn(label, F.col(label).cast("int"))
-    groups = data.select(group).distinct()
-    weights = groups.withColumn("q", F.lit(1.0))
-    history = []
-    model = None
-    data = data.persist()
-    try:
-        for r in range(rounds):
-            g_count = weights.count()
-            w = data.join(weights, group).withColumn("_cf_w", F.col("q") * F.lit(float(g_count)))
-            c = TrainConfig(**{**cfg.__dict__, "weight_col": "_cf_w"})
-            model = train_text_classifier(w.drop("q"), c, label)
-            scored = score_model(model, data).withColumn("_cf_ce", cross_entropy(F.transform("probs", lambda p: F.log(p)), label))
-            loss = scored.groupBy(group).agg(F.avg("_cf_ce").alias("loss"))
-            upd = (weights.join(loss, group, "left")
-                   .withColumn("q", F.col("q") * F.exp(F.lit(eta) * F.coalesce(F.col("loss"), F.lit(0.0)))))
-            total = upd.agg(F.sum("q").alias("_cf_t"))
-            # cut the lineage of the round loop (reliable checkpoint in the shared folder)
-            weights = upd.crossJoin(total).select(group, (F.col("q") / F.col("_cf_t")).alias("q")).checkpoint(eager=True)
-            history.append(loss.withColumn("round", F.lit(r)))
-    finally:
-        data.unpersist()
-    from functools import reduce
-    hist = reduce(lambda a, b: a.unionByName(b), history)
-    return model, weights, hist
+    stages, data = _featurised(train.withColumn(label, F.col(label).cast("int")).where(F.col(group).isNotNull()), cfg, [group, label])
+    weights = data.select(group).distinct().withColumn("q", F.lit(1.0)).checkpoint()
+    history, fitted = [], None
+    for r in range(rounds):
+        g_count = weights.count()
+        w = (data.join(broadcast_checked(weights), group).withColumn("_cf_w", F.col("q") * F.lit(float(g_count)))
+             .withColumn(label, F.col(label).cast("double")))
+        fitted = _classifier(cfg, label, "_cf_w").fit(w)
+        scored = score_model(PipelineModel([fitted]), data).withColumn(
+            "_cf_ce", cross_entropy(F.transform("probs", lambda p: F.log(p)), label))
+        loss = scored.groupBy(group).agg(F.avg("_cf_ce").alias("loss")).checkpoint()
+        upd = (weights.join(loss, group, "left")
+               .withColumn("q", F.col("q") * F.exp(F.lit(eta) * F.coalesce(F.col("loss"), F.lit(0.0)))))
+        total = upd.agg(F.sum("q").alias("_cf_t"))
+        # cut the lineage of the round loop (reliable checkpoint in the shared folder)
+        weights = upd.crossJoin(F.broadcast(total)).select(group, (F.col("q") / F.col("_cf_t")).alias("q")).checkpoint()
+        history.append(loss.withColumn("round", F.lit(r)))
+    return PipelineModel([*stages, fitted]), weights, reduce(lambda a, b: a.unionByName(b), history)
+
+
+def train_rounds(train: DataFrame, val: DataFrame, iterations: list[int], cfg: TrainConfig | None = None,
+                 patience: int | None = None, metric: str = "val_f1", label: str = "label"):
+    """M1 with H1-H3: one fit per round with a growing number of L-BFGS iterations, validated after
+    each -> ({epoch: model}, history).
+
+    Texts are featurised once. History has a row per round: epoch, train_loss, val_loss, val_acc,
+    val_f1 (macro). The loop ends after ``patience`` rounds in a row that do not exceed the best
+    ``metric`` of the rounds before (for a loss: that are not below the lowest)."""
+    from corpusflow.operators.evaluate import prf
+    cfg = cfg or TrainConfig()
+    stages, data = _featurised(train.withColumn(label, F.col(label).cast("double")), cfg, [label])
+    checked = (PipelineModel(stages).transform(val) if stages else val).select(label, "features").checkpoint()
+    models, rows, best, since = {}, [], None, 0
+
+    def log_loss(scored: DataFrame):
+        return scored.agg(F.avg(-F.log(F.greatest(F.element_at("probs", F.col(label).cast("int") + 1), F.lit(1e-15))))).first()[0]
+
+    for epoch, n in enumerate(iterations, start=1):
+        fitted = _classifier(TrainConfig(**{**cfg.__dict__, "max_iter": n}), label).fit(data)
+        models[epoch] = PipelineModel([*stages, fitted])
+        scored = score_model(PipelineModel([fitted]), checked.withColumn(label, F.col(label).cast("int"))).checkpoint()
+        m = prf(scored, "macro").first()
+        row = {"epoch": epoch, "train_loss": log_loss(score_model(PipelineModel([fitted]), data)), "val_loss": log_loss(scored),
+               "val_acc": m["accuracy"], "val_f1": m["f1"]}
+        rows.append(row)
+        now = -(row[metric] or 0.0) if metric.endswith("loss") else row[metric] or 0.0
+        best, since = (now, 0) if best is None or now > best else (best, since + 1)
+        if patience and since >= patience:
+            break
+    history = train.sparkSession.createDataFrame(
+        [tuple(r.values()) for r in rows], "epoch int, train_loss double, val_loss double, val_acc double, val_f1 double")
+    return models, history
 
 
 def evaluate(models_by_epoch: dict, history: DataFrame, df: DataFrame, use: str = "best",
@@ -102,16 +144,18 @@ def evaluate(models_by_epoch: dict, history: DataFrame, df: DataFrame, use: str
     return score_model(models_by_epoch[pick], df).withColumn("model_epoch", F.lit(pick))
 
 
-def domain_probe(df: DataFrame, domain: str = "domain", cfg: TrainConfig | None = None) -> DataFrame:
-    """L8 re-aim: fit a multinomial classifier of the domain from the features; its
-    accuracy and log-loss measure how much domain leaks into the representation."""
+def domain_probe(df: DataFrame, domain: str = "domain", cfg: TrainConfig | None = None, buckets: int = 64) -> DataFrame:
+    """L8 re-aim: fit a multinomial classifier of the domain's bucket (T6) from the features; its
+    accuracy and log-loss measure how much domain leaks into the representation. ``buckets`` bounds
+    the classes and so the coefficients, however many domains there are; domains of one bucket are
+    one class. Rows without a domain take no part."""
+    from corpusflow.operators.robust import domain_bucket
     cfg = cfg or TrainConfig(max_iter=30)
-    idx = StringIndexer(inputCol=domain, outputCol="_cf_dom", handleInvalid="keep")
+    rows = df.where(F.col(domain).isNotNull()).withColumn("_cf_dom", domain_bucket(domain, buckets).cast("double"))
+    _, data = _featurised(rows, cfg, [domain, "_cf_dom"])
     lr = LogisticRegression(featuresCol="features", labelCol="_cf_dom", maxIter=cfg.max_iter,
                             regParam=cfg.reg_param, family="multinomial")
-    stages = (text_features(cfg.num_features) if cfg.features == "text" else []) + [idx, lr]
-    model = Pipeline(stages=stages).fit(df)
-    out = model.transform(df).withColumn("_cf_p", vector_to_array("probability"))
+    out = lr.fit(data).transform(data).withColumn("_cf_p", vector_to_array("probability"))
     ll = -F.log(F.greatest(F.element_at("_cf_p", F.col("_cf_dom").cast("int") + 1), F.lit(1e-15)))
     return out.agg(F.countDistinct(domain).alias("n_domains"),
                    F.avg((F.col("prediction") == F.col("_cf_dom")).cast("double")).alias("accuracy"),

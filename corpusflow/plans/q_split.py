@@ -171,8 +171,8 @@ SELECT dataset_rank, row_idx, pos, CASE WHEN pos < (count(*) OVER ()) * 4 // 5 T
 FROM (SELECT dataset_rank, row_idx,
              row_number() OVER (ORDER BY {_h(42, *KEYS)}, dataset_rank, row_idx) - 1 AS pos FROM corpus)""")
 def q_sequential_split(spark, sf):
-    s = X.shuffle_rows(corpus(spark, sf).select(*KEYS), seed=42)
-    return X.sequential_split(s, 0.8)
+    rows = corpus(spark, sf).select(*KEYS)
+    return X.sequential_split(X.shuffle_rows(rows, seed=42), 0.8, counted=rows)
 
 
 # Shuffled training batches of 16 for epoch 1 over the labelled documents

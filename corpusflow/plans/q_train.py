@@ -135,15 +135,10 @@ def q_train_ensemble(spark, sf):
 
 @query("evaluate_best_epoch")
 def q_evaluate_best_epoch(spark, sf):
-    """M5 + H1: one model per 'epoch' (more L-BFGS iterations each), validation macro F1
-    per epoch as a history table, then the test rows scored by the best epoch's model."""
-    from functools import reduce
-    from corpusflow.operators.train import evaluate
+    """M1, M5, H1: rounds of more L-BFGS iterations each, validated after each round with early
+    stopping, then the test rows scored by the best round's model."""
+    from corpusflow.operators.train import evaluate, train_rounds
     s = labelled_split(spark, sf, (("train", 0.7), ("val", 0.1), ("test", 0.2)))
     train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
-    models = {e: train_text_classifier(train, TrainConfig(num_features=1 << 14, max_iter=it, reg_param=0.01))
-              for e, it in [(1, 2), (2, 5), (3, 15)]}
-    hist = reduce(lambda a, b: a.unionByName(b), [
-        E.prf(score_model(m, val), "macro").select(F.lit(e).alias("epoch"), F.col("f1").alias("val_f1"))
-        for e, m in models.items()])
+    models, hist = train_rounds(train, val, [2, 5, 15], TrainConfig(num_features=1 << 14, reg_param=0.01), patience=2)
     return evaluate(models, hist, test, use="best").select("row_idx", "label", "pred", "confidence", "model_epoch")

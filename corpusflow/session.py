@@ -11,9 +11,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CKPT_KEY = "spark.checkpoint.dir"
+BROADCAST_BYTES = 16 << 20
 
 
 def get_spark(master: str | None = None, app: str = "corpusflow",
@@ -70,6 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def broadcast_checked(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` with a broadcast hint if its rows take at most ``limit`` bytes as JSON text; beyond
+    that the join is left to the optimizer. Measures ``side``: pass a written or checkpointed table."""
+    size = side.select(F.sum(F.length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(side) if size <= limit else side
+
+
 def local_path(path: str) -> str:
     """``file:`` URI -> plain local path (for Python-side file I/O in tests and tools)."""
     return path[len("file:"):] if path.startswith("file:") else path

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import evaluate as E
@@ -112,3 +113,28 @@ def test_ensemble_summary(spark):
     assert len(r) == 2 and abs(r[0].projected - 0.87) < 1e-12
     per2 = spark.createDataFrame([("a", 0.99)], "model string, accuracy double")
     assert H.ensemble_summary(per2).first().projected == 0.95
+
+
+def test_mixup_mask_is_the_union(spark):
+    d = spark.createDataFrame([(1, [1, 1, 0], [1, 0, 0, 0]), (2, [1], None)], "id int, attention_mask array<int>, attention_mask_b array<int>")
+    assert [r.mixed_mask for r in L.mixup_mask(d).orderBy("id").collect()] == [[1, 1, 0, 0], [1]]
+
+
+def test_training_rounds_stop_early(spark):
+    from corpusflow.operators.train import TrainConfig, evaluate, train_rounds
+    d = spark.createDataFrame([(f"good word{i % 7}" if i % 2 else f"bad word{i % 5}", i % 2) for i in range(60)], "text string, label int")
+    models, hist = train_rounds(d, d, [5, 10, 15, 20], TrainConfig(num_features=1 << 8), patience=1)
+    h = hist.orderBy("epoch").collect()
+    # the first round is perfect, the second is not better: the loop ends
+    assert [r.epoch for r in h] == [1, 2] and h[0].val_f1 == 1.0 and h[0].val_loss == pytest.approx(h[0].train_loss)
+    assert {r.model_epoch for r in evaluate(models, hist, d).select("model_epoch").collect()} == {1}
+
+
+def test_group_weights_follow_losses(spark):
+    from corpusflow.operators.train import TrainConfig, train_group_dro
+    rows = [(f"good w{i}" if i % 2 else f"bad w{i}", i % 2, "easy") for i in range(40)] + [(f"same w{i}", i % 2, "hard") for i in range(40)]
+    _, w, hist = train_group_dro(spark.createDataFrame(rows, "text string, label int, domain string"), rounds=2, eta=0.5,
+                                 cfg=TrainConfig(num_features=1 << 8, max_iter=10))
+    q = {r.domain: r.q for r in w.collect()}
+    assert q["hard"] > q["easy"] and sum(q.values()) == pytest.approx(1.0)
+    assert hist.count() == 4

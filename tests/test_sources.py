@@ -177,3 +177,23 @@ def test_report_examples_and_jsonl_sink(spark, tmp_dir):
     for _ in range(2):
         K.append_jsonl(ex, os.path.join(tmp_dir, "ex"))
     assert spark.read.json(os.path.join(tmp_dir, "ex")).count() == 2
+
+
+def test_catalogue_of_sources(spark, tmp_dir):
+    from corpusflow.sources.catalogue import corpus_specs
+    _write(tmp_dir, "english_fake_news_2212.csv", "news_id,headline,body_text,source,label\n1,h,b,,Real\n2,h2,,bbc,Fake\n3,x,y,z,Maybe\n")
+    _write(tmp_dir, "train (2).csv", "title;text;label\nt;u;1.0\n")
+    _write(tmp_dir, "test (1).csv", "title;text;label\nt;u;zero\n")          # strict label: the pair fails as one
+    for k in ("ka", "ta", "ma"):
+        _write(tmp_dir, f"{k}_true.csv", f"text\n{k} shared\n{k} true\n")
+        _write(tmp_dir, f"{k}_fake.csv", f"text\n{k} shared\n")
+    _write(tmp_dir, "LabeledAuthentic-7K.csv", "headline,content,domain\na,b,\n")
+    _write(tmp_dir, "LabeledFake-1K.csv", "headline,content\nc,d\n")
+    df, report = S.load_corpus(spark, corpus_specs(tmp_dir))
+    status = {r.dataset: (r.status, r.n_rows) for r in report.collect()}
+    assert status == {"english_fake_news_2212": ("ok", 2), "train": ("failed", 0), "test": ("failed", 0), "ka": ("ok", 3),
+                      "ta": ("ok", 3), "ma": ("ok", 3), "labeled": ("ok", 2), "authentic_48k": ("missing", 0)}
+    rows = {(r.text, r.label, r.domain, r.language) for r in df.collect()}
+    assert ("h b", 0, "unknown", "en") in rows and ("h2 nan", 1, "bbc", "en") in rows
+    assert ("ka shared", 0, "kannada", "kn") in rows and ("ka shared", 1, "kannada", "kn") in rows
+    assert ("a b", 0, "labeled_authentic", "en") in rows and ("c d", 1, "labeled_fake", "en") in rows

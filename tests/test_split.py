@@ -132,3 +132,35 @@ def test_confusion_counts_other_predictions(spark):
     from corpusflow.operators.evaluate import confusion
     c = confusion(spark.createDataFrame([(0, 2), (0, None), (1, 1)], "label int, pred int"))
     assert {r.label: (r.pred_0, r.pred_1, r.pred_other) for r in c.collect()} == {0: (0, 0, 2), 1: (0, 1, 0)}
+
+
+@pytest.mark.parametrize("pool", [False, True])
+def test_split_by_cut_keys_equals_ranks(spark, pool):
+    """Every row's split follows from its rank in its (pooled) stratum; null keys and large strata included."""
+    df = (_frame(spark, 3000, 5).withColumn("domain", F.when(F.col("row_idx") % 3 > 0, F.lit("hot")).otherwise(F.col("domain")))
+          .withColumn("label", F.when(F.col("row_idx") < 40, None).otherwise(F.col("label"))))
+    if pool:
+        df = df.withColumn("domain", F.when(F.col("row_idx") % 1000 == 77, F.concat(F.lit("rare"), "row_idx")).otherwise(F.col("domain")))
+    out = X.stratified_split(df, ["label", "domain"], [("a", 0.5), ("b", 0.3), ("c", 0.2)], on_rare="pool" if pool else "error")
+    assert out.columns == [*df.columns, "split"]
+    rows = out.select("*", X.stratum_key("label", "domain").alias("s"), X.hash_key(42, "dataset_rank", "row_idx").alias("h")).collect()
+    assert len(rows) == 3000
+    size = {x: sum(r.split == x for r in rows) for x in "abc"}
+    assert size == {"a": 1500, "b": 900, "c": 600}
+    by = {}
+    for r in rows:
+        by.setdefault(r.s, []).append((r.h, r.split))
+    for s, members in by.items():
+        if len(members) > 1:
+            assert [x for _, x in sorted(members)] == sorted(x for _, x in members), s
+
+
+def test_split_of_empty_table(spark):
+    out = X.stratified_split(_frame(spark, 0), ["label"], [("a", 0.5), ("b", 0.5)])
+    assert out.count() == 0 and out.columns[-1] == "split"
+
+
+def test_split_moves_no_rows(spark):
+    """No exchange on the stratum: with a broadcast of the cut keys the plan of the rows has no shuffle."""
+    out = X.stratified_split(_frame(spark), ["label"], [("a", 0.5), ("b", 0.5)])
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
