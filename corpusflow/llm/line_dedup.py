@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SLICES = 64          # filter slices; a task builds one or more, each on its own
+SLICES = 64          # least number of filter slices; a task builds one or more, each on its own
+SLICE_BITS = 1 << 25                    # largest slice of the once-seen filter: 4 MB in a task
 PROBES = 4
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 28   # bits of one filter: at most 32 MB are broadcast
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 28   # bits of the twice-seen filter: at most 32 MB are broadcast
 BITS_PER_LINE = 16
 
 
@@ -43,8 +44,8 @@ def _probes(h: np.ndarray, bits: int):
         yield (a + np.uint64(i) * b) & np.uint64(bits - 1)
 
 
-def _slice(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(58)).astype(np.int64)      # top 6 bits: 64 slices
+def _slice(h: np.ndarray, slices: int) -> np.ndarray:
+    return (h >> np.uint64(65 - slices.bit_length())).astype(np.int64)      # the top bits; a power of two of slices
 
 
 def _has(flat: np.ndarray, h: np.ndarray, bits: int, base=0) -> np.ndarray:
@@ -61,35 +62,47 @@ def _set(flat: np.ndarray, h: np.ndarray, bits: int) -> None:
         np.bitwise_or.at(flat, q >> 3, np.left_shift(1, q & 7).astype(np.uint8))
 
 
-def _twice_filter(lines: DataFrame, bits: int) -> np.ndarray:
-    """The filter of hashes seen at least twice: (SLICES, bits / 8 / SLICES) bytes.
+def _sizes(n: int) -> tuple[int, int, int]:
+    """(slices, bits of the once-seen filter, bits of the twice-seen filter) for ``n`` hashes.
+
+    The once-seen filter stays in the tasks, a slice each, and grows with the corpus; the twice-seen
+    one holds repeated hashes only and is bounded, as it is broadcast.
+    """
+    once = MIN_BITS
+    while once < n * BITS_PER_LINE:
+        once <<= 1
+    return max(SLICES, once // SLICE_BITS), once, min(once, MAX_BITS)
+
+
+def _twice_filter(lines: DataFrame, slices: int, once_bits: int, twice_bits: int) -> np.ndarray:
+    """The filter of hashes seen at least twice: ``slices`` pieces of equal size, as bytes.
 
     Each hash goes to the task that owns its slice. The task streams its hashes through a once-seen
-    filter; a hash that it already holds enters the twice-seen filter. Memory is two slices.
+    filter; a hash that it already holds enters the twice-seen filter. Memory is a task's slices.
     """
-    own = bits // SLICES
+    own, out_own = once_bits // slices, twice_bits // slices
 
     def build(batches):
         once, twice = {}, {}
         for b in batches:
             h = np.asarray(b.column(0)).view(np.uint64)
-            s = _slice(h)
+            s = _slice(h, slices)
             for k in np.unique(s).tolist():
                 if k not in once:
-                    once[k], twice[k] = np.zeros(own // 8, np.uint8), np.zeros(own // 8, np.uint8)
+                    once[k], twice[k] = np.zeros(own // 8, np.uint8), np.zeros(out_own // 8, np.uint8)
                 u, n = np.unique(h[s == k], return_counts=True)
                 again = (n > 1) | _has(once[k], u, own)
-                _set(twice[k], u[again], own)
+                _set(twice[k], u[again], out_own)
                 _set(once[k], u[~again], own)
         if once:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(twice), pa.int32()), pa.array([t.tobytes() for t in twice.values()], pa.binary())],
                 names=["s", "bits"])
 
-    top = F.shiftrightunsigned(F.col("h"), 58)
-    out = np.zeros((SLICES, own // 8), np.uint8)
-    for row in lines.repartition(SLICES, top).mapInArrow(build, "s int, bits binary").toLocalIterator():
-        out[row["s"]] |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    top = F.shiftrightunsigned(F.col("h"), 65 - slices.bit_length())
+    out = np.zeros((slices, out_own // 8), np.uint8)
+    for row in lines.repartition(slices, top).mapInArrow(build, "s int, bits binary").collect():     # the bounded filter
+        out[row["s"]] |= np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
 
@@ -103,10 +116,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     replaced by the kept lines, ``n_lines`` (before) and ``n_dropped``.
 
     Two filters decide what moves. Hashes of long keys (8 bytes, once a document) are dealt to filter
-    slices and streamed through a once-seen and a twice-seen filter; the twice-seen one (at most
-    32 MB) is broadcast, and only keys that it holds shuffle, as SHA-256 digests, to be counted
-    exactly. A false positive costs one extra digest and never changes the result. Beyond the
-    broadcast bound the filter fills up and more digests move; the result stays the same.
+    slices and streamed through a once-seen and a twice-seen filter. The once-seen one grows with the
+    corpus, a slice in each task; the twice-seen one (repeated hashes only, at most 32 MB) is
+    broadcast, and only keys that it holds shuffle, as SHA-256 digests, to be counted
+    exactly. A false positive costs one extra digest and never changes the result. With more repeated
+    keys than the broadcast bound holds, the filter fills up and more digests move; the result stays.
 
     Null or empty text is one empty line; a null id counts as one document below all others, rows
     that share an id are one document; an empty table gives an empty result; a column named
@@ -125,21 +139,19 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     lines = slim.select("text").mapInArrow(hashes, "h long")
-    # the number of rows times the lines of a text bounds the keys; sized from a count of hashes
-    n = lines.count()
-    bits = MIN_BITS
-    while bits < MAX_BITS and bits < n * BITS_PER_LINE:
-        bits <<= 1
-    twice = spark.sparkContext.broadcast(_twice_filter(lines, bits).tobytes())
+    # the filters are sized from a count of the hashes
+    slices, once_bits, twice_bits = _sizes(lines.count())
+    own = twice_bits // slices
+    twice = spark.sparkContext.broadcast(_twice_filter(lines, slices, once_bits, twice_bits).tobytes())
 
     def suspects(batches):
-        flat, own = np.frombuffer(twice.value, np.uint8), bits // SLICES
+        flat = np.frombuffer(twice.value, np.uint8)
         for b in batches:
             ids, digests = [], []
             for i, t in zip(b.column(0).to_pylist(), common.texts(b.column(1)), strict=True):
                 if keys := list(_keys(t, min_chars)):
                     h = _hashes(keys)
-                    for k in np.flatnonzero(_has(flat, h, own, _slice(h) * own)).tolist():
+                    for k in np.flatnonzero(_has(flat, h, own, _slice(h, slices) * own)).tolist():
                         ids.append(i)
                         digests.append(hashlib.sha256(keys[k]).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())],

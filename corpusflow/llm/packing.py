@@ -92,8 +92,9 @@ def best_fit_packing(df: DataFrame, length: str, id_col: str = "doc_id", capacit
     """Pack rows of ``length`` (an SQL expression, tokens) into bins of permitted lengths.
 
     Rows longer than the longest capacity are cut in pieces of it and a rest. Pieces are dealt by
-    hash to shards of about ``shard`` pieces; each shard is packed on its own, so no task or group
-    grows with the table, and the waste is one shard's tail. Returns a row per piece: id, piece,
+    hash of their place in a written table to shards of about ``shard`` pieces, so that neither null
+    ids nor repeated rows gather in one; each shard is packed on its own, no task or group grows
+    with the table, and the waste is one shard's tail. Returns a row per piece: id, piece,
     start (in the document), length, bin_id, bin_offset, capacity.
 
     A null or negative length is 0; a piece of length 0 takes no room but has a bin. Repeated rows
@@ -114,6 +115,6 @@ def best_fit_packing(df: DataFrame, length: str, id_col: str = "doc_id", capacit
                              "bin_id": g["shard"].astype("int64") * (1 << 32) + pd.Series(bins, dtype="int64"),
                              "bin_offset": offsets, "capacity": [caps[b] for b in bins]})
 
-    out = (pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "length"), F.lit(shards)))
+    out = (pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
            .groupBy("shard").applyInPandas(run, "id long, piece long, start long, length long, bin_id long, bin_offset long, capacity long"))
     return out.withColumnRenamed("id", id_col)

@@ -53,6 +53,17 @@ def test_line_filters_have_no_false_negatives():
     assert line_dedup._has(flat, rng.integers(0, 1 << 63, 5000, dtype=np.uint64), 1 << 17).mean() < 0.05
 
 
+def test_line_filter_of_many_slices(spark, monkeypatch):
+    """The once-seen filter grows by slices, the twice-seen one stays at its bound; results do not change."""
+    assert line_dedup._sizes(10 ** 11)[2] == line_dedup.MAX_BITS and line_dedup._sizes(10 ** 11)[0] > 10 ** 4
+    monkeypatch.setattr(line_dedup, "SLICE_BITS", 1 << 8)
+    monkeypatch.setattr(line_dedup, "MIN_BITS", 1 << 10)
+    monkeypatch.setattr(line_dedup, "MAX_BITS", 1 << 14)
+    rows = [(k, "\n".join([f"{B40} {k % 60}", f"own line {k} with enough characters to be a long key", "s"])) for k in range(2000)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted(map(tuple, out)) == sorted(brute.lines(rows))
+
+
 def test_line_dedup_null_ids_and_full_filter(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MIN_BITS", 1 << 10)
     monkeypatch.setattr(line_dedup, "MAX_BITS", 1 << 10)       # a filter that lets nearly all through changes nothing
@@ -223,5 +234,15 @@ def test_best_fit_packing(docs, none):
     assert got == want and packing.best_fit_packing(none, "length(text)").count() == 0
 
 
+def test_packing_spreads_null_and_repeated_ids(spark):
+    rows = [(None, "a b")] * 400 + [(7, "a b")] * 400
+    out = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string"), "length(text)", capacities=(16, 64), shard=100).collect()
+    assert len(out) == 800 and sum(r["doc_id"] is None for r in out) == 400
+    shards = {}
+    for r in out:
+        shards[r["bin_id"] >> 32] = shards.get(r["bin_id"] >> 32, 0) + 1
+    assert len(shards) == 8 and max(shards.values()) < 200
+
+
 def test_hash_of_kept_text_is_utf8():
     assert brute.sha("é") == hashlib.sha256("é".encode()).hexdigest()
