@@ -138,7 +138,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    lines = slim.select("text").mapInArrow(hashes, "h long")
+    lines = slim.select("text").mapInArrow(hashes, "h long").checkpoint()      # 8 bytes a line, counted and dealt
     # the filters are sized from a count of the hashes
     slices, once_bits, twice_bits = _sizes(lines.count())
     own = twice_bits // slices
