@@ -144,20 +144,25 @@ def evaluate(models_by_epoch: dict, history: DataFrame, df: DataFrame, use: str
     return score_model(models_by_epoch[pick], df).withColumn("model_epoch", F.lit(pick))
 
 
-def domain_probe(df: DataFrame, domain: str = "domain", cfg: TrainConfig | None = None, buckets: int = 64) -> DataFrame:
-    """L8 re-aim: fit a multinomial classifier of the domain's bucket (T6) from the features; its
-    accuracy and log-loss measure how much domain leaks into the representation. ``buckets`` bounds
-    the classes and so the coefficients, however many domains there are; domains of one bucket are
-    one class. Rows without a domain take no part."""
+def domain_probe(df: DataFrame, domain: str = "domain", cfg: TrainConfig | None = None, buckets: int = 1000) -> DataFrame:
+    """L8 re-aim: fit a multinomial classifier of the domain from the features; its accuracy and
+    log-loss measure how much domain leaks into the representation. Up to ``buckets`` domains are a
+    class each; more are dealt to ``buckets`` classes by T6, and ``n_classes`` tells how many are
+    used. So the coefficients hold at most ``buckets`` x features. Rows without a domain take no part."""
     from corpusflow.operators.robust import domain_bucket
     cfg = cfg or TrainConfig(max_iter=30)
-    rows = df.where(F.col(domain).isNotNull()).withColumn("_cf_dom", domain_bucket(domain, buckets).cast("double"))
-    _, data = _featurised(rows, cfg, [domain, "_cf_dom"])
+    _, data = _featurised(df.where(F.col(domain).isNotNull()), cfg, [domain])
+    key = F.col(domain).cast("string")
+    if len(data.select(key).distinct().limit(buckets + 1).collect()) > buckets:
+        key = domain_bucket(domain, buckets).cast("string")
+    names = sorted(r[0] for r in data.select(key).distinct().collect())            # at most ``buckets``
+    classes = df.sparkSession.createDataFrame([(x, float(k)) for k, x in enumerate(names)], "_cf_key string, _cf_dom double")
+    data = data.withColumn("_cf_key", key).join(F.broadcast(classes), "_cf_key")
     lr = LogisticRegression(featuresCol="features", labelCol="_cf_dom", maxIter=cfg.max_iter,
                             regParam=cfg.reg_param, family="multinomial")
     out = lr.fit(data).transform(data).withColumn("_cf_p", vector_to_array("probability"))
     ll = -F.log(F.greatest(F.element_at("_cf_p", F.col("_cf_dom").cast("int") + 1), F.lit(1e-15)))
-    return out.agg(F.countDistinct(domain).alias("n_domains"),
+    return out.agg(F.countDistinct(domain).alias("n_domains"), F.countDistinct("_cf_dom").alias("n_classes"),
                    F.avg((F.col("prediction") == F.col("_cf_dom")).cast("double")).alias("accuracy"),
                    F.avg(ll).alias("log_loss"))
 

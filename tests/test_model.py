@@ -138,3 +138,16 @@ def test_group_weights_follow_losses(spark):
     q = {r.domain: r.q for r in w.collect()}
     assert q["hard"] > q["easy"] and sum(q.values()) == pytest.approx(1.0)
     assert hist.count() == 4
+
+
+def test_domain_probe_gives_each_domain_a_class(spark):
+    from corpusflow.operators.train import TrainConfig, domain_probe
+    # src2/src12, src5/src11 and src13/src18 share an md5 bucket of 64
+    rows = [(f"src{k}", f"own{k} words{k} of{k}") for k in (2, 5, 11, 12, 13, 18) for _ in range(6)] + [(None, "x")]
+    d = spark.createDataFrame(rows, "domain string, text string")
+    cfg = TrainConfig(num_features=1 << 10, max_iter=20)
+    got = domain_probe(d, "domain", cfg).first()
+    assert (got.n_domains, got.n_classes, got.accuracy) == (6, 6, 1.0)
+    few = domain_probe(d, "domain", cfg, buckets=4).first()
+    assert few.n_domains == 6 and few.n_classes == len({r[0] for r in d.where("domain is not null").select(L.domain_bucket("domain", 4)).collect()})
+    assert domain_probe(d.where("domain = 'src2'"), "domain", cfg).first().n_classes == 1
