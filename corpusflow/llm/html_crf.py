@@ -28,6 +28,7 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 NO_TEXT = frozenset("head script style noscript template textarea title iframe svg math object select option button canvas xmp noframes datalist".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt tr td th tbody thead tfoot".split())
 SELF_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEAD_HOLDS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 SCOPE = frozenset("ul ol dl table article section div main body aside nav form".split())
 SPACE = re.compile(r"\s+")
 
@@ -44,7 +45,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     Ancestors are strings such as ``div.side-bar#x``. Markup may be broken: an element that its
     parent cannot hold closes what is open, unknown end tags are ignored, open elements end with
-    the page. Text of scripts, styles, titles, form controls and the like is no block.
+    the page. A head left open ends at the first text or start tag it cannot hold. Text of scripts,
+    styles, titles, form controls and the like is no block.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, str]] = []          # (tag, ancestor string)
@@ -69,10 +71,17 @@ def leaf_blocks(page: str) -> list[Block]:
             hidden -= tag in NO_TEXT
             in_a -= tag == "a"
 
+    def end_head() -> None:
+        at = next((k for k, x in enumerate(stack) if x[0] == "head"), -1) if hidden else -1
+        if at >= 0:
+            pop_to(at)
+
     pos, n = 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
         end = m.start() if m else n
+        if hidden and stack[-1][0] == "head" and page[pos:end].strip():
+            end_head()
         if end > pos and not hidden:
             buf.append(page[pos:end])
             if in_a:
@@ -92,6 +101,8 @@ def leaf_blocks(page: str) -> list[Block]:
             elif tag == "p" or tag not in INLINE:
                 flush()
             continue
+        if hidden and tag not in HEAD_HOLDS:
+            end_head()
         if tag in INLINE:
             if tag == "br" or tag == "img":
                 if not hidden:

@@ -135,3 +135,11 @@ def test_queries_cover_their_tables(spark, name):
     table, key = ("pages", "page_id") if name == "op6_language_id" else ("documents", "doc_id")
     out = QUERIES[name](spark, SF)
     assert sorted(r[key] for r in out.select(key).collect()) == sorted(r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
+
+
+def test_open_head_does_not_hide_the_page():
+    for page in ("<html><head><title>x</title><body><article><p>a", "<head><meta charset=utf-8><script>s()</script><p>a",
+                 "<head><title>x</title>a", "<head><link rel=x><b>a</b>", "<head><title>x</title><div><p>a</div></head>"):
+        assert [b.text for b in html_crf.leaf_blocks(page)] == ["a"], page
+    assert [b.path for b in html_crf.leaf_blocks("<html><head><body><article><p>a")] == [("html", "body", "article", "p")]
+    assert html_crf.leaf_blocks("<html><head> <base href=x><style>p{}</style><title>t</title> </head></html>") == []
