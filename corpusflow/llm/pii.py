@@ -19,13 +19,15 @@ BASE = {
 # Identifier-like strings of each kind that the base patterns do not take: what contexts may discover.
 LOOSE = {
     "email": r"(?:(?<![^\x20\x09-\x0D<>()\[\],;\"])|\G)[^\x20\x09-\x0D<>()\[\],;:@\"]{1,64}+(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9.-]++",
-    "ip": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+(?![0-9A-Za-z])",
+    "ip": (r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+::(?:[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){0,6}+)?+"
+           r"|::[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){0,6}+)|[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+)(?![0-9A-Za-z])"),
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ .-]?[0-9]){11,18}+(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,10}+(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}+(?![0-9A-Za-z])",
 }
 ROUNDS = 3
 MIN_SEEDS = 5          # different seed identifiers that a pattern must be seen with
-MIN_CONFIDENCE = 0.8   # share of a pattern's identifiers that are accepted, smoothed by one unknown
+MIN_CONFIDENCE = 0.8   # share of a pattern's evidence that speaks for it, smoothed by one negative
+UNLABELLED = 0.1       # weight against a pattern of a string that no rule accepts or rejects
 ACCEPT = 0.8           # score at which an identifier is accepted
 
 
@@ -58,7 +60,7 @@ def _may_hold(kind: str, text: Column, loose: bool) -> Column:
         return F.contains(text, F.lit("@")) | (F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) if loose else F.lit(False))
     if kind == "phone" and not loose:
         return F.contains(text, F.lit("+"))
-    return text.rlike("[0-9]")
+    return text.rlike("[0-9]|::" if kind == "ip" and loose else "[0-9]")
 
 
 def _matches(text: Column, kind: str, loose: bool = False) -> Column:
@@ -98,14 +100,19 @@ def _spans(matches: Column, k: int) -> Column:
                        lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e")))
 
 
-def _candidates(matches: Column, k: int, seed: bool) -> Column:
-    """array<struct<k, s, e, inst, ctx, seed>>: identifiers with the hashes of their context patterns."""
+def _candidates(matches: Column, k: int, seed: bool, other=None, failed=None) -> Column:
+    """array<struct<k, s, e, inst, ctx, seed, other, against>>: identifiers with the hashes of their context patterns.
+
+    ``other(m)``: the string is of another kind by the base rules; ``failed(m)``: it failed its own kind's
+    check. Both weigh against a pattern in full, a string no rule knows by ``UNLABELLED``.
+    """
     def one(m):
         l2, l1, r1 = _words(m["l"], -2), _words(m["l"], -1), _words(m["r"], 1)
         return F.struct(F.lit(k).alias("k"), m["s"].alias("s"), m["e"].alias("e"),
                         F.xxhash64(F.lit(k), F.lower(m["m"])).alias("inst"),
                         F.array(F.xxhash64(F.lit(k), F.lit("l2"), l2), F.xxhash64(F.lit(k), F.lit("lr"), l1, r1)).alias("ctx"),
-                        F.lit(seed).alias("seed"))
+                        F.lit(seed).alias("seed"), (other(m) if other else F.lit(False)).alias("other"),
+                        F.when(F.lit(seed), 0.0).when(other(m) | failed(m) if other else F.lit(False), 1.0).otherwise(UNLABELLED).alias("against"))
     return F.transform(matches, one)
 
 
@@ -125,9 +132,10 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
 
     Discovery: base identifiers are seeds. Their contexts (two words before; the word on either
     side) are patterns, kept per kind. Patterns and identifier-like strings (``LOOSE``) form a
-    weighted graph of distinct edges. Each round scores a pattern by the smoothed share of its
-    identifiers that are accepted, with at least ``min_seeds`` different accepted ones and
-    ``min_confidence``; an identifier's score is the noisy-or of its patterns; those of at least
+    weighted graph of distinct edges. Each round scores a pattern by its accepted identifiers against
+    its negatives, smoothed by one: strings of its kind's shape that the base rules give another kind
+    or that failed their kind's check count in full, strings not yet accepted by ``UNLABELLED``. A
+    pattern needs at least ``min_seeds`` different accepted ones and ``min_confidence``; an identifier's score is the noisy-or of its patterns; those of at least
     ``accept`` are accepted and vote in the next round. An occurrence is reported if its identifier
     is accepted and one of its own contexts is a confident pattern.
 
@@ -143,16 +151,26 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     def sound(k: int):
         return F.filter(F.col(f"b{k}"), lambda m: _valid(KINDS[k], m["m"]))
 
-    known = base.select("id", "h", "t", spans.alias("base"), *[sound(k).alias(f"b{k}") for k in range(4)])
+    def failed(k: int):
+        return F.filter(F.col(f"b{k}"), lambda m: ~_valid(KINDS[k], m["m"]))
+
+    known = base.select("id", "h", "t", spans.alias("base"), *[sound(k).alias(f"b{k}") for k in range(4)], *[failed(k).alias(f"x{k}") for k in range(4)])
+
+    def meets(spans, m):
+        return F.exists(spans, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
 
-    def clear(k: int):
-        return F.filter(_matches(F.col("t"), KINDS[k], loose=True), lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
+    def loose(k: int):
+        """Strings of the kind's shape, but for its own base identifiers."""
+        own = F.filter("base", lambda b: b["k"] == k)
+        return F.filter(_matches(F.col("t"), KINDS[k], loose=True), lambda m: ~meets(own, m))
 
-    cands = F.concat(*[_candidates(F.col(f"b{k}"), k, True) for k in range(4)], *[_candidates(clear(k), k, False) for k in range(4)])
+    cands = F.concat(*[_candidates(F.col(f"b{k}"), k, True) for k in range(4)],
+                     *[_candidates(loose(k), k, False, lambda m: meets(F.col("base"), m), lambda m, k=k: meets(F.col(f"x{k}"), m)) for k in range(4)])
     rows = known.select("id", "h", "base", cands.alias("c")).checkpoint()
 
     hits = rows.select("id", "h", F.explode("c").alias("c")).select("id", "h", "c.*")
-    edges = (hits.select("inst", "seed", F.explode("ctx").alias("ctx")).groupBy("ctx", "inst").agg(F.max("seed").alias("seed")))
+    edges = (hits.select("inst", "seed", "other", "against", F.explode("ctx").alias("ctx")).groupBy("ctx", "inst")
+             .agg(F.max("seed").alias("seed"), F.min("other").alias("other"), F.max("against").alias("against")))
     # a pattern needs seeds to begin with: the others cannot become confident before an identifier does
     edges = edges.checkpoint()
     seeds = edges.where("seed").groupBy("inst").agg(F.lit(1.0).alias("score"))
@@ -160,14 +178,16 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     patterns = None
     for _ in range(rounds):
         patterns = (edges.join(known_inst, "inst", "left").groupBy("ctx")
-                    .agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("good"), F.count("*").alias("n"), F.count("score").alias("m"))
-                    .withColumn("conf", F.col("good") / (F.col("n") + 1)).where((F.col("m") >= min_seeds) & (F.col("conf") >= min_confidence))
+                    .agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("good"), F.count("score").alias("m"),
+                         F.sum(F.when(F.col("score").isNull(), F.col("against")).otherwise(0.0)).alias("bad"))
+                    .withColumn("conf", F.col("good") / (F.col("m") + F.col("bad") + 1))
+                    .where((F.col("m") >= min_seeds) & (F.col("conf") >= min_confidence - 1e-9))
                     .select("ctx", "conf")).checkpoint()
-        found = (edges.where(~F.col("seed")).join(patterns, "ctx").groupBy("inst")
-                 .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("conf"), F.lit(0.999)))))).alias("score")).where(F.col("score") >= accept))
+        found = (edges.where(~F.col("seed") & ~F.col("other")).join(patterns, "ctx").groupBy("inst")
+                 .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("conf"), F.lit(0.999)))))).alias("score")).where(F.col("score") >= accept - 1e-9))
         known_inst = seeds.unionAll(found.join(seeds, "inst", "left_anti")).checkpoint()
 
-    new = (hits.where(~F.col("seed")).select("id", "h", "k", "s", "e", "inst", F.explode("ctx").alias("ctx"))
+    new = (hits.where(~F.col("seed") & ~F.col("other")).select("id", "h", "k", "s", "e", "inst", F.explode("ctx").alias("ctx"))
            .join(patterns.select("ctx"), "ctx").join(known_inst.select("inst"), "inst", "left_semi")
            .groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("s", "k", "e"))).alias("new")))
     rid, rh = "_nid", "_nh"

@@ -134,6 +134,32 @@ def test_pii_discovers_unseen_identifiers_by_context(spark):
     assert out[101]["spans"] == []
 
 
+def test_pii_discovery_among_unseen_identifiers(spark):
+    rows, want = [], {}
+    for g, (seeds, unseen) in enumerate(((5, 1), (5, 2), (12, 6), (30, 15))):       # up to a third of a context's instances
+        rows += [(1000 * g + k, f"please w{g} us +1 (555) 01{g}-{1000 + k:04d} today{g} and") for k in range(seeds)]
+        for k in range(unseen):
+            rows.append((1000 * g + 100 + k, f"please w{g} us (555) 01{g}-{7000 + k} today{g} and"))
+            want[1000 * g + 100 + k] = [f"(555) 01{g}-{7000 + k}"]
+    rows.append((900, "please w1 us 0044 20 7946 0958 otherwise"))
+    want[900] = ["0044 20 7946 0958"]
+    rows += [(5000 + k, f"the host at 2.3.4.{k} answered") for k in range(12)]
+    for k, x in enumerate(("2001:db8::1", "::1", "1:2:3:4:5:6:7:8", "fe80::")):
+        rows.append((5100 + k, f"the host at {x} answered"))
+        want[5100 + k] = [x]
+    rows.append((5200, "host at std::vector or at :: answered"))
+    want[5200] = []
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
+    assert {i: [dict(rows)[i][x["s"]:x["e"]] for x in got[i]["spans"]] for i in want} == want
+
+
+def test_pii_discovery_needs_more_seeds_than_negatives(spark):
+    rows = [(k, f"reach it at +1 (555) 010-{1000 + k:04d} today") for k in range(8)] + [(50, "reach it at 555 010 7777 today")]
+    rows += [(100 + k, f"reach it at 192.168.100.{100 + k} today") for k in range(8)]       # of a phone's shape, but addresses
+    out = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[50]["spans"] == [] and len(out[100]["spans"]) == 1
+
+
 def test_redact(docs, spark):
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()}
     k = TEXTS.index("é@x.y ü 10.0.0.1 @ a@b")
