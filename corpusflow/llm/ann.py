@@ -21,6 +21,12 @@ def permutation(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(np.take_along_axis(s, part, 1), axis=1, kind="stable"), 1)
 
 
+def lift(x: np.ndarray, most: float) -> np.ndarray:
+    """Rows with a coordinate that gives all of them the squared length ``most``: angles to a query
+    lifted by zero then order them as inner products do."""
+    return np.column_stack([x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))])
+
+
 class Postings:
     """Inverted files of one block: for each pivot the rows that hold it and its place in them."""
 
@@ -46,7 +52,8 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 20, id_col: s
                        rerank: float = RERANK, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query, itself left out.
 
-    Each vector is represented by its nearest pivots in order (pivots: a bounded sample by id hash).
+    Each vector is represented by its nearest pivots in order (pivots: a bounded sample by id hash);
+    a further coordinate makes vectors of any length equally long, so near means a large inner product.
     Vectors are dealt by hash to blocks of the index and queries to blocks of queries; where two
     blocks meet, the vectors' pivots are posted in inverted files, the queries accumulate footrule
     distances over the files of their own pivots, and the nearest ``rerank`` share (ties: smaller
@@ -66,15 +73,16 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 20, id_col: s
                        & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))))
 
     rows = clean(df)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("i").alias("u")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("i").alias("u"),
+                                                        F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes[0]["d"], sizes[0]["u"]
+    dim, n, most = sizes[0]["d"], sizes[0]["u"], sizes[0]["most"]
     one = one_per_id(rows.where(F.size("v") == dim))
     asked = one_per_id(clean(queries).where(F.size("v") == dim))
     n_asked = asked.count()
     sample = one.orderBy(F.xxhash64("i"), "i").limit(pivots).collect()          # bounded by its parameter
-    unit = np.array([r["v"] for r in sample])
+    unit = lift(np.array([r["v"] for r in sample]), most)
     unit = spark.sparkContext.broadcast(unit / np.linalg.norm(unit, axis=1, keepdims=True))
     width = min(prefix, len(sample))
     blocks, qblocks = max(1, -(-n // block)), max(1, -(-n_asked // query_block))
@@ -92,8 +100,8 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 20, id_col: s
         left, right = left.sort_values("i"), right.sort_values("i")
         ids, x = left["i"].to_numpy(), np.stack(left["v"].to_numpy())
         qid, y = right["i"].to_numpy(), np.stack(right["v"].to_numpy())
-        posts = Postings(permutation(x, unit.value, width), len(unit.value))
-        near = permutation(y, unit.value, width)
+        posts = Postings(permutation(lift(x, most), unit.value, width), len(unit.value))
+        near = permutation(np.column_stack([y, np.zeros(len(y))]), unit.value, width)
         m = min(len(ids), max(12 * k, int(np.ceil(rerank * len(ids)))) + 1)      # one more: the query itself
         out = []
         for j in range(len(qid)):

@@ -32,6 +32,29 @@ def test_ann_recall_and_scores(spark):
     assert len(got) == len([i for i in rows if i % 20 == 0]) and hit / (20 * len(got)) >= 0.9
 
 
+def recall(d, queries):
+    """Recall at 20 with the block and rerank share of the query, which must be less than all rows."""
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in d.collect()}
+    assert ann.RERANK * min(len(rows), ann.BLOCK) > 12 * 20
+    ids, x = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
+    got = {}
+    for r in ann.nearest_neighbours(d, queries).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return np.mean([len(set([i for i in ids[np.lexsort((ids, -(x @ rows[q])))] if i != q][:20]) & s) / 20 for q, s in got.items()])
+
+
+def test_ann_recall_as_it_runs(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    same = recall(d, d.where("vec_id % 20 = 0"))
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4096, 64))
+    x *= (rng.lognormal(0, 1, 4096) / np.linalg.norm(x, axis=1))[:, None]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    mixed = recall(d, d.where("vec_id % 40 = 0"))
+    print(f"recall: sf0.1 {same:.3f}, lognormal lengths {mixed:.3f}")
+    assert same >= 0.9 and mixed >= 0.9
+
+
 def test_ann_bad_vectors_ties_and_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]),
             (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (10, [-1.0, 0.5]), (None, [1.0, 1.0]), (1, [1.0, 0.0])]
