@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import PANDAS_NA
+from corpusflow.sources.csv_split import csv_records, files_of
 
 CANONICAL_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType()),
@@ -30,32 +31,48 @@ def string_schema(cols: list[str]) -> T.StructType:
 
 
 def read_csv_source(spark: SparkSession, path, schema: T.StructType | None = None, sep: str = ",",
-                    encoding: str = "UTF-8", na_tokens=PANDAS_NA, row_index: bool = True) -> DataFrame:
+                    encoding: str = "UTF-8", na_tokens=PANDAS_NA, row_index: bool = True, splittable: bool = True) -> DataFrame:
     """CSV with header; quoted separators, quoted newlines and doubled quotes are
-    legal (``multiLine`` + ``escape='"'``). NA tokens become null (P1).
-
-    ``row_index`` adds ``row_idx``, unique in the source and in reading order: the rank of
-    the file by path times ``FILE_STRIDE`` plus the position in the file. A multi-line file is
-    one split, so the generated ids of its rows are consecutive; the position is the distance
-    to the file's smallest id (one small aggregate, no sort)."""
-    r = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-         .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE"))
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.csv(path)
-    for c in df.columns:
-        df = df.withColumn(c, F.when(F.col(c).isin(*na_tokens), None).otherwise(F.col(c)))
-    if row_index:
-        # multiLine CSV files are never split, so the id is increasing in file order
-        df = df.withColumn("_cf_file", F.col("_metadata.file_path")).withColumn(
-            "_cf_mid", F.monotonically_increasing_id())
-        from pyspark.sql import Window
-        files = (df.groupBy("_cf_file").agg(F.min("_cf_mid").alias("_cf_first"))   # a row per file
-                 .withColumn("_cf_rank", F.row_number().over(Window.orderBy("_cf_file")) - 1))
-        df = (df.join(files, "_cf_file")
-              .withColumn("row_idx", (F.col("_cf_rank") * FILE_STRIDE + F.col("_cf_mid") - F.col("_cf_first")).cast("long"))
-              .drop("_cf_mid", "_cf_first", "_cf_rank").withColumnRenamed("_cf_file", "source_file"))
-    return df
+    legal. NA tokens become null (P1).
+
+    A file is read by as many tasks as Spark cuts it into byte ranges (:mod:`corpusflow.sources.csv_split`): records
+    are found first, then their fields by the JVM's parser. Other encodings than UTF-8, separators of several
+    characters and ``splittable=False`` (for files whose lines end in bare carriage returns) are read by one
+    task per file.
+
+    ``row_index`` adds ``source_file`` and ``row_idx``, unique in the source and in reading order: the rank of
+    the file by path times ``FILE_STRIDE`` plus the position of the row in the file."""
+    options = {"header": "true", "sep": sep, "encoding": encoding, "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
+    r = spark.read.options(**options)
+    df = (r.schema(schema) if schema is not None else r).csv(path)
+    if splittable and len(sep) == 1 and encoding.upper() in ("UTF-8", "UTF8") and df.columns:
+        df = _parse_records(csv_records(spark, path, sep), df.schema, options)
+    elif row_index:
+        # a multi-line scan never cuts a file, so the generated ids of its rows are consecutive
+        df = df.withColumn("source_file", F.col("_metadata.file_path")).withColumn("_cf_mid", F.monotonically_increasing_id())
+        first = df.groupBy("source_file").agg(F.min("_cf_mid").alias("_cf_first"))   # a row per file
+        df = df.join(first, "source_file").withColumn("_cf_pos", F.col("_cf_mid") - F.col("_cf_first")).drop("_cf_mid", "_cf_first")
+    plain = [c for c in df.columns if c not in ("source_file", "_cf_pos")]
+    df = df.withColumns({c: F.when(F.col(c).isin(*na_tokens), None).otherwise(F.col(c)) for c in plain})
+    if not row_index:
+        return df.select(*plain)
+    files = [f for f, _ in files_of(spark, path)]
+    if len(files) > PART_STRIDE // FILE_STRIDE:
+        raise ValueError(f"{len(files)} files: order keys are unique up to {PART_STRIDE // FILE_STRIDE}")
+    if len(files) <= 1:
+        rank = df.withColumn("_cf_rank", F.lit(0))
+    else:
+        rank = df.join(spark.createDataFrame([(f, k) for k, f in enumerate(files)], "source_file string, _cf_rank long"), "source_file")
+    return (rank.withColumn("row_idx", (F.col("_cf_rank") * FILE_STRIDE + F.col("_cf_pos")).cast("long"))
+            .select(*plain, "source_file", "row_idx"))
+
+
+def _parse_records(records: DataFrame, schema: T.StructType, options: dict) -> DataFrame:
+    """Fields of one-record texts by the names and types of ``schema``; headers (position 0) are dropped."""
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+    rows = records.where("position > 0").select("source_file", (F.col("position") - 1).alias("_cf_pos"),
+                                                F.from_csv("record", ddl, options).alias("_cf_row"))
+    return rows.select(*[F.col("_cf_row").getField(f.name).alias(f.name) for f in schema], "source_file", "_cf_pos")
 
 
 def tag_source(df: DataFrame, label=None, domain=None, language=None, dataset=None) -> DataFrame:
@@ -72,6 +89,8 @@ def labelled_pair(parts: list[tuple[DataFrame, int]], domain=None, language=None
     """S3: the label comes from *which file* a row was read from. The parts follow each other:
     ``row_idx`` (when present) of the n-th part is raised by ``n * PART_STRIDE``, so order keys
     stay unique and a text in two parts is kept from the first."""
+    if len(parts) > 1 << 10:
+        raise ValueError(f"{len(parts)} parts: order keys are unique up to {1 << 10}")
     tagged = [tag_source(df, label=lab, domain=domain, language=language) for df, lab in parts]
     tagged = [df.withColumn("row_idx", F.col("row_idx") + F.lit(k * PART_STRIDE)) if "row_idx" in df.columns else df
               for k, df in enumerate(tagged)]
