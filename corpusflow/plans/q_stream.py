@@ -15,18 +15,16 @@ _T = with_ctes(TELEMETRY_SQL, TSERIES_SQL)
 
 
 def _source(spark, sf, files: int = 8):
+    """Files of consecutive samples, written by as many tasks in one job: they end, and so arrive, in any order."""
     src = scratch_path(spark, "telemetry-src")
     series = telemetry_series(spark, sf, restarts=False, alerts=False)
-    cuts = series.approxQuantile("seq", [k / files for k in range(1, files)], 0.001)
-    part = sum((F.when(F.col("seq") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for k in range(files):          # files arrive in time order, as a sampler writes them
-        entries_from_series(series.where(part == k)).coalesce(1).write.mode("append").text(src)
+    entries_from_series(series.repartitionByRange(files, "seq").sortWithinPartitions("seq")).write.text(src)
     return src
 
 
-def _run(spark, df, name, mode="append"):
+def _run(spark, df, name, mode="append", state_partitions=None):
     sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
-    RS.run_to_parquet(df, sink, ckpt, mode)
+    RS.run_to_parquet(df, sink, ckpt, mode, state_partitions)
     return spark.read.parquet(sink) if mode == "append" else RS.read_latest(spark, sink)
 
 
@@ -41,8 +39,9 @@ def q_stream_alerts(spark, sf):
 
 @query("stream_restarts", _T + "SELECT seq, host, CAST(boot_time AS DOUBLE) AS boot_time, vm_restarted FROM tseries")
 def q_stream_restarts(spark, sf):
-    stream = RS.read_telemetry_stream(spark, _source(spark, sf), max_files_per_trigger=1)   # state is carried over
-    out = _run(spark, RS.stream_restarts(stream), "restarts")
+    """State is carried over micro-batches of files in any order; late files correct earlier flags."""
+    stream = RS.read_telemetry_stream(spark, _source(spark, sf), max_files_per_trigger=3)
+    out = RS.settled(_run(spark, RS.stream_restarts(stream), "restarts", state_partitions=spark.sparkContext.defaultParallelism))
     return out.select("seq", F.col("host").cast("long").alias("host"), "boot_time", "vm_restarted")
 
 

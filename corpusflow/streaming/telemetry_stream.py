@@ -1,21 +1,22 @@
 """Telemetry as Structured Streaming queries (RS1-RS5).
 
 Entries arrive as JSON-lines files from many hosts. Alerts are stateless (append);
-restart detection keeps one running maximum of the boot time per host
-(``applyInPandasWithState``);
-the status table keeps the latest sample per host (complete mode, one row per host).
+restart detection keeps an ordered map of each host's boot time records
+(``transformWithState``) and corrects itself when samples come late; the status table keeps the latest sample per host (complete mode, one row per host).
 Sources, sinks and checkpoints live under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import UTC
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.operators.telemetry import alert_messages, flatten
 from corpusflow.sources.files import TELEMETRY_SCHEMA, parse_telemetry_lines
@@ -38,57 +39,117 @@ def stream_alerts(df: DataFrame, thresholds: dict | None = None, process_name: s
     return df.withColumn("alerts", alert_messages(thresholds, process_name))
 
 
-RESTART_OUT = "host string, seq long, ts timestamp_ntz, boot_time double, vm_restarted boolean"
-RESTART_STATE = "max_boot double, dead boolean"
-
-
-def _restart_state_fn(ttl_ms: int | None):
-    def step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(chunks), ignore_index=True).sort_values("seq", kind="stable")
-        b = pdf["boot_time"].to_numpy(dtype="float64")
-        if state.exists:
-            start, dead = state.get
-            start = np.nan if start is None else start
-            prev = np.fmax.accumulate(np.concatenate([[start], b[:-1]])) if len(b) else b
-        else:
-            dead = bool(np.isnan(b[0]))
-            start = b[0]
-            prev = np.concatenate([[np.nan], np.fmax.accumulate(b[:-1])]) if len(b) > 1 else np.array([np.nan])
-        flag = (~np.isnan(b)) & (~np.isnan(prev)) & (b > np.nan_to_num(prev, nan=np.inf))
-        if dead:
-            flag[:] = False
-        new_max = np.fmax.reduce(np.concatenate([[start], b])) if len(b) else start
-        state.update((None if np.isnan(new_max) else float(new_max), bool(dead)))
-        if ttl_ms is not None:
-            # host state expires one TTL after its latest sample (event time)
-            last_ms = int(pd.Timestamp(pdf["ts"].max()).value // 1_000_000)
-            state.setTimeoutTimestamp(max(last_ms + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"host": pdf["host"].to_numpy(), "seq": pdf["seq"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-                            "boot_time": b, "vm_restarted": flag})
-    return step
+RESTART_OUT = "host string, seq long, ts timestamp_ntz, boot_time double, vm_restarted boolean, revision long"
+
+
+def judge(records: dict[int, tuple], first: tuple | None, seq: np.ndarray, boot: np.ndarray, ts: list):
+    """New samples of a host, in any order, against its state -> (flags, records, first, corrections).
+
+    ``records`` has the samples whose boot time exceeded all earlier ones (by ``seq``) so far: seq -> (boot, ts); it decides
+    what any sample was preceded by. ``first`` is (smallest seq, whether its boot time is null). A sample is a
+    restart if an earlier boot time exists and is lower than its own, unless the first one is null. A late sample may take
+    a record's place: ``corrections`` are the earlier samples whose flag is another one now, as (seq, boot, ts, flag).
+    """
+    def flags_of(recs, head):
+        order = sorted(recs)
+        return {s: k > 0 and not head[1] for k, s in enumerate(order)} if head else {}
+
+    was = flags_of(records, first)
+    k = int(np.argmin(seq))
+    if first is None or seq[k] < first[0]:
+        first = (int(seq[k]), bool(np.isnan(boot[k])))
+    merged = dict(records)
+    for s, b, t in zip(seq.tolist(), boot.tolist(), ts, strict=True):
+        if b == b and (s not in merged or b > merged[s][0]):
+            merged[s] = (b, t)
+    now, high = {}, None
+    for s in sorted(merged):
+        if high is None or merged[s][0] > high:
+            now[s] = merged[s]
+            high = merged[s][0]
+    flags = flags_of(now, first)
+    at = np.array(sorted(now), np.int64)
+    tops = np.array([now[s][0] for s in at.tolist()])
+    before = np.searchsorted(at, seq, side="left") - 1          # the last record of a smaller seq
+    prev = np.where(before >= 0, tops[np.maximum(before, 0)], np.nan) if len(at) else np.full(len(seq), np.nan)
+    own = (boot > prev) & (not first[1])                        # comparisons with NaN are false
+    arrived = set(seq.tolist())
+    changed = [(s, *records[s], flags.get(s, False)) for s in records if s not in arrived and was[s] != flags.get(s, False)]
+    return own, now, first, changed
+
+
+class RestartProcessor(StatefulProcessor):
+    """Per host: its records as a map from seq, its first sample, and a count of calls (the revision of a row)."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getMapState("records", "seq long", "boot double, ts timestamp_ntz")
+        self.head = handle.getValueState("head", "first long, dead boolean, revision long, last_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        head = self.head.get() if self.head.exists() else None
+        records = {k[0]: (v[0], v[1]) for k, v in self.records.iterator()} if head else {}
+        kept, first, revision, last = dict(records), (head[0], head[1]) if head else None, head[2] + 1 if head else 0, head[3] if head else 0
+        for pdf in rows:
+            seq, boot = pdf["seq"].to_numpy(np.int64), pdf["boot_time"].to_numpy(np.float64)
+            ts = [None if pd.isna(t) else t.to_pydatetime() for t in pdf["ts"]]
+            flags, records, first, changed = judge(records, first, seq, boot, ts)
+            last = max([last, *(int(t.replace(tzinfo=UTC).timestamp() * 1000) for t in ts if t)])
+            yield pd.DataFrame({"host": key[0], "seq": seq, "ts": pdf["ts"].to_numpy(), "boot_time": boot, "vm_restarted": flags, "revision": revision})
+            if changed:
+                yield pd.DataFrame({"host": key[0], "seq": [c[0] for c in changed], "ts": pd.Series([c[2] for c in changed], dtype="datetime64[ns]"),
+                                    "boot_time": [c[1] for c in changed], "vm_restarted": [c[3] for c in changed], "revision": revision})
+            revision += 1
+        for s in kept.keys() - records.keys():
+            self.records.removeKey((s,))
+        for s, v in records.items():
+            if kept.get(s) != v:
+                self.records.updateValue((s,), v)
+        self.head.update((*first, revision - 1, last))
+        if self.ttl_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max(last + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.records.clear()
+        self.head.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_restarts(df: DataFrame, late: str | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """RS3: restart detection with per-host state = running max of the boot time.
-
-    By default no sample is dropped and no host forgotten: the state is two values per host ever
-    seen. ``late`` (with ``ttl_ms``, both or neither) bounds it instead: samples later than ``late``
-    behind the watermark are dropped and a host silent for ``ttl_ms`` leaves state.
-
-    Across micro-batches a host's samples must arrive in time order for the flags to equal the
-    batch operator's; a late lower boot time never raises a false alarm, because the state only
-    grows. One call sees one host's samples of one micro-batch, so the trigger bounds that group."""
+    """RS3: restart detection by event order, whatever the order of arrival (``transformWithState``; start it with
+    :func:`run_to_parquet`, or with a RocksDB state store).
+
+    State per host is its records - the samples whose boot time exceeded all before them, as many as it had restarts - and
+    its first sample. A sample gets its flag as it arrives; a late one that changes what earlier rows said sends
+    those rows again with a higher ``revision``. :func:`settled` keeps the last word on each sample, which is the flag of the
+    batch operator on all samples so far. Samples of equal ``seq`` are one sample. A host's samples are taken a chunk
+    at a time, so no group is held whole.
+
+    By default no sample is dropped and no host forgotten. ``late`` (with ``ttl_ms``, both or neither) bounds the state
+    instead: samples later than ``late`` behind the watermark are dropped, and an event-time timer takes a host silent for
+    ``ttl_ms`` out of state.
+    """
     if (late is None) != (ttl_ms is None):
         raise ValueError("late and ttl_ms go together")
     flat = df.select("host", "seq", "ts", F.col("boot_time").cast("double").alias("boot_time"),
-                     F.col("ts").cast("timestamp_ltz").alias("event_time"))  # UTC session: same instant
-    timeout = GroupStateTimeout.NoTimeout
+                     F.col("ts").cast("timestamp_ltz").alias("event_time")).where("seq is not null")     # UTC session: same instant
     if late is not None:
-        flat, timeout = flat.withWatermark("event_time", late), GroupStateTimeout.EventTimeTimeout
-    return flat.groupBy("host").applyInPandasWithState(_restart_state_fn(ttl_ms), RESTART_OUT, RESTART_STATE, "append", timeout)
+        flat = flat.withWatermark("event_time", late)
+    return flat.groupBy("host").transformWithStateInPandas(RestartProcessor(ttl_ms), RESTART_OUT, "Append", "None" if ttl_ms is None else "EventTime")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The last word on each sample: its row of the highest revision."""
+    rest = [c for c in df.columns if c not in ("host", "seq", "revision")]
+    return df.groupBy("host", "seq").agg(F.max_by(F.struct(*rest), "revision").alias("r")).select("host", "seq", "r.*")
 
 
 def stream_status(df: DataFrame) -> DataFrame:
@@ -98,16 +159,38 @@ def stream_status(df: DataFrame) -> DataFrame:
     return df.groupBy("host").agg(latest.alias("s")).select("host", "s.*")
 
 
-def run_to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _for_start(spark: SparkSession, conf: dict):
+    """Settings that a query takes along when it starts; the session has its own back afterwards."""
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", state_partitions: int | None = None) -> None:
     """RS4/K3: run a stream with ``availableNow`` into a parquet folder (append). A complete-mode
     table is written to a folder of its own per micro-batch (``batch=N``), so that readers of the
-    last one never see a folder in the making; see :func:`read_latest`."""
+    last one never see a folder in the making; see :func:`read_latest`. State lies in RocksDB, dealt to
+    ``state_partitions`` (fixed by the first run of a checkpoint; by default as many as shuffles have)."""
+    spark = df.sparkSession
+    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(state_partitions)
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        q = w.format("parquet").outputMode("append").start(sink)
-    else:
-        q = (w.outputMode(mode)
-             .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{sink}/batch={i}")).start())
+    with _for_start(spark, conf):
+        if mode == "append":
+            q = w.format("parquet").outputMode("append").start(sink)
+        else:
+            q = (w.outputMode(mode)
+                 .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{sink}/batch={i}")).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -120,5 +203,5 @@ def read_latest(spark: SparkSession, sink: str) -> DataFrame:
     return df.join(F.broadcast(last), df["batch"] == last["_cf_b"]).drop("batch", "_cf_b")
 
 
-__all__ = ["read_telemetry_stream", "stream_alerts", "stream_restarts", "stream_status", "run_to_parquet", "read_latest",
+__all__ = ["read_telemetry_stream", "stream_alerts", "stream_restarts", "settled", "stream_status", "run_to_parquet", "read_latest",
            "TELEMETRY_SCHEMA"]

@@ -124,7 +124,7 @@ def test_stream_equals_batch(spark, tmp_dir):
     stream = RS.read_telemetry_stream(spark, tmp_dir)
     sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
     RS.run_to_parquet(RS.stream_restarts(stream), sink, ck)
-    s = {r.seq: r.vm_restarted for r in spark.read.parquet(sink).collect()}
+    s = {r.seq: r.vm_restarted for r in RS.settled(spark.read.parquet(sink)).collect()}
     b = {r.seq: r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
     assert s == b == {0: False, 1: False, 2: False, 3: True, 4: False, 5: True}
     sink2, ck2 = scratch_path(spark, "sink"), scratch_path(spark, "ck")
@@ -159,7 +159,7 @@ def test_stream_state_across_micro_batches(spark, tmp_dir):
     stream = RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1)
     sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
     RS.run_to_parquet(RS.stream_restarts(stream), sink, ck)
-    s = {r.seq: r.vm_restarted for r in spark.read.parquet(sink).collect()}
+    s = {r.seq: r.vm_restarted for r in RS.settled(spark.read.parquet(sink)).collect()}
     b = {r.seq: r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
     assert s == b
     assert [k for k, v in sorted(s.items()) if v] == [3, 5, 7]
@@ -198,6 +198,75 @@ def test_stream_forgets_nothing_by_default(spark, tmp_dir):
         os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
     sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
     RS.run_to_parquet(RS.stream_restarts(RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1)), sink, ck)
-    s = {r.seq: r.vm_restarted for r in spark.read.parquet(sink).collect()}
+    s = {r.seq: r.vm_restarted for r in RS.settled(spark.read.parquet(sink)).collect()}
     b = {r.seq: r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, tmp_dir))).collect()}
     assert s == b and len(s) == 5 and s[3] and s[4]
+
+
+def _flags(spark, folder):
+    return {(r.host, r.seq): r.vm_restarted for r in R.detect_restarts(R.flatten(read_telemetry(spark, folder))).collect()}
+
+
+def test_files_in_any_order_equal_batch(spark, tmp_dir):
+    """Random boot times of three hosts in files that arrive shuffled, one per micro-batch; a restart of the stream in between."""
+    import random
+    from corpusflow.session import scratch_path
+    rng = random.Random(8)
+    samples = [(h, i, rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0])) for h in "abc" for i in range(36)]
+    os.makedirs(tmp_dir, exist_ok=True)
+    order = list(range(9))
+    rng.shuffle(order)
+    sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    for n, part in enumerate(order):
+        p = os.path.join(tmp_dir, f"p{part}.jsonl")
+        with open(p, "w") as f:
+            for h, i, b in samples:
+                if i % 9 == part:
+                    x = json.loads(entry(i, boot=b))
+                    x.update(host=h, seq=i)
+                    f.write(json.dumps(x) + "\n")
+        os.utime(p, (1_700_000_000 + n, 1_700_000_000 + n))
+        if n in (3, 8):          # the stream stops after four files and goes on from its checkpoint
+            RS.run_to_parquet(RS.stream_restarts(RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1)), sink, ck, state_partitions=3)
+            out = spark.read.parquet(sink)
+            assert {(r.host, r.seq): r.vm_restarted for r in RS.settled(out).collect()} == _flags(spark, tmp_dir)
+    assert out.count() > len(samples) and out.where("revision > 0").count() > 0       # corrections were sent
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != RS.STATE_STORE
+
+
+def test_judge_in_any_order():
+    import random
+    import numpy as np
+    rng = random.Random(4)
+    for _ in range(300):
+        boots = [rng.choice([None, None, 1.0, 2.0, 3.0, 4.0]) for _ in range(rng.randint(1, 9))]
+        high, want = None, []
+        for b in boots:
+            want.append(b is not None and high is not None and b > high and boots[0] is not None)
+            high = b if high is None or (b is not None and b > high) else high
+        order, got, records, first = list(range(len(boots))), {}, {}, None
+        rng.shuffle(order)
+        while order:
+            n = rng.randint(1, 3)
+            take, order = order[:n], order[n:]
+            own, records, first, changed = RS.judge(records, first, np.array(take), np.array([np.nan if boots[k] is None else boots[k] for k in take]), [None] * len(take))
+            got.update(zip(take, own.tolist(), strict=True))
+            got.update({c[0]: c[3] for c in changed})
+        assert [got[k] for k in range(len(boots))] == want
+
+
+def test_silent_hosts_leave_bounded_state(spark, tmp_dir):
+    from corpusflow.session import scratch_path
+    os.makedirs(tmp_dir, exist_ok=True)
+    days = [("2024-01-01", "a", 5.0), ("2024-01-20", "b", 1.0), ("2024-01-21", "b", 1.0), ("2024-02-20", "a", 6.0)]
+    for k, (day, host, boot) in enumerate(days):
+        x = json.loads(entry(0, boot=boot))
+        x.update(host=host, seq=k, timestamp=f"{day}T00:00:00")
+        p = os.path.join(tmp_dir, f"p{k}.jsonl")
+        with open(p, "w") as f:
+            f.write(json.dumps(x) + "\n")
+        os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
+    sink, ck = scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    RS.run_to_parquet(RS.stream_restarts(RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1), "1 day", 86_400_000), sink, ck, state_partitions=2)
+    s = {r.seq: r.vm_restarted for r in RS.settled(spark.read.parquet(sink)).collect()}
+    assert s == {0: False, 1: False, 2: False, 3: False}       # host a was forgotten: its new boot time is its first
