@@ -15,9 +15,13 @@ re-running a lost task or changing the physical partitioning never changes a pos
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.session import ensure_checkpoint_dir
+
 
 def hash_key(seed, *cols) -> Column:
     """Deterministic shuffle key: ``md5('<seed>:<c1>:<c2>...')`` (hex, 32 chars)."""
@@ -93,6 +97,52 @@ def _position_in_buckets(keyed: DataFrame, b: str, order: list[str], name: str,
             .drop(b, "_cf_off", "_cf_rn"))
 
 
+def position_by_sort(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """0-based position in the order of any columns: a sort over ranges of the whole key, so ties in its first
+    column spread too; a row's place is that in its range plus the rows of the ranges before. The sorted rows are
+    written to the checkpoint folder (pass narrow ones); the driver sees one number per range."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.orderBy(*order).withColumn("_cf_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_cf_at", 33)
+    offsets, seen = [], 0
+    for p, n in sorted(tuple(r) for r in ranged.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, seen))
+        seen += n
+    first = df.sparkSession.createDataFrame(offsets, "_cf_p long, _cf_first long")
+    return (ranged.withColumn("_cf_p", part).join(F.broadcast(first), "_cf_p")
+            .withColumn(name, F.col("_cf_first") + F.col("_cf_at") - F.shiftleft("_cf_p", 33)).drop("_cf_p", "_cf_first", "_cf_at"))
+
+
+PRIME = (1 << 31) - 1
+
+
+def permutation_keys(n: int, seed: int, epoch: int = 0) -> list[tuple[int, int, int, int]]:
+    """Keys of the rounds of :func:`permuted`: from md5, four numbers a round, three rounds per bit of ``n``."""
+    out = []
+    for r in range(max(8, 3 * max(1, n - 1).bit_length())):
+        h = hashlib.md5(f"{seed}:{epoch}:{r}".encode()).hexdigest()
+        out.append((int(h[:15], 16) % max(1, n), *(int(h[k:k + 7], 16) % (PRIME - 1) + 1 for k in (15, 19, 25))))
+    return out
+
+
+def permuted(pos: Column, n: int, seed: int, epoch: int = 0) -> Column:
+    """A keyed permutation of 0 .. n-1 as an expression on one row: a shuffle without moving rows.
+
+    Each round pairs x with k - x (mod n) and swaps the two or not, by a bit of a keyed hash of the larger one; so every round, and
+    their sequence, is one to one on exactly n numbers. Null or a number outside the range gives null."""
+    rounds = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("kabc", key, strict=True)]) for key in permutation_keys(n, seed, epoch)])
+
+    def swap(x, key):
+        y = F.pmod(key["k"] - x, F.lit(n).cast("long"))
+        top = F.greatest(x, y)
+        mixed = F.pmod(F.pmod(top, F.lit(PRIME)) * key["a"] + F.pmod(F.floor(top / F.lit(PRIME)), F.lit(PRIME)) * key["b"] + key["c"], F.lit(PRIME))
+        bit = F.pmod(F.floor(F.pmod(mixed * mixed, F.lit(PRIME)) / F.lit(1 << 15)), F.lit(2))
+        return F.when(bit == 1, y).otherwise(x)
+
+    x = pos.cast("long")
+    return F.when((x >= 0) & (x < n), F.aggregate(rounds, x, swap))
+
+
 def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str], order_col: str,
                 tiebreak: list[str] = (), how: str = "max", exclusive: bool = True,
                 buckets: int = 1024, first_out: str | None = None) -> DataFrame:

@@ -16,9 +16,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.operators.positions import hash_key, position_by_hash
+from corpusflow.operators.positions import hash_key, permuted, position_by_hash, position_by_sort
 from corpusflow.session import broadcast_checked, ensure_checkpoint_dir
 
+STRATA = 50_000   # rows of a strata table that one task ranks
 HEX_DIGITS = 3    # hash buckets of a stratum: 16 ** 3; only the buckets that hold a cut are ranked
 
 
@@ -40,41 +41,47 @@ def _ceil_frac(n: Column, frac, float_compat: bool) -> Column:
     return _idiv(n.cast("decimal(24,0)") * F.lit(fr.numerator).cast("decimal(12,0)") + F.lit(fr.denominator - 1), fr.denominator)
 
 
-def _approx_mode(q: DataFrame, count_col: str, draws_col: str, out: str) -> DataFrame:
-    """Largest-remainder allocation of ``draws`` over strata proportional to counts."""
-    w_all = Window.partitionBy()
-    total = F.sum(count_col).over(w_all)
+def _with_totals(q: DataFrame, **sums: str) -> DataFrame:
+    """``q`` with the total of a column each: one row, summed map-side and sent to every task."""
+    return q.crossJoin(F.broadcast(q.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()])))
+
+
+def _approx_mode(q: DataFrame, count_col: str, draws_col: str, out: str, one_task: bool) -> DataFrame:
+    """Largest-remainder allocation of ``draws`` over strata proportional to counts.
+
+    The strata are ranked by remainder: in one task when they are few, else by a sort over ranges of (remainder, name)."""
     share = F.col(count_col).cast("decimal(19,0)") * F.col(draws_col).cast("decimal(19,0)")   # exceeds a long
-    q = (q.withColumn("_cf_tot", total)
-         .withColumn("_cf_fl", F.when(F.col("_cf_tot") > 0,
-                                      _idiv(share, F.col("_cf_tot")))
-                     .otherwise(F.lit(0)).cast("long"))
-         .withColumn("_cf_rem", F.when(F.col("_cf_tot") > 0,
-                                       F.pmod(share, F.col("_cf_tot").cast("decimal(38,0)")))
-                     .otherwise(F.lit(0)).cast("long")))
-    q = q.withColumn("_cf_need", F.col(draws_col) - F.sum("_cf_fl").over(w_all))
-    q = q.withColumn("_cf_rk", F.row_number().over(Window.orderBy(F.col("_cf_rem").desc(), F.col("stratum"))))
-    q = q.withColumn(out, (F.col("_cf_fl") + F.when(F.col("_cf_rk") <= F.col("_cf_need"), 1).otherwise(0)).cast("long"))
-    return q.drop("_cf_tot", "_cf_fl", "_cf_rem", "_cf_need", "_cf_rk")
+    q = _with_totals(q, _cf_tot=count_col)
+    some = F.col("_cf_tot") > 0
+    q = (q.withColumn("_cf_fl", F.when(some, _idiv(share, F.col("_cf_tot"))).otherwise(F.lit(0)).cast("long"))
+         .withColumn("_cf_rem", F.when(some, F.pmod(share, F.col("_cf_tot").cast("decimal(38,0)"))).otherwise(F.lit(0)).cast("long")))
+    if one_task:
+        q = _with_totals(q, _cf_all=("_cf_fl")).withColumn("_cf_rk", F.row_number().over(Window.orderBy(F.col("_cf_rem").desc(), F.col("stratum"))) - 1)
+    else:
+        q = q.checkpoint()              # read for the ranges, the ranks and the total
+        q = _with_totals(position_by_sort(q, [F.col("_cf_rem").desc(), F.col("stratum")], "_cf_rk"), _cf_all="_cf_fl")
+    need = F.col(draws_col) - F.col("_cf_all")
+    q = q.withColumn(out, (F.col("_cf_fl") + F.when(F.col("_cf_rk") < need, 1).otherwise(0)).cast("long"))
+    return q.drop("_cf_tot", "_cf_fl", "_cf_rem", "_cf_all", "_cf_rk")
 
 
 def allocate(counts: DataFrame, held_out: list, float_compat: bool = False,
-             on_rare: str = "error") -> DataFrame:
+             on_rare: str = "error", one_task: int = STRATA) -> DataFrame:
     """Quota table ``(stratum, n, q_0, q_1, ...)`` from ``(stratum, n)``.
 
     ``held_out`` are the held-out fractions of each successive two-way split, e.g.
-    ``[0.3, 2/3]`` for 70/10/20 done as (train | rest) then (val | test)."""
-    q = counts
-    avail = "n"
-    w_all = Window.partitionBy()
+    ``[0.3, 2/3]`` for 70/10/20 done as (train | rest) then (val | test). Up to ``one_task`` strata are ranked in
+    one task, more of them in as many as their table takes; the quotas are the same."""
+    q = counts.checkpoint()
+    avail, few = "n", q.limit(one_task + 1).count() <= one_task
     if on_rare == "error":
-        q = q.withColumn(avail, F.when(F.min("n").over(w_all) < 2, F.raise_error(F.lit(
-            "The least populated stratum has only 1 member; stratified split needs 2")).cast("long"))
-            .otherwise(F.col("n")))
+        q = q.crossJoin(F.broadcast(q.agg(F.min("n").alias("_cf_min")))).withColumn(
+            avail, F.when(F.col("_cf_min") < 2, F.raise_error(F.lit(
+                "The least populated stratum has only 1 member; stratified split needs 2")).cast("long")).otherwise(F.col("n"))).drop("_cf_min")
     for i, frac in enumerate(held_out):
-        tot = F.sum(avail).over(w_all)
-        q = q.withColumn("_cf_keep", tot - _ceil_frac(tot, frac, float_compat))
-        q = _approx_mode(q, avail, "_cf_keep", f"q_{i}")
+        q = _with_totals(q, _cf_sum=avail)
+        q = q.withColumn("_cf_keep", F.col("_cf_sum") - _ceil_frac(F.col("_cf_sum"), frac, float_compat)).drop("_cf_sum")
+        q = _approx_mode(q, avail, "_cf_keep", f"q_{i}", few)
         nxt = f"_cf_avail_{i}"
         q = q.withColumn(nxt, F.col(avail) - F.col(f"q_{i}")).drop("_cf_keep")
         avail = nxt
@@ -125,12 +132,24 @@ def stratified_split(df: DataFrame, strata: list[str], splits: list[tuple[str, f
     counts = mapping.groupBy(F.col("_cf_eff").alias("stratum")).agg(F.sum("n").alias("n"))
     quotas = allocate(counts, held, float_compat, "error")
     cuts = _cut_keys(keys, hist, mapping.select("stratum", "_cf_eff"), quotas, len(splits))
-    out = keyed.join(broadcast_checked(cuts), "stratum")
-    expr = None
-    for i, (name, _) in enumerate(splits):
+    return _by_cuts(keyed, cuts, row_key, [n for n, _ in splits], split_col).select(*df.columns, split_col)
+
+
+def _by_cuts(keyed: DataFrame, cuts: DataFrame, row_key: list[str], names: list[str], split_col: str) -> DataFrame:
+    out, expr = keyed.join(broadcast_checked(cuts), "stratum"), None
+    for i, name in enumerate(names):
         cond = F.col(f"_cf_all_{i}") | (F.struct("_cf_h", *row_key) < F.col(f"_cf_cut_{i}"))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return out.withColumn(split_col, expr).select(*df.columns, split_col)
+    return out.withColumn(split_col, expr)
+
+
+def cuts_of_quotas(keyed: DataFrame, quotas: DataFrame, row_key: list[str], names: list[str], split_col: str = "split") -> DataFrame:
+    """``keyed`` (``stratum``, ``_cf_h``, ``row_key``, ...) with the split that given quotas ``(stratum, n, q_0, ...)`` deal to it:
+    of a stratum's rows, by hash, the first q_0 get the first name, and so on."""
+    keys = keyed.select("stratum", F.struct("_cf_h", *row_key).alias("_cf_key"), F.substring("_cf_h", 1, HEX_DIGITS).alias("_cf_b")).checkpoint()
+    hist = keys.groupBy("stratum", "_cf_b").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    mapping = hist.select("stratum", F.col("stratum").alias("_cf_eff")).distinct().checkpoint()
+    return _by_cuts(keyed, _cut_keys(keys, hist, mapping, quotas, len(names)), row_key, names, split_col)
 
 
 def _effective_strata(counts: DataFrame, on_rare: str) -> DataFrame:
@@ -212,6 +231,14 @@ def assign_batches(df: DataFrame, size: int = 16, order: str = "row_idx", tiebre
             .withColumnRenamed("_cf_pos", "position"))
 
 
+def permuted_batches(df: DataFrame, n: int, size: int = 16, pos_col: str = "position", seed: int = 42, epoch: int = 0) -> DataFrame:
+    """X8 without moving a row: ``df`` with ``epoch``, ``position`` and ``batch_id`` of a shuffled epoch, from positions
+    0 .. ``n`` - 1 numbered once in ``pos_col``. Every epoch is another permutation, and a projection of the same table."""
+    place = permuted(F.col(pos_col), n, seed, epoch)
+    return (df.withColumn("position", place).withColumn("epoch", F.lit(epoch))
+            .withColumn("batch_id", F.floor(F.col("position") / F.lit(size)).cast("long")))
+
+
 def split_report(df: DataFrame, split_col: str = "split") -> DataFrame:
     """Rows and share per split."""
     g = df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"))

@@ -194,3 +194,58 @@ def q_eval_batches(spark, sf):
     from corpusflow.plans.fixtures import table
     lab = table(spark, sf, "labels").select("doc_id")
     return X.assign_batches(lab, 16, order="doc_id")
+
+
+# How many texts a sequential split without de-duplication lets cross, and a split over whole components of copies
+_SEQ_SQL = f"""
+seq AS (SELECT text, CASE WHEN pos < (count(*) OVER ()) * 4 // 5 THEN 'train' ELSE 'val' END AS split
+        FROM (SELECT text, row_number() OVER (ORDER BY {_h(42, *KEYS)}, dataset_rank, row_idx) - 1 AS pos FROM corpus)),
+seqc AS (SELECT split, {_sql_clean_b('text')} AS ctext, text FROM seq)"""
+
+
+def _leak_sql(key: int, col: str) -> str:
+    return f"""SELECT {key} AS "key", count(*) FILTER (WHERE a <> b) AS n_values, coalesce(sum(n) FILTER (WHERE a <> b), 0)::BIGINT AS n_rows
+FROM (SELECT {col}, min(split) AS a, max(split) AS b, count(*) AS n FROM seqc WHERE {col} IS NOT NULL GROUP BY {col})"""
+
+
+@query("split_leakage", with_ctes(CORPUS_SQL, _SEQ_SQL) + _leak_sql(0, "text") + "\nUNION ALL\n" + _leak_sql(1, "ctext"))
+def q_split_leakage(spark, sf):
+    """Texts, as they are and cleaned, that the two-language flow's split has on both sides."""
+    from corpusflow.functions.text import clean_text_b
+    from corpusflow.operators.grouped_split import cross_split_copies
+    rows = corpus(spark, sf)
+    split = X.sequential_split(X.shuffle_rows(rows.select(*KEYS), seed=42), 0.8, counted=rows.select(*KEYS))
+    return cross_split_copies(rows.join(split, KEYS), ["text", clean_text_b("text")])
+
+
+@query("leakage_safe_split")
+def q_leakage_safe_split(spark, sf):
+    """70/10/20 by label over whole components of rows that share a text under either cleaner."""
+    from corpusflow.functions.text import clean_text_a, clean_text_b
+    from corpusflow.operators.grouped_split import grouped_split
+    out = grouped_split(corpus(spark, sf), ["label"], [("train", 0.7), ("val", 0.1), ("test", 0.2)],
+                        [clean_text_a("text"), clean_text_b("text")], KEYS)
+    return out.select(*KEYS, "label", "split", "component_size")
+
+
+_ROUNDS_SQL = f"""
+n AS (SELECT count(*) AS n, greatest(8, 3 * length(bin(greatest(1, count(*) - 1)))) AS rounds FROM labels),
+keys AS (SELECT r, md5('42:1:' || r) AS h FROM (SELECT unnest(range((SELECT rounds FROM n))) AS r)),
+k AS (SELECT r, ('0x' || substr(h, 1, 15))::BIGINT % (SELECT n FROM n) AS k, ('0x' || substr(h, 16, 7))::BIGINT % {2**31 - 2} + 1 AS a,
+             ('0x' || substr(h, 20, 7))::BIGINT % {2**31 - 2} + 1 AS b, ('0x' || substr(h, 26, 7))::BIGINT % {2**31 - 2} + 1 AS c FROM keys),
+p AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, 0 AS r FROM labels
+  UNION ALL
+  SELECT doc_id, CASE WHEN (((m * m) % {2**31 - 1}) // 32768) % 2 = 1 THEN y ELSE x END, r + 1 FROM (
+    SELECT doc_id, x, y, r, ((greatest(x, y) % {2**31 - 1}) * a + ((greatest(x, y) // {2**31 - 1}) % {2**31 - 1}) * b + c) % {2**31 - 1} AS m FROM (
+      SELECT p.doc_id, p.x, p.r, (k.k - p.x + n.n) % n.n AS y, k.a, k.b, k.c FROM p JOIN k ON p.r = k.r, n)))"""
+
+
+@query("permuted_batches", "WITH RECURSIVE " + _ROUNDS_SQL.strip() + """
+SELECT doc_id, 1 AS epoch, x AS position, x // 16 AS batch_id FROM p WHERE r = (SELECT rounds FROM n)""")
+def q_permuted_batches(spark, sf):
+    """Positions are numbered once; an epoch's order is a projection of them."""
+    from corpusflow.plans.fixtures import table
+    lab = table(spark, sf, "labels").select("doc_id")
+    base = X.assign_batches(lab, 16, order="doc_id").select("doc_id", "position")
+    return X.permuted_batches(base, lab.count(), 16, seed=42, epoch=1).select("doc_id", "epoch", "position", "batch_id")
