@@ -50,6 +50,17 @@ SELECT host, seq, ts, mem_percent, cpu_percent, disk_percent, swap_percent, proc
 FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS rk FROM tseries) WHERE rk = 1""")
 def q_stream_status(spark, sf):
     stream = RS.read_telemetry_stream(spark, _source(spark, sf))
-    out = _run(spark, RS.stream_status(stream), "status", mode="complete")
+    out = _run(spark, RS.stream_status(stream), "status", mode="update")
     return out.select(F.col("host").cast("long").alias("host"), "seq", "ts", "mem_percent", "cpu_percent",
                       "disk_percent", "swap_percent", "process_status", "n_alerts")
+
+
+@query("stream_jsonl", _T + "SELECT seq, host, mem_percent, CAST(boot_time AS DOUBLE) AS boot_time FROM tseries")
+def q_stream_jsonl(spark, sf):
+    """K3, RS4: the entries a stream appends as JSON lines, read back by the file reader."""
+    from corpusflow.operators.telemetry import flatten
+    from corpusflow.sources.files import read_telemetry
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 3).load(_source(spark, sf))
+    sink = scratch_path(spark, "jsonl-sink")
+    RS.run_to_jsonl(lines.select("value"), sink, scratch_path(spark, "jsonl-ckpt"))
+    return flatten(read_telemetry(spark, sink)).select("seq", F.col("host").cast("long").alias("host"), "mem_percent", "boot_time")

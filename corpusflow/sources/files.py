@@ -6,11 +6,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import PANDAS_NA
+from corpusflow.session import scratch_path
 from corpusflow.sources.csv_split import csv_records, files_of
 
 CANONICAL_SCHEMA = T.StructType([
@@ -127,61 +128,88 @@ def _resolve(v, df):
     return v if isinstance(v, Column) else F.lit(v)
 
 
-def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "skip"):
+def _canonical(spark: SparkSession, spec: SourceSpec, rank: int) -> DataFrame:
+    """The source's rows in canonical columns, with ``_cf_bad``: a label that is there but no integer."""
+    raw = spec.reader(spark)
+    missing = [c for c in spec.required_cols if c not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    df = raw.select(
+        _resolve(spec.text, raw).cast("string").alias("text"),
+        _resolve(spec.label, raw).cast("string").alias("_cf_label_raw"),
+        _resolve(spec.domain, raw).cast("string").alias("domain"),
+        _resolve(spec.language, raw).cast("string").alias("language"),
+        (F.col("row_idx") if "row_idx" in raw.columns else F.monotonically_increasing_id()).cast("long").alias("row_idx"))
+    # "1.0" is a label like "1": read as a number, then truncated
+    df = df.withColumn("label", F.col("_cf_label_raw").try_cast("double").try_cast("int"))
+    return (df.withColumn("_cf_bad", F.col("_cf_label_raw").isNotNull() & F.col("label").isNull())
+            .withColumn("dataset", F.lit(spec.name)).withColumn("dataset_rank", F.lit(rank)).select(*CANONICAL_SCHEMA.fieldNames(), "_cf_bad"))
+
+
+def _write_observed(parts: dict[int, DataFrame], path: str) -> dict[int, tuple[int, int]]:
+    """Write the sources by rank in one job -> {rank: (complete rows, bad labels)}, measured as the rows pass."""
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("text", "label", "domain", "language")])
+    seen, metrics = Observation(), []
+    for k in parts:
+        metrics += [F.count_if((F.col("dataset_rank") == k) & full).alias(f"n_{k}"), F.count_if((F.col("dataset_rank") == k) & F.col("_cf_bad")).alias(f"bad_{k}")]
+    rows = reduce(lambda a, b: a.unionByName(b), parts.values()).observe(seen, *metrics)
+    rows.where(full).drop("_cf_bad").withColumn("_cf_part", F.col("dataset_rank")).write.partitionBy("_cf_part").mode("overwrite").parquet(path)
+    got = seen.get
+    return {k: (int(got[f"n_{k}"]), int(got[f"bad_{k}"])) for k in parts}
+
+
+def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "skip", path: str | None = None):
     """Read every source in isolation -> (union, report).
 
-    Spark is lazy, so a failing source is detected by forcing a schema check and one
-    aggregate per source (bad label casts, missing columns, rows that can be read). The report
-    counts the rows that are loaded. A failing source is
-    reported and skipped; an optional absent source yields nothing with status
-    ``missing``; no usable source at all raises."""
-    good, report = [], []
+    All sources are read once, by one job that writes the canonical rows to ``path`` (a fresh folder under the
+    checkpoint folder by default), a part per source; rows and labels that do not cast are counted as they
+    pass, so the report costs no read of its own. What comes back reads the parts of the good sources. Only if
+    that job fails are the sources written one by one, to find the one that broke it.
+
+    The report counts the rows that are loaded. A failing source is reported and skipped; an optional absent source yields
+    nothing with status ``missing``; a group with one failed member fails as a whole; no usable source at all raises."""
+    base = path or scratch_path(spark, "corpus")
+    parts, stats, where, report = {}, {}, {}, {}
+
+    def fail(rank, e):
+        spec = specs[rank]
+        if spec.optional and isinstance(e, AnalysisException) and "PATH_NOT_FOUND" in str(e):
+            report[rank] = (spec.name, rank, "missing", 0, None)
+        elif on_error != "skip":
+            raise e
+        else:
+            report[rank] = (spec.name, rank, "failed", 0, (str(e).splitlines() or [type(e).__name__])[0][:200])
+
     for rank, spec in enumerate(specs):
         try:
-            raw = spec.reader(spark)
-            missing = [c for c in spec.required_cols if c not in raw.columns]
-            if missing:
-                raise ValueError(f"missing columns {missing}")
-            df = raw.select(
-                _resolve(spec.text, raw).cast("string").alias("text"),
-                _resolve(spec.label, raw).alias("_cf_label_raw"),
-                _resolve(spec.domain, raw).cast("string").alias("domain"),
-                _resolve(spec.language, raw).cast("string").alias("language"),
-                (F.col("row_idx") if "row_idx" in raw.columns else F.monotonically_increasing_id()).alias("row_idx"),
-            )
-            # "1.0" is a label like "1": read as a number, then truncated
-            df = df.withColumn("label", F.col("_cf_label_raw").cast("string").try_cast("double").try_cast("int"))
-            full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("text", "label", "domain", "language")])
-            stats = df.agg(F.count_if(full).alias("n"),
-                           F.count_if(F.col("_cf_label_raw").isNotNull() & F.col("label").isNull()).alias("bad")).first()
-            if spec.strict_label and stats["bad"]:
-                raise ValueError(f"{stats['bad']} labels do not cast to int")
-            df = (df.drop("_cf_label_raw").withColumn("dataset", F.lit(spec.name))
-                  .withColumn("dataset_rank", F.lit(rank)).select(*CANONICAL_SCHEMA.fieldNames()))
-            good.append(df.na.drop(subset=["text", "label", "domain", "language"]))
-            report.append((spec.name, rank, "ok", int(stats["n"]), None))
+            parts[rank] = _canonical(spark, spec, rank)
         except Exception as e:  # noqa: BLE001 - whatever breaks one source, the others load
-            is_missing = isinstance(e, AnalysisException) and "PATH_NOT_FOUND" in str(e)
-            if spec.optional and is_missing:
-                report.append((spec.name, rank, "missing", 0, None))
-                continue
-            if on_error != "skip":
-                raise
-            report.append((spec.name, rank, "failed", 0, str(e).splitlines()[0][:200]))
-    # a group (e.g. a train/test pair) with one failed member is dropped as a whole
-    failed_groups = {specs[r[1]].group for r in report if r[2] == "failed" and specs[r[1]].group}
-    if failed_groups:
-        keep = []
-        for df, (name, rank, status, n, err) in zip(good, [r for r in report if r[2] == "ok"]):
-            if specs[rank].group in failed_groups:
-                report[[r[1] for r in report].index(rank)] = (name, rank, "failed", 0, "group member failed")
-            else:
-                keep.append(df)
-        good = keep
+            fail(rank, e)
+    if parts:
+        try:
+            stats, where = _write_observed(parts, f"{base}/all"), {rank: f"{base}/all/_cf_part={rank}" for rank in parts}
+        except Exception:  # noqa: BLE001 - one of them is broken: find it
+            for rank, df in parts.items():
+                try:
+                    stats |= _write_observed({rank: df}, f"{base}/{rank}")
+                    where[rank] = f"{base}/{rank}/_cf_part={rank}"
+                except Exception as e:  # noqa: BLE001
+                    fail(rank, e)
+    for rank, (n, bad) in stats.items():
+        if specs[rank].strict_label and bad:
+            fail(rank, ValueError(f"{bad} labels do not cast to int"))
+        else:
+            report[rank] = (specs[rank].name, rank, "ok", n, None)
+    failed_groups = {specs[r].group for r, x in report.items() if x[2] == "failed" and specs[r].group}
+    for rank, x in report.items():
+        if x[2] == "ok" and specs[rank].group in failed_groups:
+            report[rank] = (x[0], rank, "failed", 0, "group member failed")
+    good = [r for r in sorted(report) if report[r][2] == "ok"]
     if not good:
         raise ValueError("no source could be loaded")
-    rep = spark.createDataFrame(report, "dataset string, dataset_rank int, status string, n_rows long, error string")
-    return reduce(lambda a, b: a.unionByName(b), good), rep
+    rep = spark.createDataFrame([report[r] for r in sorted(report)], "dataset string, dataset_rank int, status string, n_rows long, error string")
+    read = [where[r] for r in good if report[r][3]]              # a source without rows has no part
+    return spark.read.schema(CANONICAL_SCHEMA).parquet(*read) if read else empty_canonical(spark), rep
 
 
 def empty_canonical(spark: SparkSession) -> DataFrame:
@@ -293,9 +321,9 @@ def _entry(value_col: str) -> Column:
 
 def parse_telemetry_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Parse JSON lines strictly; malformed and blank lines are dropped (see
-    :func:`count_malformed`)."""
+    :func:`count_malformed`). An object without a timestamp is an entry whose time is unknown."""
     parsed = lines.select("*", _entry(value_col).alias("_e"), F.trim(F.col(value_col)).alias("_t"))
-    ok = parsed.where((F.length("_t") > 0) & F.col("_e").isNotNull() & F.col("_e.timestamp").isNotNull())
+    ok = parsed.where((F.length("_t") > 0) & F.col("_e").isNotNull())
     return ok.select("*", "_e.*").drop("_e", "_t", value_col)
 
 
@@ -329,7 +357,7 @@ def count_malformed(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     p = lines.select(F.trim("value").alias("t"),
                      _entry("value").alias("e"))
-    return p.agg(F.count_if((F.length("t") > 0) & (F.col("e").isNull() | F.col("e.timestamp").isNull())).alias("malformed"),
+    return p.agg(F.count_if((F.length("t") > 0) & F.col("e").isNull()).alias("malformed"),
                  F.count_if(F.length("t") == 0).alias("blank"))
 
 

@@ -2,7 +2,7 @@
 
 Entries arrive as JSON-lines files from many hosts. Alerts are stateless (append);
 restart detection keeps an ordered map of each host's boot time records
-(``transformWithState``) and corrects itself when samples come late; the status table keeps the latest sample per host (complete mode, one row per host).
+(``transformWithState``) and corrects itself when samples come late; the status table keeps the latest sample per host (update mode).
 Sources, sinks and checkpoints live under the shared checkpoint folder.
 """
 
@@ -153,7 +153,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def stream_status(df: DataFrame) -> DataFrame:
-    """RS5: latest sample per host (aggregate; run in complete/update mode)."""
+    """RS5: latest sample per host (aggregate; run in update mode: a micro-batch gives the hosts it changed)."""
     cols = ["seq", "ts", "mem_percent", "cpu_percent", "disk_percent", "swap_percent", "process_status"]
     latest = F.max_by(F.struct(*[F.col(c) for c in cols], F.size(alert_messages()).alias("n_alerts")), F.col("seq"))
     return df.groupBy("host").agg(latest.alias("s")).select("host", "s.*")
@@ -175,33 +175,63 @@ def _for_start(spark: SparkSession, conf: dict):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _run(w, conf: dict, spark: SparkSession) -> None:
+    with _for_start(spark, conf):
+        q = w.start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+
+
 def run_to_parquet(df: DataFrame, sink: str, checkpoint: str, mode: str = "append", state_partitions: int | None = None) -> None:
-    """RS4/K3: run a stream with ``availableNow`` into a parquet folder (append). A complete-mode
-    table is written to a folder of its own per micro-batch (``batch=N``), so that readers of the
-    last one never see a folder in the making; see :func:`read_latest`. State lies in RocksDB, dealt to
+    """RS4/K3: run a stream with ``availableNow`` into a parquet folder (append). In update mode a micro-batch
+    writes the rows it changed to a folder of its own (``batch=N``), so its cost is that of its changes, and readers never
+    see a folder in the making; see :func:`read_latest`. State lies in RocksDB, dealt to
     ``state_partitions`` (fixed by the first run of a checkpoint; by default as many as shuffles have)."""
     spark = df.sparkSession
     conf = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
     if state_partitions:
         conf["spark.sql.shuffle.partitions"] = str(state_partitions)
+    w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+    if mode == "append":
+        w = w.format("parquet").option("path", sink)
+    else:
+        w = w.foreachBatch(lambda batch, i: _commit(batch, sink, i, lambda b, to: b.write.parquet(to)))
+    _run(w, conf, spark)
+
+
+def run_to_jsonl(df: DataFrame, sink: str, checkpoint: str) -> None:
+    """K3/RS4: append a stream's rows as JSON lines (a single string column: as it is), one folder per micro-batch.
+
+    A micro-batch is written aside and then moved to ``batch=N``; one that runs again after a failure replaces its own
+    folder, so for any reader of the folders a restarted stream neither loses nor repeats a line."""
+    def write(batch, to):
+        plain = len(batch.dtypes) == 1 and batch.dtypes[0][1] == "string"
+        (batch.write.text if plain else batch.write.json)(to)
+
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    with _for_start(spark, conf):
-        if mode == "append":
-            q = w.format("parquet").outputMode("append").start(sink)
-        else:
-            q = (w.outputMode(mode)
-                 .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{sink}/batch={i}")).start())
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    _run(w.foreachBatch(lambda batch, i: _commit(batch, sink, i, write)), {}, df.sparkSession)
+
+
+def _commit(batch: DataFrame, sink: str, i: int, write) -> None:
+    """Write a micro-batch to a hidden folder, then put it in place of what an earlier try left."""
+    sc = batch.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    aside, place = path(f"{sink}/_batch={i}"), path(f"{sink}/batch={i}")
+    fs = aside.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.delete(aside, True)
+    write(batch, f"{sink}/_batch={i}")
+    fs.delete(place, True)
+    if not fs.rename(aside, place):
+        raise OSError(f"cannot move {aside.toString()} to {place.toString()}")
 
 
-def read_latest(spark: SparkSession, sink: str) -> DataFrame:
-    """The table as of the last micro-batch that :func:`run_to_parquet` finished in complete mode."""
+def read_latest(spark: SparkSession, sink: str, key: str = "host") -> DataFrame:
+    """The table as of the last micro-batch that :func:`run_to_parquet` finished in update mode: the last row of each ``key``."""
     df = spark.read.parquet(sink)
-    last = df.agg(F.max("batch").alias("_cf_b"))                   # one row
-    return df.join(F.broadcast(last), df["batch"] == last["_cf_b"]).drop("batch", "_cf_b")
+    rest = [c for c in df.columns if c not in (key, "batch")]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
-__all__ = ["read_telemetry_stream", "stream_alerts", "stream_restarts", "settled", "stream_status", "run_to_parquet", "read_latest",
+__all__ = ["read_telemetry_stream", "stream_alerts", "stream_restarts", "settled", "stream_status", "run_to_parquet", "run_to_jsonl", "read_latest",
            "TELEMETRY_SCHEMA"]

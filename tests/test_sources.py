@@ -197,3 +197,46 @@ def test_catalogue_of_sources(spark, tmp_dir):
     assert ("h b", 0, "unknown", "en") in rows and ("h2 nan", 1, "bbc", "en") in rows
     assert ("ka shared", 0, "kannada", "kn") in rows and ("ka shared", 1, "kannada", "kn") in rows
     assert ("a b", 0, "labeled_authentic", "en") in rows and ("c d", 1, "labeled_fake", "en") in rows
+
+
+def _counted(spark, rows, seen):
+    """A source that counts how often its rows are read."""
+    def read(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    return lambda s: s.createDataFrame(rows, "text string, label string").mapInPandas(read, "text string, label string")
+
+
+def _spec(name, reader, **more):
+    return S.SourceSpec(name, reader, text=F.col("text"), label=F.col("label"), domain=name, language="en", **more)
+
+
+def test_sources_are_read_once(spark):
+    seen = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    specs = [_spec("one", _counted(spark, [("a", "1"), ("b", "0"), (None, "1"), ("c", None)], seen[0])),
+             _spec("two", _counted(spark, [("d", "1.0"), ("e", "x")], seen[1])),
+             _spec("strict", _counted(spark, [("f", "1"), ("g", "x")], seen[2]), strict_label=True)]
+    df, rep = S.load_corpus(spark, specs)
+    assert {(r.dataset, r.status, r.n_rows) for r in rep.collect()} == {("one", "ok", 2), ("two", "ok", 1), ("strict", "failed", 0)}
+    assert sorted((r.dataset, r.dataset_rank, r.text, r.label) for r in df.collect()) == [("one", 0, "a", 1), ("one", 0, "b", 0), ("two", 1, "d", 1)]
+    assert df.count() == 3 and [a.value for a in seen] == [4, 2, 2]          # load, report and two actions
+    assert df.schema == S.CANONICAL_SCHEMA
+
+
+def test_source_that_breaks_while_it_is_read(spark, tmp_dir):
+    def broken(s):
+        def read(batches):
+            for _ in batches:
+                raise RuntimeError("disk on fire")
+            yield
+        return s.createDataFrame([("a", "1")], "text string, label string").mapInPandas(read, "text string, label string")
+
+    good = _spec("good", lambda s: s.createDataFrame([("a", "1")], "text string, label string"))
+    empty = _spec("empty", lambda s: s.createDataFrame([], "text string, label string"))
+    df, rep = S.load_corpus(spark, [good, _spec("broken", broken), empty])
+    got = {r.dataset: (r.status, r.n_rows) for r in rep.collect()}
+    assert got == {"good": ("ok", 1), "broken": ("failed", 0), "empty": ("ok", 0)} and df.count() == 1
+    with pytest.raises(Exception, match="Python worker"):
+        S.load_corpus(spark, [good, _spec("broken", broken)], on_error="raise")
+    assert S.load_corpus(spark, [empty])[0].count() == 0

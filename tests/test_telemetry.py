@@ -270,3 +270,62 @@ def test_silent_hosts_leave_bounded_state(spark, tmp_dir):
     RS.run_to_parquet(RS.stream_restarts(RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1), "1 day", 86_400_000), sink, ck, state_partitions=2)
     s = {r.seq: r.vm_restarted for r in RS.settled(spark.read.parquet(sink)).collect()}
     assert s == {0: False, 1: False, 2: False, 3: False}       # host a was forgotten: its new boot time is its first
+
+
+def test_entries_without_a_timestamp_are_kept(spark, tmp_dir):
+    x = json.loads(entry(0))
+    del x["timestamp"]
+    write_lines(tmp_dir, [entry(1), json.dumps(x), "1", "null", "{}", "{bad"])
+    rows = R.flatten(read_telemetry(spark, tmp_dir)).collect()
+    assert len(rows) == 3 and sum(r.ts is None for r in rows) == 2
+    m = count_malformed(spark, tmp_dir).first()
+    assert (m.malformed, m.blank) == (3, 0)
+
+
+def test_jsonl_sink_neither_loses_nor_repeats(spark, tmp_dir):
+    """The last micro-batch runs again, as after a crash between its write and its commit."""
+    from corpusflow.session import local_path, scratch_path
+    src, sink, ck = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "sink"), local_path(scratch_path(spark, "ck"))
+    os.makedirs(src)
+
+    def put(k):
+        p = os.path.join(src, f"p{k}.jsonl")
+        with open(p, "w") as f:
+            f.write("".join(f'{{"k": {10 * k + j}}}\n' for j in range(5)))
+        os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
+
+    def run():
+        lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
+        RS.run_to_jsonl(lines.select("value"), sink, ck)
+        return sorted(r.value for r in spark.read.text(sink).select("value").collect())
+
+    for k in range(3):
+        put(k)
+    first = run()
+    assert len(first) == 15 and len(set(first)) == 15
+    for name in os.listdir(os.path.join(ck, "commits")):
+        if name.strip(".").split(".")[0] == "2":
+            os.remove(os.path.join(ck, "commits", name))
+    with open(os.path.join(sink, "batch=2", "part-9.txt"), "w") as f:
+        f.write("left over by the crash\n")
+    put(3)
+    again = run()
+    assert len(again) == 20 and len(set(again)) == 20 and set(first) < set(again)
+    js = os.path.join(tmp_dir, "js")
+    RS.run_to_jsonl(spark.readStream.format("text").load(src).selectExpr("value", "length(value) AS n"), js, scratch_path(spark, "ck"))
+    assert spark.read.json(js).count() == 20 and "n" in spark.read.json(js).columns
+
+
+def test_status_writes_changes_only(spark, tmp_dir):
+    from corpusflow.session import scratch_path
+    os.makedirs(tmp_dir, exist_ok=True)
+    for k, hosts in enumerate(("ab", "a", "c")):
+        p = os.path.join(tmp_dir, f"p{k}.jsonl")
+        with open(p, "w") as f:
+            for h in hosts:
+                f.write(json.dumps(dict(json.loads(entry(k, mem=50.0 + k)), host=h, seq=k)) + "\n")
+        os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
+    sink = scratch_path(spark, "sink")
+    RS.run_to_parquet(RS.stream_status(RS.read_telemetry_stream(spark, tmp_dir, max_files_per_trigger=1)), sink, scratch_path(spark, "ck"), "update")
+    assert {r.batch: r["count"] for r in spark.read.parquet(sink).groupBy("batch").count().collect()} == {0: 2, 1: 1, 2: 1}
+    assert {r.host: (r.seq, r.mem_percent) for r in RS.read_latest(spark, sink).collect()} == {"a": (1, 51.0), "b": (0, 50.0), "c": (2, 52.0)}
