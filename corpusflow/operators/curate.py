@@ -48,13 +48,16 @@ def dedupe_first(df: DataFrame, key: str = "text", order=ORDER_KEYS,
     inside one partition never cross the network and a hot text costs one row per
     partition, not one task holding all copies.
 
-    ``narrow=True`` (very long texts): aggregate only ``(hash, order keys)`` and keep the
-    winners with a semi join on the (unique) order keys - whole rows are shuffled and
-    sorted once instead of twice, at the price of reading the input twice (persist it)."""
+    ``narrow=True`` (order keys unique, as those of ``load_corpus`` are): aggregate only ``(hash, order keys)``
+    and keep the winners with a semi join on the order keys. Integer order keys are packed into one number, so the aggregate
+    is a hash aggregate and rows are neither sorted nor carried through it: they are shuffled once. The input is
+    evaluated twice; rows that share an order key and a text would both stay."""
     if narrow:
-        keys = df.select(F.unhex(F.sha2(F.col(key), 256)).alias("_cf_key"), *order)
-        winners = keys.groupBy("_cf_key").agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_cf_w"))
-        return df.join(winners.select("_cf_w.*"), on=list(order), how="left_semi")
+        whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in order)
+        place = _packed(order) if whole and len(order) <= 2 else F.struct(*[F.col(c) for c in order])
+        keys = df.select(F.unhex(F.sha2(F.col(key), 256)).alias("_cf_key"), place.alias("_cf_at"))
+        winners = keys.groupBy("_cf_key").agg(F.min("_cf_at").alias("_cf_at")).select("_cf_at").hint("shuffle_hash")
+        return df.withColumn("_cf_at", place).join(winners, "_cf_at", "left_semi").drop("_cf_at")
     cols = df.columns
     k = "_cf_key"
     keyed = df.withColumn(k, F.unhex(F.sha2(F.col(key), 256)))
@@ -63,6 +66,13 @@ def dedupe_first(df: DataFrame, key: str = "text", order=ORDER_KEYS,
     return best.select("_cf_row.*")
 
 
+def _packed(order):
+    """One or two integer columns as one number in the same order; nulls come last."""
+    top = F.lit(str(1 << 63)).cast("decimal(38,0)")
+    parts = [F.coalesce(F.col(c).cast("decimal(38,0)"), top) for c in order]
+    return (parts[0] if len(parts) == 1 else parts[0] * F.lit(str(1 << 64)).cast("decimal(20,0)") + parts[1]).cast("decimal(38,0)")
+
+
 def distribution(df: DataFrame, cols=("label", "language", "dataset")) -> DataFrame:
     """A1: value counts of several columns in one pass -> (column, value, n)."""
     cols = list(cols)

@@ -1,34 +1,42 @@
 """Classification metrics as aggregations.
 
 All metrics start from the confusion counts ``groupBy(label, pred).count()`` (one partial
-aggregate, at most classes^2 rows), so they cost one pass over the scored rows.
+aggregate, at most classes^2 rows), so they cost one pass over the scored rows. Rows with a null
+label or prediction are no part of any metric; :func:`unscored` counts them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.operators.positions import running_agg
+from corpusflow.operators.positions import value_bucket
+from corpusflow.session import ensure_checkpoint_dir
+
+
+def unscored(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    """(n, no_label, no_pred): all rows, and those that metrics leave out for want of a label or a prediction."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label).isNull()).alias("no_label"), F.count_if(F.col(pred).isNull()).alias("no_pred"))
 
 
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(label).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def per_class(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """tp/fp/fn/support per class over labels ∪ predictions."""
-    cc = confusion_counts(df, label, pred)
-    t = cc.select(F.col("label").alias("cls"), F.lit(1).alias("is_true"), F.lit(0).alias("is_pred"), "n",
-                  (F.col("label") == F.col("pred")).alias("hit"))
-    p = cc.select(F.col("pred").alias("cls"), F.lit(0).alias("is_true"), F.lit(1).alias("is_pred"), "n",
-                  (F.col("label") == F.col("pred")).alias("hit"))
-    u = t.unionByName(p)
-    return u.groupBy("cls").agg(
-        F.sum(F.when(F.col("hit") & (F.col("is_true") == 1), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(~F.col("hit") & (F.col("is_pred") == 1), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~F.col("hit") & (F.col("is_true") == 1), F.col("n")).otherwise(0)).alias("fn"),
-        F.sum(F.when(F.col("is_true") == 1, F.col("n")).otherwise(0)).alias("support"))
+    return _per_class(confusion_counts(df, label, pred))
+
+
+def _per_class(cc: DataFrame) -> DataFrame:
+    """From (label, pred, n): each cell counts for the class of its label and for that of its prediction; one scan of the cells."""
+    side = F.explode(F.array(F.struct(F.col("label").alias("cls"), F.lit(True).alias("is_true")), F.struct(F.col("pred").alias("cls"), F.lit(False).alias("is_true"))))
+    u = cc.select(side.alias("s"), "n", (F.col("label") == F.col("pred")).alias("hit")).select("s.*", "n", "hit")
+
+    def total(cond):
+        return F.sum(F.when(cond, F.col("n")).otherwise(0))
+    true, hit = F.col("is_true"), F.col("hit")
+    return u.groupBy("cls").agg(total(true & hit).alias("tp"), total(~true & ~hit).alias("fp"), total(true & ~hit).alias("fn"), total(true).alias("support"))
 
 
 def _prf_cols():
@@ -40,7 +48,10 @@ def _prf_cols():
 
 def prf(df: DataFrame, average: str = "macro", label: str = "label", pred: str = "pred") -> DataFrame:
     """Accuracy and macro or weighted precision / recall / F1 (zero division -> 0)."""
-    pc = per_class(df, label, pred)
+    return _prf(per_class(df, label, pred), average)
+
+
+def _prf(pc: DataFrame, average: str) -> DataFrame:
     prec, rec, f1 = _prf_cols()
     pc = pc.select("*", prec.alias("p"), rec.alias("r"), f1.alias("f"))
     if average == "weighted":
@@ -52,6 +63,12 @@ def prf(df: DataFrame, average: str = "macro", label: str = "label", pred: str =
     return pc.agg(*aggs)
 
 
+def _auc_of_cells(cells: list) -> Column:
+    tp, fn, tn, fp = cells
+    pos, neg = tp + fn, tn + fp
+    return F.when((pos == 0) | (neg == 0), F.lit(0.0)).otherwise((tp / pos + tn / neg) / 2)
+
+
 def auc_hard(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """ROC AUC of hard 0/1 predictions = (TPR + TNR) / 2; one class only -> 0.0."""
     cc = df.agg(
@@ -59,19 +76,23 @@ def auc_hard(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFra
         F.count_if((F.col(label) == 1) & (F.col(pred) != 1)).alias("fn"),
         F.count_if((F.col(label) != 1) & (F.col(pred) != 1)).alias("tn"),
         F.count_if((F.col(label) != 1) & (F.col(pred) == 1)).alias("fp"))
-    pos, neg = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
-    return cc.select(F.when((pos == 0) | (neg == 0), F.lit(0.0))
-                     .otherwise((F.col("tp") / pos + F.col("tn") / neg) / 2).alias("auc"))
+    return cc.select(_auc_of_cells([F.col(c) for c in ("tp", "fn", "tn", "fp")]).alias("auc"))
 
 
 def auc_score(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """E5: exact ROC AUC on scores (ties count one half), via counts per distinct score
-    and a bucketed running sum of negatives below each score (no single-task sort)."""
-    per = df.groupBy(F.col(score).alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    run = running_agg(per, "neg", "neg_below", [], "s", how="sum", exclusive=True)
-    tot = run.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                  F.sum(F.col("pos").cast("double") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("U"))
+    """E5: exact ROC AUC on scores (ties count one half): counts per distinct score, written once, then the negatives
+    below each score - ranges of scores from their quantiles, a running sum inside each (no single-task sort) and the
+    totals of the ranges before. Rows without a score or a label take no part."""
+    ensure_checkpoint_dir(df.sparkSession)
+    per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")).checkpoint()
+    run = value_bucket(per, "s", 1024, "b").checkpoint()
+    below = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = run.groupBy("b").agg(F.sum("neg").alias("n")).select("b", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))   # 1,025 rows at most
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tot = (run.withColumn("inside", inside).join(F.broadcast(before), "b")
+           .agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"),
+                F.sum(F.col("pos").cast("double") * (F.col("before") + F.col("inside") + 0.5 * F.col("neg"))).alias("U")))
     return tot.select(F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(0.0))
                       .otherwise(F.col("U") / F.col("P").cast("double") / F.col("N").cast("double")).alias("auc"))
 
@@ -87,11 +108,16 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred", classes=(
 def evaluate_table(df: DataFrame, loss: str = "ce", batch: str = "batch_id", label: str = "label",
                    pred: str = "pred") -> DataFrame:
     """One metric record: loss (L2), accuracy, macro P/R/F1, hard AUC."""
-    from corpusflow.operators.robust import epoch_loss
-    m = prf(df, "macro", label, pred)
-    a = auc_hard(df, label, pred)
-    lo = epoch_loss(df, loss, batch).select(F.col("epoch_loss").alias("loss"))
-    return lo.crossJoin(m).crossJoin(a).select("loss", "accuracy", "precision", "recall", "f1", "auc")
+    parts = (df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred"), F.col(batch).alias("batch"))
+             .agg(F.sum(loss).alias("s"), F.count(loss).alias("m"), F.count(F.lit(1)).alias("n")).checkpoint())   # the one pass over the rows
+    per_batch = parts.groupBy("batch").agg((F.sum("s") / F.sum("m")).alias("l"))
+    cells = parts.where("label is not null and pred is not null").groupBy("label", "pred").agg(F.sum("n").alias("n"))
+
+    def cell(cond):
+        return F.coalesce(F.sum(F.when(F.expr(cond), F.col("n"))), F.lit(0))
+    auc = cells.agg(_auc_of_cells([cell("label = 1 and pred = 1"), cell("label = 1 and pred <> 1"), cell("label <> 1 and pred <> 1"), cell("label <> 1 and pred = 1")]).alias("auc"))
+    m = _prf(_per_class(cells), "macro")
+    return per_batch.agg(F.avg("l").alias("loss")).crossJoin(m).crossJoin(auc).select("loss", "accuracy", "precision", "recall", "f1", "auc")
 
 
 def target_met(metrics: DataFrame, accuracy: float = 0.93, f1: float | None = 0.93) -> DataFrame:

@@ -150,10 +150,13 @@ def running_agg(df: DataFrame, value_col: str, out: str, group_cols: list[str],
 
     ``exclusive`` -> over the rows strictly before the current one. Same bucket scheme as
     the positions: windows per ``(group, bucket)`` plus a prefix over bucket totals, so a
-    group holding a third of the rows is still split over ``buckets`` tasks."""
+    group holding a third of the rows is still split over ``buckets`` tasks.
+
+    ``df`` is evaluated twice: for the bounds of the buckets (its order column alone), and for the rows. The totals
+    of the buckets are those of the rows inside their windows, so they share the rows' shuffle."""
     group_cols = list(group_cols)
     b = "_cf_bucket"
-    keyed = value_bucket(df, order_col, buckets, b)
+    keyed = value_bucket(df, order_col, buckets, b).repartition(*group_cols, b)     # rows, windows and totals lie by (group, bucket)
     agg = F.max if how == "max" else F.sum
     first_key = F.struct(*[F.col(c) for c in [order_col, *tiebreak]])
     per_bucket = keyed.groupBy(*group_cols, b).agg(agg(value_col).alias("_cf_bv"),

@@ -42,30 +42,31 @@ def mixup_pairs(df: DataFrame, id_col: str, batch: str = "batch_id", seed: int =
     batch. Partner of row i = the row whose rank by a second hash equals i's rank by the
     first; batches are small, so the self-join is on ``(batch, rank)``.
 
-    ``lam`` fixed -> that value; else a per-batch Beta(alpha, alpha) draw (alpha <= 0 -> 1)
-    computed from the batch id by a seeded pandas UDF."""
+    ``lam`` fixed -> that value; else a per-batch Beta(alpha, alpha) draw (alpha <= 0 -> 1), see :func:`beta_draw`. Rows
+    with a null batch id are one batch."""
     a = df.withColumn("_cf_r1", F.row_number().over(
         Window.partitionBy(batch).orderBy(hash_key(seed, id_col), id_col)))
     b = df.select(F.col(batch).alias("_cf_b"), F.col(id_col).alias("partner_id"),
                   *[F.col(c).alias(f"{c}_b") for c in df.columns if c not in (batch, id_col)],
                   F.row_number().over(Window.partitionBy(batch).orderBy(hash_key(seed + 1, id_col), id_col))
                   .alias("_cf_r2"))
-    j = a.join(b, (a[batch] == b["_cf_b"]) & (a["_cf_r1"] == b["_cf_r2"])).drop("_cf_b", "_cf_r1", "_cf_r2")
+    j = a.join(b, a[batch].eqNullSafe(b["_cf_b"]) & (a["_cf_r1"] == b["_cf_r2"])).drop("_cf_b", "_cf_r1", "_cf_r2")
     if lam is not None:
         return j.withColumn("lam", F.lit(float(lam)))
     return j.withColumn("lam", beta_draw(F.col(batch), seed, alpha))
 
 
 def beta_draw(batch_col, seed: int, alpha: float):
-    """Seeded Beta(alpha, alpha) per batch id (vectorised; alpha <= 0 gives 1.0)."""
+    """Seeded Beta(alpha, alpha) per batch id of any kind, negative or null: its hash seeds the batch's own draw (one per batch and
+    Arrow batch; alpha <= 0 gives 1.0). A null batch id is a batch of its own."""
 
     @F.pandas_udf("double")
-    def _draw(b: pd.Series) -> pd.Series:
+    def _draw(h: pd.Series) -> pd.Series:
         if alpha <= 0:
-            return pd.Series(np.ones(len(b)))
-        lam = {x: np.random.default_rng([seed, int(x)]).beta(alpha, alpha) for x in b.unique()}   # once per batch
-        return b.map(lam)
-    return _draw(batch_col)
+            return pd.Series(np.ones(len(h)))
+        lam = {x: np.random.default_rng([seed, int(x) & (1 << 64) - 1]).beta(alpha, alpha) for x in h.unique()}
+        return h.map(lam)
+    return _draw(F.xxhash64(batch_col))
 
 
 def mixup_features(pairs: DataFrame, feat: str = "features", out: str = "mixed") -> DataFrame:

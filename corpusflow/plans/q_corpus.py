@@ -222,7 +222,7 @@ def deduped(spark, sf, cleaner="a", min_len=None, materialize=False):
     c = C.clean(corpus(spark, sf), cleaner)
     if min_len is not None:
         c = C.min_length(c, min_len)
-    d = C.dedupe_first(c)
+    d = C.dedupe_first(c, narrow=True)
     return d.checkpoint() if materialize else d
 
 

@@ -62,7 +62,7 @@ def q_csv_corpus(spark, sf):
         S.SourceSpec("absent", lambda s: S.read_csv_source(s, f"{base}/absent"), text=F.col("text"), label=0, optional=True),
     ]
     df, _ = S.load_corpus(spark, specs)
-    return C.dedupe_first(df).select("dataset", "dataset_rank", "label", "domain", "language", F.sha2("text", 256).alias("text_sha"))
+    return C.dedupe_first(df, narrow=True).select("dataset", "dataset_rank", "label", "domain", "language", F.sha2("text", 256).alias("text_sha"))
 
 
 @query("jsonl_telemetry", with_ctes(TELEMETRY_SQL, TSERIES_SQL) + """

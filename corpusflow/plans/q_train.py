@@ -37,7 +37,7 @@ def labelled_split(spark, sf, parts=(("train", 0.8), ("val", 0.2))):
     # the first source wins each duplicate, so the others need not be read
     first = C.min_length(C.clean(labelled_docs(spark, sf), "b"), 10)
     # read by every fit and score of a flow: written once to the shared folder, nothing stays cached
-    return stratified_split(C.dedupe_first(first), ["label"], list(parts), seed=42).checkpoint()
+    return stratified_split(C.dedupe_first(first, narrow=True).checkpoint(), ["label"], list(parts), seed=42).checkpoint()
 
 
 def _fit(spark, sf, cfg=CFG):
