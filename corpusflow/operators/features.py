@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import clean_text_a
+from corpusflow.session import ensure_checkpoint_dir
 
 PAD, UNK = 0, 1
 
@@ -31,6 +32,19 @@ def build_vocab(df: DataFrame, size: int, tokens_col: str = "tokens") -> DataFra
     return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("token"))) + 1).cast("int"))
 
 
+def vocab_coverage(df: DataFrame, sizes, tokens_col: str = "tokens") -> DataFrame:
+    """How much of the running text vocabularies of several ``sizes`` know: (size, n_types, n_tokens, n_covered). One word count,
+    written once; tokens past the largest size are only summed, and each size is a bounded top-k of the counts."""
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = df.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    total = counts.agg(F.count(F.lit(1)).alias("n_types"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))     # one row
+    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(max(sizes)).withColumn(
+        "id", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("token"))))
+    known = top.agg(*[F.coalesce(F.sum(F.when(F.col("id") <= k, F.col("n"))), F.lit(0)).alias(f"k{k}") for k in sizes])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.col(f"k{k}").alias("n_covered")) for k in sizes]))
+    return known.select(rows.alias("r")).select("r.*").crossJoin(F.broadcast(total)).select("size", "n_types", "n_tokens", "n_covered")
+
+
 def encode(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", out: str = "input_ids",
            max_length: int | None = 512, drop_tokens: bool = True) -> DataFrame:
     """Token ids (unknown -> 1), truncated to ``max_length``.

@@ -95,6 +95,19 @@ def train_group_dro(train: DataFrame, rounds: int = 3, eta: float = 0.01, cfg: T
     return PipelineModel([*stages, fitted]), weights, reduce(lambda a, b: a.unionByName(b), history)
 
 
+def train_mixup(df: DataFrame, id_col: str, features: str = "features_arr", label: str = "label", batch: str = "batch_id", alpha: float = 0.2,
+                seed: int = 42, max_iter: int = 30, reg_param: float = 0.01):
+    """M3: mixup pairs inside batches (L4), two weighted rows per pair - the blend with either label, weights lambda and
+    1 - lambda (L5) - and a multinomial classifier on them. ``features`` is an array of numbers. Returns the model."""
+    from pyspark.ml.functions import array_to_vector
+    from corpusflow.operators.robust import mixup_features, mixup_pairs
+    pairs = mixup_features(mixup_pairs(df, id_col, batch, seed, alpha=alpha), feat=features, out="_cf_mixed")
+    side = F.explode(F.array(F.struct(F.col(label).cast("double").alias("y"), F.col("lam").alias("w")),
+                             F.struct(F.col(f"{label}_b").cast("double").alias("y"), (1 - F.col("lam")).alias("w"))))
+    rows = pairs.select(array_to_vector("_cf_mixed").alias("features"), side.alias("s")).select("features", "s.*").where("w > 0")
+    return LogisticRegression(labelCol="y", weightCol="w", maxIter=max_iter, regParam=reg_param, family="multinomial").fit(rows)
+
+
 def train_rounds(train: DataFrame, val: DataFrame, iterations: list[int], cfg: TrainConfig | None = None,
                  patience: int | None = None, metric: str = "val_f1", label: str = "label"):
     """M1 with H1-H3: one fit per round with a growing number of L-BFGS iterations, validated after

@@ -75,3 +75,26 @@ def q_pad_batch(spark, sf):
     p = T.pad_batch(e)
     return p.select("doc_id", "batch_id", "padded_len",
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
+@query("pad_batch_ids", with_ctes(_TOK_SQL) + f"""
+, b AS (SELECT doc_id, ids[1:{BATCH_MAX_LEN}] AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM enc),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS w FROM b)
+SELECT doc_id, batch_id, array_to_string(list_concat(ids, list_transform(range(0, w - len(ids)), lambda x: 0)), ',') AS input_ids,
+       array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(0, w - len(ids)), lambda x: 0)), ',') AS mask FROM w""")
+def q_pad_batch_ids(spark, sf):
+    """T4: the padded ids and masks themselves."""
+    p = T.pad_batch(assign_batches(_encoded(spark, sf, BATCH_MAX_LEN), 16, order="doc_id"))
+    return p.select("doc_id", "batch_id", _ids_str("input_ids").alias("input_ids"), _ids_str("attention_mask").alias("mask"))
+
+
+COVERAGE = (100, 1000, 10000)
+
+
+@query("vocab_coverage", with_ctes(_TOK_SQL) + """
+, c AS (SELECT n, row_number() OVER (ORDER BY n DESC, token) AS r FROM (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM toks) GROUP BY token))
+SELECT size, (SELECT count(*) FROM c) AS n_types, (SELECT sum(n) FROM c)::BIGINT AS n_tokens, (SELECT sum(n) FROM c WHERE r <= size)::BIGINT AS n_covered
+FROM (SELECT unnest([100, 1000, 10000])::INTEGER AS size)""")
+def q_vocab_coverage(spark, sf):
+    """The share of running words that vocabularies of several sizes know."""
+    return T.vocab_coverage(table(spark, sf, "documents").select(T.tokens("text").alias("tokens")), COVERAGE)

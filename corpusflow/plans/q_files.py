@@ -97,3 +97,75 @@ def q_history_appended(spark, sf):
     for part in ("epoch <= 10", "epoch > 10 AND epoch <= 20", "epoch > 20"):
         K.append_history(h.where(part), path)
     return spark.read.parquet(path).select("run_id", "epoch", "val_f1")
+
+
+# What a cell may hold that reads as missing.
+_MISSING = ["", "NA", "None", "n/a", "null", "nan", "#N/A", "-NaN"]
+
+
+@query("csv_semicolon", f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 < 8 THEN {_MISSING}[doc_id % 9 + 1] ELSE 'title; of "' || doc_id || '"' END AS title,
+                  CASE WHEN doc_id % 11 = 0 THEN 'NULL' ELSE text END AS text, CASE doc_id % 4 WHEN 0 THEN ' Real' WHEN 1 THEN 'FAKE ' WHEN 2 THEN '0' ELSE '1' END AS label FROM documents)
+SELECT doc_id, doc_id % 9 < 8 AS no_title, CASE WHEN doc_id % 9 = 8 THEN title END AS title,
+       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE sha256(text) END AS text_sha, (doc_id % 4 % 2)::INTEGER AS label, 'unknown' AS domain FROM d""")
+def q_csv_semicolon(spark, sf):
+    """S2, P1, P6, P11, P17, P18 from one `;` file: missing-value words, quoted separators and line ends, strict labels, a column
+    added, a text found by rules and by name."""
+    from corpusflow.functions.text import normalise_label
+    i = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.when(i % 9 < 8, F.element_at(F.array(*map(F.lit, _MISSING)), (i % 9 + 1).cast("int"))).otherwise(F.concat(F.lit('title; of "'), i, F.lit('"'))).alias("title"),
+        F.when(i % 11 == 0, F.lit("NULL")).otherwise(F.col("text")).alias("news_content"),
+        F.element_at(F.array(*map(F.lit, (" Real", "FAKE ", "0", "1"))), (i % 4 + 1).cast("int")).alias("label"))
+    path = scratch_path(spark, "semicolon")
+    docs.coalesce(1).write.options(**_CSV, sep=";").csv(path)           # one file, read by as many tasks as it is cut into
+    df = S.ensure_column(S.read_csv_source(spark, path, sep=";"), "domain", "unknown")
+    text = S.resolve_text(df.drop("doc_id", "title"), [("headline", "content"), "text"], exclude=("label", "domain", "source_file", "row_idx"))
+    by_name = S.resolve_text_column(df, priority=(), contains=("content",))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("title").isNull().alias("no_title"), "title",
+                     F.when(text.eqNullSafe(by_name), F.sha2(text, 256)).alias("text_sha"), normalise_label("label").alias("label"), "domain")
+
+
+@query("run_logs", """
+SELECT lang AS model, (floor(10000.0 * sum(quality) / count(*)) / 100.0 / 100.0)::DOUBLE AS accuracy
+FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+def q_run_logs(spark, sf):
+    """A log per language whose first accuracy line counts; lines that look alike do not."""
+    acc = (table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").groupBy("lang")
+           .agg(F.floor(F.lit(10000) * F.sum("quality") / F.count(F.lit(1))).alias("p")))
+    pct = F.concat(F.floor(F.col("p") / 100).cast("string"), F.lit("."), F.lpad((F.col("p") % 100).cast("string"), 2, "0"))
+    lines = F.array(F.lit("epoch 1: loss 0.5"), F.lit("Accuracy: 0.1 (10.00%)"), F.concat(F.lit("Final Accuracy: 0."), F.col("p"), F.lit(" ("), pct, F.lit("%)")),
+                    F.lit("Final Accuracy: 0.01 (1.00%)"))
+    path = scratch_path(spark, "logs")
+    acc.select(F.col("lang").alias("model"), F.array_join(lines, "\n").alias("value")).write.partitionBy("model").text(path)
+    return S.parse_run_logs(spark, path, model_from="folder")
+
+
+@query("results_record", """
+WITH s AS (SELECT quality AS label, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS pred FROM labels JOIN documents USING (doc_id)),
+h AS (SELECT max(v) AS v FROM (SELECT round(avg(value) / 100, 6) AS v FROM events GROUP BY event_type, extract(day FROM ts)))
+SELECT avg((label = pred)::INTEGER)::DOUBLE AS accuracy, count(*) AS n, any_value(h.v) AS best_val_f1 FROM s, h""")
+def q_results_record(spark, sf):
+    """K2: the nested result record, written as JSON and read back."""
+    s = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
+        F.col("quality").alias("label"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("pred"))
+    m = s.agg(F.avg((F.col("label") == F.col("pred")).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "results")
+    K.write_results(K.results_record(m, history(spark, sf).agg(F.max("val_f1").alias("best"))), path)
+    return spark.read.json(path).select("test_metrics.accuracy", "test_metrics.n", "best_val_f1")
+
+
+@query("missing_log", "SELECT true AS missing_raises, 0::BIGINT AS n_entries, 2 * count(*) AS malformed, count(*) AS blank FROM labels")
+def q_missing_log(spark, sf):
+    """A missing log raises, a log without one valid line gives an empty table and is counted."""
+    from pyspark.errors import AnalysisException
+    lines = table(spark, sf, "labels").select(F.explode(F.array(F.concat(F.lit("{bad "), "doc_id"), F.lit(" "), F.lit("[1]"))).alias("value"))
+    path = scratch_path(spark, "badlog")
+    K.append_jsonl(lines, path)
+    try:
+        S.read_telemetry(spark, path + "-absent").schema
+        raised = False
+    except AnalysisException:
+        raised = True
+    n = S.read_telemetry(spark, path).agg(F.count(F.lit(1)).alias("n_entries"))
+    return S.count_malformed(spark, path).crossJoin(n).select(F.lit(raised).alias("missing_raises"), "n_entries", "malformed", "blank")

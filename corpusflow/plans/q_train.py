@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from corpusflow.operators import curate as C
 from corpusflow.operators import evaluate as E
 from corpusflow.operators import history as H
-from corpusflow.operators import robust as L
 from corpusflow.operators.features import array_features
 from corpusflow.operators.split import assign_batches, stratified_split
 from corpusflow.operators.train import (TrainConfig, domain_probe, load_model, save_model, score_model,
-                                        train_ensemble, train_group_dro, train_text_classifier)
+                                        train_ensemble, train_group_dro, train_mixup, train_text_classifier)
 from corpusflow.plans.fixtures import CORPUS_SQL, labelled_docs, table
 from corpusflow.plans.q_corpus import _sql_clean_b
 from corpusflow.plans.registry import query, with_ctes
@@ -95,16 +94,8 @@ def _embedding_batches(spark, sf):
 @query("train_mixup")
 def q_train_mixup(spark, sf):
     """M3: mixup pairs inside batches, two weighted rows per pair, LR on the blend."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
     b = _embedding_batches(spark, sf)
-    pairs = L.mixup_features(L.mixup_pairs(b, "vec_id", seed=42, alpha=0.2), feat="features_arr", out="mixed")
-    rows = (pairs.select("vec_id", "mixed", F.col("label").cast("double").alias("y"), F.col("lam").alias("w"))
-            .unionByName(pairs.select("vec_id", "mixed", F.col("label_b").cast("double").alias("y"),
-                                      (1 - F.col("lam")).alias("w"))))
-    train = rows.withColumn("features", array_to_vector("mixed"))
-    lr = LogisticRegression(labelCol="y", weightCol="w", maxIter=30, regParam=0.01, family="multinomial")
-    model = lr.fit(train)
+    model = train_mixup(b, "vec_id", seed=42, alpha=0.2)
     test = array_features(b, "features_arr")
     return model.transform(test).select("vec_id", "label", F.col("prediction").cast("int").alias("pred"))
 

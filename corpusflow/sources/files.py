@@ -367,12 +367,13 @@ ACCURACY_PATTERN = r"Final Accuracy:[^(]*\(([0-9.]+)%"
 
 
 def parse_run_logs(spark: SparkSession, path: str, model_from: str = "file") -> DataFrame:
-    """Per log file, the first ``Final Accuracy: x (y%)`` line -> accuracy y/100."""
+    """Per log file, the first ``Final Accuracy: x (y%)`` line -> accuracy y/100. The model is named after the file, or
+    (``model_from="folder"``, for logs that Spark wrote by partition) after the value of its folder."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         # split start offset, then the id growing inside the split: file order
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_cf_i"))
     hits = lines.select("file", "_cf_i", F.regexp_extract("value", ACCURACY_PATTERN, 1).alias("pct")).where(F.col("pct") != "")
     first = hits.groupBy("file").agg(F.min_by("pct", "_cf_i").alias("pct"))
-    model = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    model = F.regexp_extract("file", r"([^/=]+)/[^/]*$" if model_from == "folder" else r"([^/]+?)(\.[^./]*)?$", 1)
     return first.select(model.alias("model"), (F.col("pct").cast("double") / 100).alias("accuracy"))
