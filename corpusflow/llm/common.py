@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +37,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_columns(df: DataFrame, fn, fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
+def arrow_columns(df: DataFrame, fn, fields: str, drop: tuple[str, ...] = (), no_gc: bool = False) -> DataFrame:
     """Add the columns of the DDL ``fields`` computed batch by batch from Arrow data.
 
     ``fn()`` runs once per task and returns ``step(batch) -> [array per field]``. Columns of ``df``
-    are passed through untouched (no copy); a result column replaces a column of the same name.
+    are passed through untouched (no copy); a result column replaces a column of the same name. With ``no_gc``
+    cycles are not searched while the task runs: large caches without cycles cost more to scan than all else.
     """
     new = StructType.fromDDL(fields)
     gone = {f.name.lower() for f in new} | {c.lower() for c in drop}
@@ -49,12 +52,18 @@ def arrow_columns(df: DataFrame, fn, fields: str, drop: tuple[str, ...] = ()) ->
     names = [f.name for f in keep]
 
     def run(batches):
-        step = fn()
-        for b in batches:
-            if b.num_rows:
-                cols = [b.column(b.schema.get_field_index(n)) for n in names] + list(step(b))
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c
-                                                  for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        step, was = fn(), gc.isenabled()
+        if no_gc:
+            gc.disable()
+        try:
+            for b in batches:
+                if b.num_rows:
+                    cols = [b.column(b.schema.get_field_index(n)) for n in names] + list(step(b))
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c
+                                                      for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        finally:
+            if was:                                 # the worker may serve other tasks
+                gc.enable()
 
     return df.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -19,17 +20,21 @@ SAMPLE = 200          # pages the model is trained on (a bounded sample)
 ROUNDS = 8
 SEED = 11
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")     # possessive: nothing is tried twice
 ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 # fixed values: elements of the HTML language by their role
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noframes".split())
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 NO_TEXT = frozenset("head script style noscript template textarea title iframe svg math object select option button canvas xmp noframes datalist".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt tr td th tbody thead tfoot".split())
 SELF_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEAD_HOLDS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 SCOPE = frozenset("ul ol dl table article section div main body aside nav form".split())
+PLACED = SCOPE.union(*SELF_CLOSE.values())
+DEPTH = 256           # innermost ancestors that a block keeps
 SPACE = re.compile(r"\s+")
 
 
@@ -40,16 +45,70 @@ class Block:
         self.path, self.text, self.link = path, text, link
 
 
+class Tokens:
+    """Markup of a page, from left to right in linear time however broken it is.
+
+    ``next(pos)`` gives (start, end, tag, closing, attributes) of the next piece at or after ``pos``, or None; comments,
+    declarations and sections have no tag. A tag ends at the first ``>`` outside quotes; a quote that never closes is
+    an ordinary character. Once a scan met the end of the page inside quotes, quotes count as ordinary for the rest.
+    A comment left open takes the rest of the page; a ``<`` that no ``>`` follows is text.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in (">", "-->", "]]>")}
+        self.quotes = True
+
+    def _end(self, pos: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends before ``pos``."""
+        page, at = self.page, pos
+        while self.quotes:
+            at = INSIDE.match(page, at).end()
+            if at >= len(page):
+                self.quotes = False
+            elif page[at] == ">":
+                return at
+            else:                           # a quote that no other closes
+                at += 1
+        return page.find(">", pos)
+
+    def next(self, pos: int):
+        page, last = self.page, self.last
+        while (at := page.find("<", pos)) >= 0:
+            if page.startswith("<!--", at):
+                return at, page.find("-->", at + 4) + 3 if at + 4 <= last["-->"] else len(page), "", False, ""
+            if at > last[">"]:
+                pos = page.find("<!--", at)             # only an open comment can follow
+                if pos < 0:
+                    return None
+                continue
+            if page.startswith("<![CDATA[", at) and at + 9 <= last["]]>"]:
+                return at, page.find("]]>", at + 9) + 3, "", False, ""
+            if page.startswith(("<!", "<?"), at):
+                return at, page.find(">", at) + 1, "", False, ""
+            if m := TAG.match(page, at):
+                end = self._end(m.end())
+                return at, end + 1, m.group(2).lower(), bool(m.group(1)), page[m.end():end]
+            pos = at + 1
+        return None
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: runs of text not broken by a block element, with their ancestors.
 
     Ancestors are strings such as ``div.side-bar#x``. Markup may be broken: an element that its
     parent cannot hold closes what is open, unknown end tags are ignored, open elements end with
     the page. A head left open ends at the first text or start tag it cannot hold. Text of scripts,
-    styles, titles, form controls and the like is no block.
+    styles, titles, form controls and the like is no block. Time is linear in the page: open tags are counted, so
+    what is not open is not looked for, and blocks keep their ``DEPTH`` innermost ancestors.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, str]] = []          # (tag, ancestor string)
+    opened: Counter = Counter()                # open elements by tag
+    solid: list[int] = []                      # places in the stack of elements that are not inline
+    placed: list[int] = []                     # places of elements that may end, or keep from ending, another
+    unclosed: set[str] = set()                 # raw elements whose end tag does not come any more
+    tokens = Tokens(page)
     hidden = 0                                 # open elements whose text does not show
     buf: list[str] = []
     link = 0
@@ -60,26 +119,44 @@ def leaf_blocks(page: str) -> list[Block]:
         if buf:
             t = SPACE.sub(" ", entities.unescape("".join(buf))).strip()
             if t:
-                blocks.append(Block(tuple(x[1] for x in stack if x[0] not in INLINE), t, link))
+                blocks.append(Block(tuple(stack[k][1] for k in solid[-DEPTH:]), t, link))
             buf.clear()
         link = 0
 
+    def push(tag: str, name: str) -> None:
+        nonlocal hidden, in_a
+        if tag not in INLINE:
+            solid.append(len(stack))
+        if tag in PLACED:
+            placed.append(len(stack))
+        stack.append((tag, name))
+        opened[tag] += 1
+        hidden += tag in NO_TEXT
+        in_a += tag == "a"
+
     def pop_to(k: int) -> None:
         nonlocal hidden, in_a
         while len(stack) > k:
             tag = stack.pop()[0]
+            opened[tag] -= 1
             hidden -= tag in NO_TEXT
             in_a -= tag == "a"
+        for places in (solid, placed):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def place(tag: str) -> int:
+        """Place of the innermost open element of that tag."""
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag) if opened[tag] else -1
 
     def end_head() -> None:
-        at = next((k for k, x in enumerate(stack) if x[0] == "head"), -1) if hidden else -1
-        if at >= 0:
-            pop_to(at)
+        if hidden and opened["head"]:
+            pop_to(next(k for k, x in enumerate(stack) if x[0] == "head"))
 
     pos, n = 0, len(page)
     while pos < n:
-        m = TOKEN.search(page, pos)
-        end = m.start() if m else n
+        m = tokens.next(pos)
+        end = m[0] if m else n
         if hidden and stack[-1][0] == "head" and page[pos:end].strip():
             end_head()
         if end > pos and not hidden:
@@ -88,12 +165,11 @@ def leaf_blocks(page: str) -> list[Block]:
                 link += end - pos
         if not m:
             break
-        pos = m.end()
-        tag = (m.group(3) or "").lower()
+        _, pos, tag, closing, inside = m
         if not tag:
             continue
-        if m.group(2):                                        # end tag
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+        if closing:
+            at = place(tag)
             if at >= 0:
                 if tag not in INLINE:
                     flush()
@@ -103,41 +179,37 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if hidden and tag not in HEAD_HOLDS:
             end_head()
+        empty = inside.endswith("/")
         if tag in INLINE:
             if tag == "br" or tag == "img":
                 if not hidden:
                     buf.append(" ")
-            elif not m.group(5):
-                stack.append((tag, tag))
-                in_a += tag == "a"
+            elif not empty:
+                push(tag, tag)
             continue
         flush()
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and solid and stack[solid[-1]][0] == "p":
+            pop_to(solid[-1])
         if tag in SELF_CLOSE:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in reversed(placed):
                 if stack[k][0] in SELF_CLOSE[tag]:
                     pop_to(k)
                     break
                 if stack[k][0] in SCOPE:
                     break
-        if tag in VOID or m.group(5):
+        if tag in VOID or empty:
             continue
-        attrs = {a.lower(): x or y or z or "" for a, x, y, z in ATTR.findall(m.group(4))}
+        attrs = {a.lower(): x or y or z or "" for a, x, y, z in ATTR.findall(inside)}
         name = tag + "".join(f".{w}" for w in attrs.get("class", "").lower().split()) + "".join(
             f"#{attrs[a].lower()}" for a in ("id", "role", "itemprop") if attrs.get(a))
         if tag in RAW:                                        # text up to the end tag is not markup
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else (n if tag in ("script", "style") else pos)
+            close = None if tag in unclosed else RAW_END[tag].search(page, pos)
             if close:
+                pos = close.end()
                 continue
-        stack.append((tag, name))
-        hidden += tag in NO_TEXT
+            unclosed.add(tag)
+            pos = n if tag in ("script", "style") else pos
+        push(tag, name)
     flush()
     return blocks
 
@@ -190,13 +262,15 @@ class Scorer:
     """Emission scores; the sums of path and text parts are remembered, as pages share most of them."""
 
     def __init__(self, model, bits: int = BITS, cache: int = 50_000):
-        (self.w, self.trans), self.bits, self.cache, self.part = model, bits, cache, {}
+        (self.w, self.trans), self.bits, self.cache, self.part, self.chars = model, bits, cache, {}, 0
 
     def _sum(self, key: tuple, names, base: int) -> np.ndarray:
         got = self.part.get(key)
         if got is None:
-            if len(self.part) > self.cache:
+            if len(self.part) > self.cache or self.chars > 1 << 24:
                 self.part.clear()
+                self.chars = 0
+            self.chars += sum(map(len, key))
             got = self.part[key] = self.w[:, base + _hash(list(names(key)), self.bits)].sum(axis=1)
         return got
 
