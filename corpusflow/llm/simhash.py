@@ -235,11 +235,37 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """Rows of ``df`` whose id is their component's smallest. Rows that share an id are copies of one
-    document: one of them stays. Rows without an id cannot be named by another and all stay."""
-    named = df.where(F.col(id_col).isNotNull())
-    cid, = common.fresh(df, "id")
-    keep = (simhash_components(named, id_col, text_col, shingle, radius).where(F.col(id_col) == F.col("component_id"))
-            .select(F.col(id_col).alias(cid)))
-    kept = named.join(keep, named[id_col].cast("long") == keep[cid], "left_semi").dropDuplicates([id_col])
-    return kept.unionAll(df.where(F.col(id_col).isNull()))
+    """One row of ``df`` per component: that of the smallest id, and of the smallest fingerprint where rows share that id.
+
+    A row goes only if a row that it is linked to stays: rows that share an id but are linked to nothing alike are
+    different documents and both stay; equal fingerprints are copies, whatever their ids. Rows without an id
+    come last in their component and stay if it has no other. Null texts are empty texts; columns pass untouched.
+
+    Texts of ids that stand once are only joined with the ids that stay; fingerprints of texts are computed
+    a second time just for ids that stand more than once, and for null ids.
+    """
+    ident, fp, many = common.fresh(df, "id", "fp", "many")
+    rows = fingerprints(df, id_col, text_col, shingle).checkpoint()
+    roots = components(_links(rows.select("fp").distinct().checkpoint(), radius))
+    best = (rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("low"))
+            .join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+            .agg(F.min("low").alias("low")).select(F.col("low.id").alias(ident), F.col("low.fp").alias(fp)))
+    often = rows.where("id is not null").groupBy(F.col("id").alias(ident)).count().where("count > 1").select(ident, F.lit(True).alias(many))
+    keep = best.join(often, ident, "left").select(ident, fp, F.coalesce(F.col(many) | F.col(ident).isNull(), F.col(ident).isNull()).alias(many)).checkpoint()
+    docs = df.withColumn(ident, F.col(id_col).cast("long"))
+    once = docs.join(keep.where(~F.col(many)).select(ident), ident, "left_semi").select(*df.columns)
+    again = docs.join(keep.where(F.col(many)).select(ident), ident, "left_semi").select(*df.columns)
+    some = _with_fingerprint(again.unionAll(df.where(F.col(id_col).cast("long").isNull())), text_col, shingle, fp).withColumn(ident, F.col(id_col).cast("long"))
+    left = keep.where(F.col(many)).select(F.col(ident).alias("id"), F.col(fp).alias("fp"))
+    chosen = some.join(left, some[ident].eqNullSafe(left["id"]) & (some[fp] == left["fp"]), "left_semi").dropDuplicates([ident, fp])
+    return once.unionAll(chosen.select(*df.columns))
+
+
+def _with_fingerprint(df: DataFrame, text_col: str, k: int, name: str) -> DataFrame:
+    def start():
+        def step(b):
+            fp = np.array([fingerprint(t, k) for t in common.texts(b.column(b.schema.get_field_index(text_col)))], np.uint64)
+            return [pa.array(fp.view(np.int64))]
+        return step
+
+    return common.arrow_columns(df, start, f"{name} long")
