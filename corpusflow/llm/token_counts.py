@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 
 import pyarrow as pa
@@ -11,7 +10,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 SEGMENT = re.compile("[ ▁]+[^ ▁]*")   # U+2581 is the library's own sign for a space
-CACHE = 800_000
+CACHE = 96 << 20                      # bytes of segments remembered by a task
+SHORT = 256                           # characters of a segment that is remembered
 BATCH = 128 << 10
 
 
@@ -22,7 +22,7 @@ class PieceCounter:
     another character (checked against the model; without it texts are not split). Each segment is a
     run of spaces and the characters up to the next one; the library's own dummy prefix stands for
     its first space. Segments not met before are encoded in batches of equal bytes, and only their
-    numbers of pieces are kept.
+    numbers of pieces are kept, those of short segments within ``cache`` bytes for later texts.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -31,7 +31,7 @@ class PieceCounter:
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         self.safe = not any("▁" in p.lstrip("▁") for p in pieces) and self.sp.encode("a  b a ", out_type=str) == \
             self.sp.encode("a", out_type=str) + ["▁"] + self.sp.encode("b", out_type=str) + self.sp.encode("a", out_type=str) + ["▁"]
-        self.cache, self.known = cache, {}
+        self.cache, self.known, self.size = cache, {}, 0
 
     def _lengths(self, items: list[str]) -> list[int]:
         out, batch, size = [], [], 0
@@ -57,15 +57,23 @@ class PieceCounter:
             return self._lengths(texts)
         split = [self._split(t) for t in texts]
         known = self.known
-        if len(known) > self.cache:
+        if self.size > self.cache:
             known.clear()
+            self.size = 0
         new = [s for s in set().union(*split) if s not in known]
         blank = [s for s in new if not s.strip(" ▁")]
         words = [s for s in new if s.strip(" ▁")]
-        known.update(zip(words, self._lengths(words), strict=True))
+        got = dict(zip(words, self._lengths(words), strict=True))
         one = self._lengths(["a"])[0]
-        known.update((s, n - one) for s, n in zip(blank, self._lengths(["a" + s for s in blank]), strict=True))
-        return [sum([known[x] for x in s]) for s in split]
+        got.update((s, n - one) for s, n in zip(blank, self._lengths(["a" + s for s in blank]), strict=True))
+        long = {}
+        for s, n in got.items():
+            if len(s) > SHORT:
+                long[s] = n
+            else:
+                known[s] = n
+                self.size += 120 + 4 * len(s)
+        return [sum([known[x] if x in known else long[x] for x in s]) for s in split]
 
 
 def token_counts(df: DataFrame, path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -73,13 +81,12 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", limit: int =
 
     ``path`` is a sentencepiece ``.model``. Counts are without begin and end tokens. No shuffle, and
     only lengths return. Null is the empty text (0 bytes, 0 tokens); repeated rows give repeated
-    results; columns named like a result are replaced.
+    results; an empty table gives an empty result; columns named like a result are replaced.
     """
     common.bound_batches(df.sparkSession)
 
     def start():
         counter = PieceCounter(path)
-        gc.disable()    # the caches hold no cycles; scanning them costs more than all else
 
         def step(b):
             raw = common.texts(b.column(b.schema.get_field_index(text_col)))
@@ -88,4 +95,4 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", limit: int =
                     pa.array([x > limit for x in n], pa.bool_()))
         return step
 
-    return common.arrow_columns(df, start, "n_bytes long, n_tokens long, over_limit boolean")
+    return common.arrow_columns(df, start, "n_bytes long, n_tokens long, over_limit boolean", no_gc=True)
