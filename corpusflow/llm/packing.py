@@ -47,7 +47,7 @@ def cost(capacity: int) -> int:
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """(bin of each item, offset of each item, capacity of each bin); lengths are 0..max(capacities).
 
-    Longest first. An item goes to the open bin it leaves least room in. If none fits, a bin opens:
+    Longest first. An item goes to the open bin it leaves least room in (of equal rooms, the bin filled last). If none fits, a bin opens:
     of all permitted lengths the one of least cost per token that it could hold, the waiting
     lengths taken into account (ties: the shorter). At the end each bin shrinks to the shortest
     permitted length that holds its contents.

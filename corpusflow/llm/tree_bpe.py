@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -16,8 +15,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 SPLIT = re.compile(r"[ \t\r\n]+")   # white space for every pattern of the library; no token spans it
-LEAF = 2048                         # characters of an unsplit word encoded in one piece
-CACHE = 500_000                     # chunks remembered by a task
+LEAF = 16                           # characters of an unsplit word encoded in one piece
+CACHE = 96 << 20                    # bytes of chunks, and of words, that a task remembers
 LATIN = re.compile("[!-~¡-įı-ſ]+")  # no white space, no combining marks, each character in normal form
 
 
@@ -48,8 +47,10 @@ class TreeEncoder:
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.tree = plain and self.tok.normalizer is not None and self.tok.pre_tokenizer is not None
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}     # chunks of at most ``leaf`` characters: long ones are not kept
         self.words: dict[str, tuple[list[int], list[str]]] = {}
+        self.known_bytes = self.word_bytes = 0
+        self.trees = 0                                    # words encoded as trees
         self.pattern = self._word_pattern()
         if self.pattern:
             bytelevel = {c: self.tok.pre_tokenizer.pre_tokenize_str(chr(c)) for c in range(0xA1, 0x180)}
@@ -75,8 +76,10 @@ class TreeEncoder:
         for w in self.pattern.findall(chunk.lower()):
             got = words.get(w)
             if got is None:
-                if len(words) > self.cache:
+                if self.word_bytes > self.cache:
                     words.clear()
+                    self.word_bytes = 0
+                self.word_bytes += 300 + 40 * len(w)
                 t = self.tok.model.tokenize(w if w.isascii() else w.translate(self.mapped))
                 i = [x.id for x in t]
                 got = words[w] = i, [self.names[x] for x in i]
@@ -104,6 +107,7 @@ class TreeEncoder:
             w *= 2
 
     def word(self, word: str) -> list[int]:
+        self.trees += 1
         cuts = [0]
 
         def halve(a: int, b: int) -> None:
@@ -134,15 +138,18 @@ class TreeEncoder:
         return ids
 
     # ---- texts -----------------------------------------------------------------------------
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.cache:
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids and decoded text of the chunks: short ones are remembered, within ``cache`` bytes; long ones are not."""
+        if self.known_bytes > self.cache:
             self.known.clear()
+            self.known_bytes = 0
         new = [c for c in chunks if c not in self.known]
+        got: dict[str, tuple[bytes, str]] = {}
         if self.pattern:
             rest = []
             for c in new:
                 if len(c) <= self.leaf and LATIN.fullmatch(c) and not (self.cut and self.cut.search(c)):
-                    self.known[c] = self._latin(c)
+                    got[c] = self._latin(c)
                 else:
                     rest.append(c)
             new = rest
@@ -152,15 +159,23 @@ class TreeEncoder:
         decoded = (self.tok.decode_batch([i for _, i in every], skip_special_tokens=False)
                    if self.tok.decoder is None else [""] * len(every))
         for (c, ids), d in zip(every, decoded, strict=True):
-            self.known[c] = (array("i", ids).tobytes(), d)
+            got[c] = (array("i", ids).tobytes(), d)
+        long = {}
+        for c, x in got.items():
+            if len(c) > max(self.leaf, 256):
+                long[c] = x
+            else:
+                self.known[c] = x
+                self.known_bytes += 250 + 4 * len(c) + len(x[0]) + 4 * len(x[1])
+        return long
 
     def encode_decode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as int32 bytes, and ``decode(ids, skip_special_tokens=False)``, for each text."""
         split = [SPLIT.split(t) if "\t" in t or "\r" in t or "\n" in t else t.split(" ") for t in texts]
-        self.learn({c for s in split for c in s if c})
+        long = self.learn({c for s in split for c in s if c})
         ids, out, known = [], [], self.known
         for s in split:
-            got = [known[c] for c in s if c]
+            got = [known.get(c) or long[c] for c in s if c]
             ids.append(b"".join([g[0] for g in got]))
             out.append(" ".join([g[1] for g in got if g[0]]) if self.tok.decoder is None else None)
         if self.tok.decoder is not None:
@@ -179,7 +194,6 @@ def bpe_encode_decode(df: DataFrame, path: str, text_col: str = "text", leaf: in
 
     def start():
         enc = TreeEncoder(path, leaf)
-        gc.disable()    # the caches hold no cycles; scanning them costs more than all else
 
         def step(b):
             ids, dec = enc.encode_decode([t.decode("utf-8", "replace") for t in
@@ -190,4 +204,4 @@ def bpe_encode_decode(df: DataFrame, path: str, text_col: str = "text", leaf: in
             return lists, pa.array(n), pa.array(dec, pa.string())
         return step
 
-    return common.arrow_columns(df, start, "ids array<int>, n_tokens long, decoded string")
+    return common.arrow_columns(df, start, "ids array<int>, n_tokens long, decoded string", no_gc=True)
