@@ -16,7 +16,7 @@ from . import common
 
 SPLIT = re.compile(r"[ \t\r\n]+")   # white space for every pattern of the library; no token spans it
 LEAF = 16                           # characters of an unsplit word encoded in one piece
-CACHE = 96 << 20                    # bytes of chunks, and of words, that a task remembers
+CACHE = 176 << 20                   # bytes of chunks, and of words, that a task remembers
 LATIN = re.compile("[!-~¡-įı-ſ]+")  # no white space, no combining marks, each character in normal form
 
 
