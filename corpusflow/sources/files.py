@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,24 +146,24 @@ def _canonical(spark: SparkSession, spec: SourceSpec, rank: int) -> DataFrame:
             .withColumn("dataset", F.lit(spec.name)).withColumn("dataset_rank", F.lit(rank)).select(*CANONICAL_SCHEMA.fieldNames(), "_cf_bad"))
 
 
-def _write_observed(parts: dict[int, DataFrame], path: str) -> dict[int, tuple[int, int]]:
-    """Write the sources by rank in one job -> {rank: (complete rows, bad labels)}, measured as the rows pass."""
+def _write_parts(spark: SparkSession, parts: dict[int, DataFrame], path: str) -> dict[int, tuple[int, int]]:
+    """Write the sources by rank in one job -> {rank: (complete rows, bad labels)}, counted on what was written
+    (a flag per row; the sources themselves are read once)."""
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("text", "label", "domain", "language")])
-    seen, metrics = Observation(), []
-    for k in parts:
-        metrics += [F.count_if((F.col("dataset_rank") == k) & full).alias(f"n_{k}"), F.count_if((F.col("dataset_rank") == k) & F.col("_cf_bad")).alias(f"bad_{k}")]
-    rows = reduce(lambda a, b: a.unionByName(b), parts.values()).observe(seen, *metrics)
-    rows.where(full).drop("_cf_bad").withColumn("_cf_part", F.col("dataset_rank")).write.partitionBy("_cf_part").mode("overwrite").parquet(path)
-    got = seen.get
-    return {k: (int(got[f"n_{k}"]), int(got[f"bad_{k}"])) for k in parts}
+    rows = reduce(lambda a, b: a.unionByName(b), parts.values())
+    rows.where(full | F.col("_cf_bad")).withColumn("_cf_part", F.col("dataset_rank")).write.partitionBy("_cf_part").mode("overwrite").parquet(path)
+    flags = spark.read.schema("_cf_bad boolean, _cf_part int").parquet(path)
+    got = {r["_cf_part"]: (r["n"], r["bad"]) for r in flags.groupBy("_cf_part").agg(
+        F.count_if(~F.col("_cf_bad")).alias("n"), F.count_if("_cf_bad").alias("bad")).collect()}     # one row per source
+    return {k: got.get(k, (0, 0)) for k in parts}
 
 
 def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "skip", path: str | None = None):
     """Read every source in isolation -> (union, report).
 
     All sources are read once, by one job that writes the canonical rows to ``path`` (a fresh folder under the
-    checkpoint folder by default), a part per source; rows and labels that do not cast are counted as they
-    pass, so the report costs no read of its own. What comes back reads the parts of the good sources. Only if
+    checkpoint folder by default), a part per source; rows and labels that do not cast are counted on what was
+    written, so the report reads no source again. What comes back reads the parts of the good sources. Only if
     that job fails are the sources written one by one, to find the one that broke it.
 
     The report counts the rows that are loaded. A failing source is reported and skipped; an optional absent source yields
@@ -187,11 +187,11 @@ def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "s
             fail(rank, e)
     if parts:
         try:
-            stats, where = _write_observed(parts, f"{base}/all"), {rank: f"{base}/all/_cf_part={rank}" for rank in parts}
+            stats, where = _write_parts(spark, parts, f"{base}/all"), {rank: f"{base}/all/_cf_part={rank}" for rank in parts}
         except Exception:  # noqa: BLE001 - one of them is broken: find it
             for rank, df in parts.items():
                 try:
-                    stats |= _write_observed({rank: df}, f"{base}/{rank}")
+                    stats |= _write_parts(spark, {rank: df}, f"{base}/{rank}")
                     where[rank] = f"{base}/{rank}/_cf_part={rank}"
                 except Exception as e:  # noqa: BLE001
                     fail(rank, e)
@@ -209,7 +209,10 @@ def load_corpus(spark: SparkSession, specs: list[SourceSpec], on_error: str = "s
         raise ValueError("no source could be loaded")
     rep = spark.createDataFrame([report[r] for r in sorted(report)], "dataset string, dataset_rank int, status string, n_rows long, error string")
     read = [where[r] for r in good if report[r][3]]              # a source without rows has no part
-    return spark.read.schema(CANONICAL_SCHEMA).parquet(*read) if read else empty_canonical(spark), rep
+    if not read:
+        return empty_canonical(spark), rep
+    kept = T.StructType([*CANONICAL_SCHEMA, T.StructField("_cf_bad", T.BooleanType())])
+    return spark.read.schema(kept).parquet(*read).where("not _cf_bad").drop("_cf_bad"), rep
 
 
 def empty_canonical(spark: SparkSession) -> DataFrame:
