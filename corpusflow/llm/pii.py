@@ -19,8 +19,11 @@ BASE = {
 # Identifier-like strings of each kind that the base patterns do not take: what contexts may discover.
 LOOSE = {
     "email": r"(?:(?<![^\x20\x09-\x0D<>()\[\],;\"])|\G)[^\x20\x09-\x0D<>()\[\],;:@\"]{1,64}+(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9.-]++",
-    "ip": (r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+::(?:[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){0,6}+)?+"
-           r"|::[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){0,6}+)|[0-9A-Fa-f]{1,4}+(?:[:.][0-9A-Fa-f]{1,4}+){3,7}+)(?![0-9A-Za-z])"),
+    # all eight groups, or "::" between fewer (a dotted end is a base match); or four parts with each dot in brackets
+    "ip": (r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+"
+           r"|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+::(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+"
+           r"|::[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+"
+           r"|[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}+)(?!:*+[0-9A-Za-z])(?!\.[0-9])"),
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ .-]?[0-9]){11,18}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}+(?![0-9A-Za-z])",
 }
@@ -60,7 +63,7 @@ def _may_hold(kind: str, text: Column, loose: bool) -> Column:
         return F.contains(text, F.lit("@")) | (F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")) if loose else F.lit(False))
     if kind == "phone" and not loose:
         return F.contains(text, F.lit("+"))
-    return text.rlike("[0-9]|::" if kind == "ip" and loose else "[0-9]")
+    return text.rlike(r"::|:[0-9A-Fa-f]{1,4}:|\[\.\]" if kind == "ip" and loose else "[0-9]")
 
 
 def _matches(text: Column, kind: str, loose: bool = False) -> Column:
