@@ -65,16 +65,21 @@ def q_csv_corpus(spark, sf):
     return C.dedupe_first(df, narrow=True).select("dataset", "dataset_rank", "label", "domain", "language", F.sha2("text", 256).alias("text_sha"))
 
 
+_FILE_LINES = 500_000     # lines of a telemetry file
+
+
 @query("jsonl_telemetry", with_ctes(TELEMETRY_SQL, TSERIES_SQL) + """
 SELECT seq, host, mem_percent, has_process, vm_restarted, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
 def q_jsonl_telemetry(spark, sf):
-    """S8, R1, R8, R11, R14 from files: each host's samples in two files, between malformed lines (single
+    """S8, R1, R8, R11, R14 from files: each host's samples in two files or more, between malformed lines (single
     quotes, trailing junk, cut off, blank) that the strict reader drops."""
     src = scratch_path(spark, "jsonl")
+    # files of bounded size: their number grows with the samples (a count from the table's footers)
+    n_files = max(2, -(-5 * table(spark, sf, "events").count() // _FILE_LINES))
     lines = entries_from_series(telemetry_series(spark, sf, restarts=False, alerts=False))
     bad = F.array(F.col("value"), F.translate("value", '"', "'"), F.concat("value", F.lit(" junk")),
                   F.expr("substring(value, 1, length(value) div 2)"), F.lit(""))
-    K.append_jsonl(lines.select(F.explode(bad).alias("value")).repartition(2, "value"), src)
+    K.append_jsonl(lines.select(F.explode(bad).alias("value")).repartition(n_files, "value"), src)
     flat = R.detect_restarts(R.flatten(S.read_telemetry(spark, src)))
     return R.alerts(flat).select("seq", F.col("host").cast("long").alias("host"), "mem_percent", "has_process", "vm_restarted",
                                  F.array_join("alerts", " | ").alias("alerts"))
@@ -109,7 +114,7 @@ WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 < 8 THEN {_MISSING}[doc_id % 9 +
 SELECT doc_id, doc_id % 9 < 8 AS no_title, CASE WHEN doc_id % 9 = 8 THEN title END AS title,
        CASE WHEN doc_id % 11 = 0 THEN NULL ELSE sha256(text) END AS text_sha, (doc_id % 4 % 2)::INTEGER AS label, 'unknown' AS domain FROM d""")
 def q_csv_semicolon(spark, sf):
-    """S2, P1, P6, P11, P17, P18 from one `;` file: missing-value words, quoted separators and line ends, strict labels, a column
+    """S2, P1, P6, P11, P17, P18 from `;` files: missing-value words, quoted separators and line ends, strict labels, a column
     added, a text found by rules and by name."""
     from corpusflow.functions.text import normalise_label
     i = F.col("doc_id")
