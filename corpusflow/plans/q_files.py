@@ -123,7 +123,7 @@ def q_csv_semicolon(spark, sf):
         F.when(i % 11 == 0, F.lit("NULL")).otherwise(F.col("text")).alias("news_content"),
         F.element_at(F.array(*map(F.lit, (" Real", "FAKE ", "0", "1"))), (i % 4 + 1).cast("int")).alias("label"))
     path = scratch_path(spark, "semicolon")
-    docs.coalesce(1).write.options(**_CSV, sep=";").csv(path)           # one file, read by as many tasks as it is cut into
+    docs.write.options(**_CSV, sep=";").csv(path)           # a file per task, each read by as many tasks as it is cut into
     df = S.ensure_column(S.read_csv_source(spark, path, sep=";"), "domain", "unknown")
     text = S.resolve_text(df.drop("doc_id", "title"), [("headline", "content"), "text"], exclude=("label", "domain", "source_file", "row_idx"))
     by_name = S.resolve_text_column(df, priority=(), contains=("content",))

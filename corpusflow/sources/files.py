@@ -24,6 +24,7 @@ CANONICAL_SCHEMA = T.StructType([
 
 FILE_STRIDE = 1 << 33    # rows of one file; ids of a split stay below it
 PART_STRIDE = 1 << 53    # rows of one part of a pair
+LISTED_FILES = 100_000   # a listing of at most so many files is broadcast
 
 
 def string_schema(cols: list[str]) -> T.StructType:
@@ -63,7 +64,9 @@ def read_csv_source(spark: SparkSession, path, schema: T.StructType | None = Non
     if len(files) <= 1:
         rank = df.withColumn("_cf_rank", F.lit(0))
     else:
-        rank = df.join(spark.createDataFrame([(f, k) for k, f in enumerate(files)], "source_file string, _cf_rank long"), "source_file")
+        ranks = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "source_file string, _cf_rank long")
+        # the listing comes from the driver, so it is broadcast; dealt by file, all rows of a file would meet in one task
+        rank = df.join(F.broadcast(ranks) if len(files) <= LISTED_FILES else ranks, "source_file")
     return (rank.withColumn("row_idx", (F.col("_cf_rank") * FILE_STRIDE + F.col("_cf_pos")).cast("long"))
             .select(*plain, "source_file", "row_idx"))
 
