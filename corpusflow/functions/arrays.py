@@ -51,3 +51,16 @@ def kl_div(p_logits, q_logits) -> Column:
 def blend(a, b, lam) -> Column:
     """Elementwise ``lam * a + (1 - lam) * b``."""
     return F.zip_with(_c(a), _c(b), lambda x, y: _c(lam) * x + (F.lit(1.0) - _c(lam)) * y)
+
+
+PIECE_ROWS = 512
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches, rows: int = PIECE_ROWS, n_bytes: int = PIECE_BYTES):
+    """Arrow batches in slices (no copy) of at most ``rows`` rows and about ``n_bytes``: what a Python worker makes of its
+    input at a time does not grow with the batches that Spark sends."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * n_bytes // max(1, b.nbytes)))
+        for at in range(0, max(1, b.num_rows), step):
+            yield b.slice(at, step)

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.functions.arrays import pieces
+from corpusflow.session import bound_batches
+
 VOCAB_BYTES = 64 << 20      # the largest vocabulary file that is broadcast
 
 
@@ -45,7 +48,8 @@ class Vocabulary:
 
 
 def _shipped(df: DataFrame, path: str):
-    """(broadcast bytes, kind) of a vocabulary file."""
+    """(broadcast bytes, kind) of a vocabulary file, and smaller batches for the workers that will use it."""
+    bound_batches(df.sparkSession)
     size = os.path.getsize(path)
     if size > VOCAB_BYTES:
         raise ValueError(f"vocabulary file of {size} bytes, at most {VOCAB_BYTES}")
@@ -61,7 +65,7 @@ def encode_subwords(df: DataFrame, path: str, text_col: str = "text", out: str =
     keeps both: the text gives way. ``n_subwords`` counts the text's pieces before truncation and without marks, ``n_spelt``
     those that are a single byte or unknown. A null text is empty. Columns named like a result are replaced.
 
-    No shuffle: rows are encoded where they are, whole; of a long text only the ids that stay are kept.
+    No shuffle: rows are encoded where they are, whole, a few hundred at a time; of a long text only the ids that stay are kept.
     """
     data, kind = _shipped(df, path)
     gone = {out.lower(), "n_subwords", "n_spelt"} | ({text_col.lower()} if drop_text else set())
@@ -75,7 +79,7 @@ def encode_subwords(df: DataFrame, path: str, text_col: str = "text", out: str =
         v = Vocabulary(data.value, kind)
         marks = special and v.start >= 0 and v.end >= 0
         room = None if max_length is None else max(0, max_length - 2 * marks)
-        for b in batches:
+        for b in pieces(batches):
             n, spelt, ids = [], [], []
             for t in b.column(text_col):
                 x = v.encode(t.as_py() or "")
@@ -99,7 +103,7 @@ def decode_subwords(df: DataFrame, path: str, ids_col: str = "input_ids", out: s
         import pyarrow as pa
         v = Vocabulary(data.value, kind)
         marks = (v.start, v.end) if special else ()
-        for b in batches:
+        for b in pieces(batches):
             got = [v.decode([i for i in x.as_py() or [] if i not in marks]) for x in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, pa.string())], names=[*names, out])
 

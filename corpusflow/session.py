@@ -72,6 +72,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def bound_batches(spark: SparkSession, n_bytes: int = 8 << 20, rows: int = 4096) -> None:
+    """Bound the Arrow batches sent to Python by bytes as well as rows, whatever the size of a partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def broadcast_checked(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``side`` with a broadcast hint if its rows take at most ``limit`` bytes as JSON text; beyond
     that the join is left to the optimizer. Measures ``side``: pass a written or checkpointed table."""

@@ -42,3 +42,28 @@ def test_semicolon_files_are_written_and_read_by_many_tasks(spark, tmp_dir, monk
     want = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(
         "doc_id", F.when(F.col("doc_id") % 11 != 0, F.sha2("text", 256)).alias("sha"))
     assert {r["doc_id"]: r["text_sha"] for r in df.collect()} == {r["doc_id"]: r["sha"] for r in want.collect()}
+
+
+def test_workers_take_batches_in_small_slices(spark):
+    import pyarrow as pa
+
+    from corpusflow.functions.arrays import pieces
+    b = pa.RecordBatch.from_pydict({"k": list(range(3000)), "t": ["x" * 3000] * 3000})
+    got = list(pieces([b, b.slice(0, 0)]))
+    assert max(x.num_rows for x in got) <= 512 and max(x.nbytes for x in got) <= 1 << 20
+    assert [k for x in got for k in x.column("k").to_pylist()] == list(range(3000))
+
+
+def test_encoding_works_on_slices_and_keeps_every_row(spark, tmp_dir):
+    from corpusflow.operators import features as T
+    from corpusflow.operators import subwords as S
+    from corpusflow.plans.q_subwords import vocabulary
+    df = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat_ws(" ", F.lit("word"), F.col("id") % 50, F.lit("end"))).alias("text"))
+    path = vocabulary()
+    back = S.decode_subwords(S.encode_subwords(df, path, max_length=None, drop_text=False), path)
+    assert back.where("decoded <> coalesce(text, '')").count() == 0 and back.select("id").distinct().count() == 3000
+    toks = df.select("id", T.tokens("text").alias("tokens"))
+    enc = T.encode(toks, T.build_vocab(toks, 20), max_length=2).collect()
+    assert len(enc) == 3000 and all((r["input_ids"] is None) == (r["id"] % 7 == 0) for r in enc)
+    assert all(len(r["input_ids"]) == 2 for r in enc if r["id"] % 7)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
