@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.arrays import pieces
 from corpusflow.functions.text import clean_text_a
-from corpusflow.session import ensure_checkpoint_dir
+from corpusflow.session import bound_batches, ensure_checkpoint_dir
 
 PAD, UNK = 0, 1
 
@@ -50,9 +51,10 @@ def encode(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", out: str
     """Token ids (unknown -> 1), truncated to ``max_length``.
 
     Rows are encoded where they are (no shuffle): the vocabulary - at most ``size`` tokens,
-    a bound fixed by :func:`build_vocab` - is broadcast, and each Arrow batch is looked up
-    with one vectorised hash probe (``pyarrow.compute.index_in``)."""
+    a bound fixed by :func:`build_vocab` - is broadcast, and a slice of each Arrow batch at a time
+    is looked up with one vectorised hash probe (``pyarrow.compute.index_in``)."""
     from pyspark.sql import types as T
+    bound_batches(df.sparkSession)
     vocab_tokens = [r[0] for r in vocab.orderBy("id").select("token").collect()]  # <= size rows
     bc = df.sparkSession.sparkContext.broadcast(vocab_tokens)
     keep = [f for f in df.schema.fields if not (drop_tokens and f.name == tokens_col)]
@@ -63,7 +65,7 @@ def encode(df: DataFrame, vocab: DataFrame, tokens_col: str = "tokens", out: str
         import pyarrow as pa
         import pyarrow.compute as pc
         value_set = pa.array(bc.value, pa.string())
-        for batch in batches:
+        for batch in pieces(batches):
             toks = batch.column(tokens_col)
             flat = toks.flatten()
             ids = pc.fill_null(pc.add(pc.index_in(flat, value_set=value_set), 2), UNK).cast(pa.int32())
