@@ -17,8 +17,9 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.arrays import pieces
 from corpusflow.operators.positions import hash_key
-from corpusflow.session import scratch_path
+from corpusflow.session import bound_batches, scratch_path
 
 OBJECTIVES = ("ce", "rdrop", "group_dro", "irm")
 MAX_GROUPS = 10_000
@@ -76,6 +77,11 @@ class TrainState:
 
 # ------------------------------------------------------------------ batches
 
+def batch_of(n_batches: int, id_col: str, seed: int = 42):
+    """The batch of a row by seeded hash of its id."""
+    return F.pmod(F.conv(F.substring(hash_key(seed, id_col), 1, 8), 16, 10).cast("long"), F.lit(n_batches)).cast("int")
+
+
 def write_batches(df: DataFrame, n_batches: int, id_col: str, features: str = "features", label: str = "label",
                   group: str | None = None, seed: int = 42, pieces: int = 8, path: str | None = None) -> str:
     """Deal the rows to ``n_batches`` batches by seeded hash of the id and write them by batch: one shuffle for a whole run.
@@ -85,7 +91,7 @@ def write_batches(df: DataFrame, n_batches: int, id_col: str, features: str = "f
     """
     path = path or scratch_path(df.sparkSession, "batches")
     key = hash_key(seed, id_col)
-    batch = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n_batches)).cast("int")
+    batch = batch_of(n_batches, id_col, seed)
     soft = [F.col(c) for c in ("label_b", "lam") if c in df.columns]
     rows = df.select(F.xxhash64(id_col).alias("rid"), F.col(features).alias("features"), F.col(label).cast("int").alias("label"),
                      F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp") if group else F.lit("").alias("grp"),
@@ -156,17 +162,23 @@ def _invariance(z: np.ndarray, p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
 # ------------------------------------------------------------------ a step
 
 class Trainer:
-    """Trains on the batches of a folder that :func:`write_batches` made."""
+    """Trains on the batches of a folder that :func:`write_batches` made, or on frames with its columns, one per batch."""
 
-    def __init__(self, spark, path: str, cfg: GradientConfig, state: TrainState | None = None):
+    def __init__(self, spark, path: str | dict[int, DataFrame], cfg: GradientConfig, state: TrainState | None = None):
         if cfg.objective not in OBJECTIVES:
             raise ValueError(f"objective is one of {OBJECTIVES}")
+        bound_batches(spark)
         self.spark, self.cfg = spark, cfg
         self.state = state.copy() if state else TrainState.new(cfg)
-        self.data = spark.read.parquet(path)
-        if not isinstance(self.data.schema["features"].dataType, VectorUDT):
+        if isinstance(path, str):
+            data = spark.read.parquet(path)
+            path = {r["batch"]: data.where(F.col("batch") == r["batch"]).drop("batch") for r in data.select("batch").distinct().collect()}
+            kinds = [data.schema]
+        else:
+            kinds = [df.schema for df in path.values()]
+        if not all(isinstance(x["features"].dataType, VectorUDT) for x in kinds):
             raise ValueError("features is a vector column")
-        self.ids = sorted(r["batch"] for r in self.data.select("batch").distinct().collect())
+        self.data, self.ids = path, sorted(path)
         self.sum: np.ndarray | None = None          # gradients waiting for a step
         self.waiting = 0
 
@@ -175,7 +187,7 @@ class Trainer:
         return [int(b) for b in np.random.default_rng([self.cfg.seed, epoch]).permutation(self.ids)]
 
     def _rows(self, batch: int) -> DataFrame:
-        return self.data.where(F.col("batch") == batch).drop("batch")
+        return self.data[batch]
 
     def group_sums(self, batch: int) -> dict[str, tuple[float, float, int]]:
         """Per group of the batch: sum of losses, sum of IRMv1 derivatives, rows."""
@@ -183,7 +195,7 @@ class Trainer:
 
         def run(batches):
             sums: dict[str, list] = {}
-            for b in batches:
+            for b in pieces(batches):
                 rows = Rows(b, cfg)
                 z = rows.logits(held.value, rows.val)
                 lp = log_softmax(z)
@@ -211,7 +223,7 @@ class Trainer:
         def run(batches):
             w, by_group, by_inv = held.value
             grad, loss, n = np.zeros(w.shape), 0.0, 0
-            for b in batches:
+            for b in pieces(batches):
                 rows = Rows(b, cfg)
                 if not rows.n:
                     continue
@@ -309,15 +321,16 @@ class Trainer:
 
 # ------------------------------------------------------------------ runs
 
-def score(df: DataFrame, state: TrainState, features: str = "features") -> DataFrame:
-    """``df`` with ``logits``, ``probs``, ``pred`` and ``confidence`` of the trained weights; the vector column goes. A row
-    without a vector has nulls."""
+def score(df: DataFrame, state: TrainState, features: str = "features", keep_features: bool = False) -> DataFrame:
+    """``df`` with ``logits``, ``probs``, ``pred`` and ``confidence`` of the trained weights; the vector column goes, but with
+    ``keep_features``. A row without a vector has nulls."""
+    bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(state.w)
     cfg = GradientConfig(state.w.shape[1] - 1, state.w.shape[0])
-    keep = [c for c in df.columns if c not in (features, "logits", "probs", "pred", "confidence")]
+    keep = [c for c in df.columns if c not in ((() if keep_features else (features,)) + ("logits", "probs", "pred", "confidence"))]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             vec = b.column(b.schema.get_field_index(features))
@@ -335,16 +348,17 @@ def score(df: DataFrame, state: TrainState, features: str = "features") -> DataF
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     from corpusflow.functions.arrays import argmax, softmax
     schema = StructType([df.schema[c] for c in keep] + [StructField("logits", ArrayType(DoubleType()))])
-    out = df.select(*keep, features).mapInArrow(run, schema).withColumn("probs", softmax("logits"))
+    out = df.select(*keep, *([] if keep_features else [features])).mapInArrow(run, schema).withColumn("probs", softmax("logits"))
     return out.withColumn("pred", argmax("probs")).withColumn("confidence", F.array_max("probs"))
 
 
-def train_epochs(spark, path: str, cfg: GradientConfig, epochs: int, val: DataFrame | None = None, state: TrainState | None = None,
+def train_epochs(spark, path: str | dict[int, DataFrame], cfg: GradientConfig, epochs: int, val: DataFrame | None = None, state: TrainState | None = None,
                  first_epoch: int = 1, patience: int | None = None, metric: str = "val_f1"):
     """M1-M3: train ``epochs`` epochs on from ``state`` -> ({epoch: state after it}, history, steps).
 
     ``history`` (epoch, train_loss = mean of the batch losses, val_loss, val_acc, val_f1) has a row per epoch and ``steps`` a
-    row per batch, as DataFrames. ``val`` has ``features`` and ``label``. The run ends after ``patience`` epochs in a row that do
+    row per batch, as DataFrames. ``path`` is a folder of :func:`write_batches`, or the rows of
+    each batch. ``val`` has ``features`` and ``label``. The run ends after ``patience`` epochs in a row that do
     not exceed the best ``metric`` (a loss: that are not below the lowest).
     """
     from corpusflow.functions.arrays import cross_entropy
