@@ -67,3 +67,25 @@ def test_encoding_works_on_slices_and_keeps_every_row(spark, tmp_dir):
     assert len(enc) == 3000 and all((r["input_ids"] is None) == (r["id"] % 7 == 0) for r in enc)
     assert all(len(r["input_ids"]) == 2 for r in enc if r["id"] % 7)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
+def test_self_training_moves_no_vectors_after_they_are_written(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from corpusflow.operators import selftrain as ST
+    from corpusflow.operators.gradient import GradientConfig
+    rows = spark.range(0, 400, 1, 3).select("id", array_to_vector(F.array(F.when(F.col("id") % 2 == 0, 2.0).otherwise(-2.0), (F.col("id") % 5).cast("double"))).alias("features"),
+                                            (F.col("id") % 2).cast("int").alias("label"))
+    real, plans = ST.train_epochs, []
+
+    def watched(spark_, data, *args, **kw):
+        plans.extend(df._jdf.queryExecution().toString() for df in data.values())
+        return real(spark_, data, *args, **kw)
+
+    monkeypatch.setattr(ST, "train_epochs", watched)
+    pool = rows.where("id >= 40").drop("label")
+    # repeated ids count once, ids of the labelled rows are left out
+    _, _, hist = ST.self_train(rows.where("id < 40"), pool.unionByName(pool.where("id < 60")).unionByName(rows.where("id < 9").drop("label")),
+                                          rows, GradientConfig(2, lr=0.5), "id", rounds=3, threshold=0.6)
+    assert len(plans) >= 8 and not any("Exchange" in p or "Join" in p for p in plans)
+    assert 0 < hist.orderBy("round").first()["n_added"] <= 360
