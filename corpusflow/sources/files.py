@@ -322,13 +322,15 @@ def _entry(value_col: str) -> Column:
     array, so anything after the object makes it malformed; quotes must be double."""
     many = F.from_json(F.concat(F.lit("["), F.col(value_col), F.lit("]")), T.ArrayType(TELEMETRY_SCHEMA),
                        {"allowSingleQuotes": "false"})
-    return F.when(F.size(many) == 1, F.get(many, F.lit(0)))
+    # bound to a variable, the parsed line is used twice but made once
+    return F.get(F.transform(F.array(many), lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0)))), F.lit(0))
 
 
 def parse_telemetry_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Parse JSON lines strictly; malformed and blank lines are dropped (see
     :func:`count_malformed`). An object without a timestamp is an entry whose time is unknown."""
-    parsed = lines.select("*", _entry(value_col).alias("_e"), F.trim(F.col(value_col)).alias("_t"))
+    # exploded, the entry is a column of its own to filters and fields, so no line is parsed for each of them again
+    parsed = lines.select("*", F.explode(F.array(_entry(value_col))).alias("_e"), F.trim(F.col(value_col)).alias("_t"))
     ok = parsed.where((F.length("_t") > 0) & F.col("_e").isNotNull())
     return ok.select("*", "_e.*").drop("_e", "_t", value_col)
 

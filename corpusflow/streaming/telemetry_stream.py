@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import UTC
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,7 @@ def stream_alerts(df: DataFrame, thresholds: dict | None = None, process_name: s
     return df.withColumn("alerts", alert_messages(thresholds, process_name))
 
 
-RESTART_OUT = "host string, seq long, ts timestamp_ntz, boot_time double, vm_restarted boolean, revision long"
+RESTART_OUT = "host string, seq long, ts long, boot_time double, vm_restarted boolean, revision long"
 
 
 def judge(records: dict[int, tuple], first: tuple | None, seq: np.ndarray, boot: np.ndarray, ts: list):
@@ -78,45 +77,42 @@ def judge(records: dict[int, tuple], first: tuple | None, seq: np.ndarray, boot:
     return own, now, first, changed
 
 
+STATE = "first long, dead boolean, revision long, last_ms long, seqs array<long>, boots array<double>, times array<long>"
+
+
 class RestartProcessor(StatefulProcessor):
-    """Per host: its records as a map from seq, its first sample, and a count of calls (the revision of a row)."""
+    """Per host: its first sample, a count of calls (the revision of a row) and its records by seq, in one value: a host costs one
+    read and one write of state per micro-batch, however many records it has."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.records = handle.getMapState("records", "seq long", "boot double, ts timestamp_ntz")
-        self.head = handle.getValueState("head", "first long, dead boolean, revision long, last_ms long")
+        self.state = handle.getValueState("host", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = self.head.get() if self.head.exists() else None
-        records = {k[0]: (v[0], v[1]) for k, v in self.records.iterator()} if head else {}
-        kept, first, revision, last = dict(records), (head[0], head[1]) if head else None, head[2] + 1 if head else 0, head[3] if head else 0
+        was = self.state.get()
+        records = {s: (b, t) for s, b, t in zip(*was[4:], strict=True)} if was else {}
+        first, revision, last = (was[0], was[1]) if was else None, was[2] + 1 if was else 0, was[3] if was else 0
         for pdf in rows:
             seq, boot = pdf["seq"].to_numpy(np.int64), pdf["boot_time"].to_numpy(np.float64)
-            ts = [None if pd.isna(t) else t.to_pydatetime() for t in pdf["ts"]]
+            ts = [None if t != t else int(t) for t in pdf["ts"].tolist()]
             flags, records, first, changed = judge(records, first, seq, boot, ts)
-            last = max([last, *(int(t.replace(tzinfo=UTC).timestamp() * 1000) for t in ts if t)])
-            yield pd.DataFrame({"host": key[0], "seq": seq, "ts": pdf["ts"].to_numpy(), "boot_time": boot, "vm_restarted": flags, "revision": revision})
+            last = max([last, *(t // 1000 for t in ts if t)])
+            yield pd.DataFrame({"host": key[0], "seq": seq, "ts": pd.array(ts, "Int64") if None in ts else ts, "boot_time": boot, "vm_restarted": flags, "revision": revision})
             if changed:
-                yield pd.DataFrame({"host": key[0], "seq": [c[0] for c in changed], "ts": pd.Series([c[2] for c in changed], dtype="datetime64[ns]"),
+                yield pd.DataFrame({"host": key[0], "seq": [c[0] for c in changed], "ts": pd.array([c[2] for c in changed], "Int64"),
                                     "boot_time": [c[1] for c in changed], "vm_restarted": [c[3] for c in changed], "revision": revision})
             revision += 1
-        for s in kept.keys() - records.keys():
-            self.records.removeKey((s,))
-        for s, v in records.items():
-            if kept.get(s) != v:
-                self.records.updateValue((s,), v)
-        self.head.update((*first, revision - 1, last))
+        self.state.update((*first, revision - 1, last, list(records), [v[0] for v in records.values()], [v[1] for v in records.values()]))
         if self.ttl_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(max(last + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.records.clear()
-        self.head.clear()
+        self.state.clear()
         return iter(())
 
     def close(self) -> None:
@@ -139,11 +135,13 @@ def stream_restarts(df: DataFrame, late: str | None = None, ttl_ms: int | None =
     """
     if (late is None) != (ttl_ms is None):
         raise ValueError("late and ttl_ms go together")
-    flat = df.select("host", "seq", "ts", F.col("boot_time").cast("double").alias("boot_time"),
-                     F.col("ts").cast("timestamp_ltz").alias("event_time")).where("seq is not null")     # UTC session: same instant
+    at = F.col("ts").cast("timestamp_ltz")                  # UTC session: same instant
+    flat = df.select("host", "seq", F.unix_micros(at).alias("ts"), F.col("boot_time").cast("double").alias("boot_time"),
+                     *([] if late is None else [at.alias("event_time")])).where("seq is not null")
     if late is not None:
         flat = flat.withWatermark("event_time", late)
-    return flat.groupBy("host").transformWithStateInPandas(RestartProcessor(ttl_ms), RESTART_OUT, "Append", "None" if ttl_ms is None else "EventTime")
+    out = flat.groupBy("host").transformWithStateInPandas(RestartProcessor(ttl_ms), RESTART_OUT, "Append", "None" if ttl_ms is None else "EventTime")
+    return out.withColumn("ts", F.timestamp_micros("ts").cast("timestamp_ntz"))
 
 
 def settled(df: DataFrame) -> DataFrame:

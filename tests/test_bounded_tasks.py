@@ -89,3 +89,51 @@ def test_self_training_moves_no_vectors_after_they_are_written(spark, monkeypatc
                                           rows, GradientConfig(2, lr=0.5), "id", rounds=3, threshold=0.6)
     assert len(plans) >= 8 and not any("Exchange" in p or "Join" in p for p in plans)
     assert 0 < hist.orderBy("round").first()["n_added"] <= 360
+
+
+def test_a_telemetry_line_is_parsed_once(spark):
+    from corpusflow.operators.telemetry import flatten
+    from corpusflow.sources.files import parse_telemetry_lines
+    lines = spark.createDataFrame([('{"host":"a","seq":1,"timestamp":"2024-01-01T00:00:00","boot_time":1.0}',), ("{} {}",), ("{}, {}",), ("",), (" ",), ("[1]",),
+                                   ("{'host':'b'}",), ("{}",), ("null",), (None,)], "value string")
+    df = flatten(parse_telemetry_lines(lines).withColumn("ts", F.to_timestamp_ntz("timestamp")))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r["host"], r["seq"]) for r in df.collect()] == [("a", 1), ("default", None)]
+
+
+def test_a_host_costs_one_value_of_state(spark):
+    from datetime import timezone
+
+    import pandas as pd
+
+    from corpusflow.streaming.telemetry_stream import RestartProcessor
+
+    class Value:
+        got, calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.got is not None
+
+        def get(self):
+            self.calls += 1
+            return self.got
+
+        def update(self, v):
+            self.calls += 1
+            self.got = v
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+    p, handle = RestartProcessor(), Handle()
+    p.init(handle)
+    at = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1e6)
+    first = pd.concat(p.handleInputRows(("a",), iter([pd.DataFrame({"seq": [5, 6, 8], "boot_time": [2.0, 3.0, 4.0], "ts": [at, float("nan"), at]})]), None))
+    late = pd.concat(p.handleInputRows(("a",), iter([pd.DataFrame({"seq": [7], "boot_time": [4.0], "ts": [at]})]), None))
+    assert first["vm_restarted"].tolist() == [False, True, True] and first["ts"].isna().tolist() == [False, True, False]
+    assert late[["seq", "vm_restarted", "revision"]].values.tolist() == [[7, True, 1], [8, False, 1]]
+    assert handle.value.calls == 4
