@@ -128,13 +128,16 @@ telemetry AS (
 )"""
 
 
-def telemetry_series(spark: SparkSession, sf_dir: str, restarts: bool = True, alerts: bool = True) -> DataFrame:
+def telemetry_series(spark: SparkSession, sf_dir: str, restarts: bool = True, alerts: bool = True, parts: int | None = None) -> DataFrame:
     """Q_TELEMETRY widened to the flat telemetry form (one projection of ``events``):
     companion GB values, an absent process on some samples, an error key on some missing
-    ones; then, on demand, R11 restarts and R8 alerts."""
+    ones; then, on demand, R11 restarts and R8 alerts. ``parts`` deals the events to as many
+    partitions before anything is derived from them."""
     from corpusflow.operators.telemetry import alerts as add_alerts
     from corpusflow.operators.telemetry import detect_restarts
     ev = table(spark, sf_dir, "events")
+    if parts:
+        ev = ev.repartition(parts, "event_id", "user_id", "ts")
     v, et = F.col("value"), F.col("event_type")
     mem, cpu = F.least(F.lit(100.0), v), F.least(F.lit(100.0), v / 2)
     disk, swap = F.least(F.lit(100.0), v / 4), F.least(F.lit(100.0), v / 2)

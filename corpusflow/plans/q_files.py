@@ -66,21 +66,29 @@ def q_csv_corpus(spark, sf):
 
 
 _FILE_LINES = 500_000     # lines of a telemetry file
+_PLAIN_LINES = 1_000_000  # a log of more lines is compressed
 
 
 @query("jsonl_telemetry", with_ctes(TELEMETRY_SQL, TSERIES_SQL) + """
 SELECT seq, host, mem_percent, has_process, vm_restarted, array_to_string(alerts, ' | ') AS alerts FROM tseries""")
 def q_jsonl_telemetry(spark, sf):
-    """S8, R1, R8, R11, R14 from files: each host's samples in two files or more, between malformed lines (single
-    quotes, trailing junk, cut off, blank) that the strict reader drops."""
+    """S8, R1, R8, R11, R14 from files (long logs compressed): each host's samples in two files or more, between malformed
+    lines (single quotes, trailing junk, cut off, blank) that the strict reader drops."""
     src = scratch_path(spark, "jsonl")
     # files of bounded size: their number grows with the samples (a count from the table's footers)
-    n_files = max(2, -(-5 * table(spark, sf, "events").count() // _FILE_LINES))
-    lines = entries_from_series(telemetry_series(spark, sf, restarts=False, alerts=False))
+    n_lines = 5 * table(spark, sf, "events").count()
+    n_files = max(2, -(-n_lines // _FILE_LINES))
+    # events are dealt to the files, not their lines, which take many times their bytes; the lines of a sample lie side by side,
+    # so they compress well
+    lines = entries_from_series(telemetry_series(spark, sf, restarts=False, alerts=False, parts=n_files))
     bad = F.array(F.col("value"), F.translate("value", '"', "'"), F.concat("value", F.lit(" junk")),
                   F.expr("substring(value, 1, length(value) div 2)"), F.lit(""))
-    K.append_jsonl(lines.select(F.explode(bad).alias("value")).repartition(n_files, "value"), src)
-    flat = R.detect_restarts(R.flatten(S.read_telemetry(spark, src)))
+    K.append_jsonl(lines.select(F.explode(bad).alias("value")), src, "gzip" if n_lines > _PLAIN_LINES else None)
+    # the restarts read their input three times; what they and the alerts need is written once, so a line is parsed once
+    samples = scratch_path(spark, "samples")
+    R.flatten(S.read_telemetry(spark, src)).select("host", "seq", "mem_percent", "cpu_percent", "disk_percent", "swap_percent", "has_process",
+                                                   "process_status", "boot_time").write.parquet(samples)
+    flat = R.detect_restarts(spark.read.parquet(samples))
     return R.alerts(flat).select("seq", F.col("host").cast("long").alias("host"), "mem_percent", "has_process", "vm_restarted",
                                  F.array_join("alerts", " | ").alias("alerts"))
 

@@ -37,12 +37,16 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
 
 
-def append_jsonl(entries: DataFrame, path: str) -> None:
-    """K3: append entries (one JSON string column, or any columns) as JSON lines."""
+def append_jsonl(entries: DataFrame, path: str, compression: str | None = None) -> None:
+    """K3: append entries (one JSON string column, or any columns) as JSON lines. ``compression`` names Spark's
+    codec for the files; readers know it by their names."""
+    out = entries.write.mode("append")
+    if compression:
+        out = out.option("compression", compression)
     if entries.dtypes and len(entries.dtypes) == 1 and entries.dtypes[0][1] == "string":
-        entries.write.mode("append").text(path)
+        out.text(path)
     else:
-        entries.write.mode("append").json(path)
+        out.json(path)
 
 
 def run_report(dataset_info: DataFrame, config: dict, metrics: DataFrame, examples: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -27,6 +28,37 @@ def test_telemetry_lines_go_to_files_of_bounded_size(spark, tmp_dir, monkeypatch
     assert all(len(v) >= 2 for v in hosts.values())
 
 
+def test_long_telemetry_logs_are_compressed_and_their_lines_are_not_dealt(spark, tmp_dir, monkeypatch):
+    import gzip
+
+    _events(spark, tmp_dir, 300)
+    # a sample that comes twice, and samples without time, kind or value
+    odd = [(300, None, 1, "click", 99.0), (301, datetime(2024, 1, 2), 7, "view", None), (302, datetime(2024, 1, 2), 2, None, None)]
+    spark.createDataFrame([*odd, odd[0]], spark.read.parquet(f"{tmp_dir}/events.parquet").schema).write.mode("append").parquet(f"{tmp_dir}/events.parquet")
+    real, wrote = Q.K.append_jsonl, []
+
+    def watched(lines, *args):
+        wrote.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return real(lines, *args)
+
+    monkeypatch.setattr(Q.K, "append_jsonl", watched)
+    got, texts = {}, {}
+    for limit in (10_000, 1_000):
+        monkeypatch.setattr(Q, "scratch_path", lambda s, name, limit=limit: f"{tmp_dir}/{limit}/{name}")
+        monkeypatch.setattr(Q, "_PLAIN_LINES", limit, raising=False)
+        df = Q.q_jsonl_telemetry(spark, tmp_dir)
+        got[limit] = sorted(map(str, df.collect()))
+        texts[limit] = spark.read.text(f"{tmp_dir}/{limit}/jsonl").count()
+        assert "from_json" not in df._jdf.queryExecution().toString()          # lines are parsed once, before the restarts
+    packed = glob.glob(f"{tmp_dir}/1000/jsonl/part-*")
+    assert all(f.endswith(".gz") for f in packed) and not any(f.endswith(".gz") for f in glob.glob(f"{tmp_dir}/10000/jsonl/part-*"))
+    assert len(packed) >= 2 and sum(len(gzip.open(f, "rt").read().split("\n")) - 1 for f in packed) == texts[1_000] == texts[10_000] == 5 * 304
+    assert sum(os.path.getsize(f) for f in packed) * 5 < sum(os.path.getsize(f) for f in glob.glob(f"{tmp_dir}/10000/jsonl/part-*"))
+    assert len(got[1_000]) == 304 and got[1_000] == got[10_000]
+    for plan in wrote:                                                          # what is dealt are events, below the lines made of them
+        assert plan.index("Generate explode") < plan.index("RepartitionByExpression") and "to_json" not in plan[plan.index("RepartitionByExpression"):]
+
+
 def test_semicolon_files_are_written_and_read_by_many_tasks(spark, tmp_dir, monkeypatch):
     rows = [(k, None if k == 5 else f'text {k}; "quoted"\nnext\r\nline', "en") for k in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_dir}/documents.parquet")
